@@ -97,7 +97,7 @@ SQL_BOOKS = rf"""{SQL_CORPUS}, books AS (SELECT doc_id, 'book_' || doc_id AS boo
     ELSE [{{'title': book, 'content': content}}] END AS ch FROM pieces),
   counted AS (SELECT doc_id, book, ch, list_transform(ch, lambda r: len({sql_words("r['content']")})) AS counts FROM split)"""
 CHECKS["chk_06_chapters"] = (
-    lambda spark, sf: C.split_books(books(spark, sf)).select("doc_id", F.posexplode("chapters").alias("i", "c")).select(
+    lambda spark, sf: C.split_books(books(spark, sf)).select("doc_id", F.posexplode_outer("chapters").alias("i", "c")).where("i IS NOT NULL").select(
         "doc_id", "i", F.col("c.title").alias("title"), F.col("c.word_count").alias("word_count"), F.md5("c.content").alias("content")),
     f"""WITH {SQL_BOOKS}, e AS (SELECT doc_id, unnest(generate_series(1, len(ch))) AS j, ch, counts FROM counted)
     SELECT doc_id, j - 1 AS i, ch[j]['title'] AS title, counts[j] AS word_count, md5(ch[j]['content']) AS content FROM e""",
@@ -105,7 +105,7 @@ CHECKS["chk_06_chapters"] = (
 _INLINE_SPARK = lambda d: d.select("doc_id", F.concat(F.lit("book_"), F.col("doc_id").cast("string")).alias("book"), F.array_join(F.transform(
     T.sentences(F.col("content")), lambda s, i: F.concat(F.lit("CHAPTER "), (i + 1).cast("string"), F.lit(": "), F.translate(s, "cC", "kK"))), " ").alias("content"))
 CHECKS["chk_07_inline_chapters"] = (
-    lambda spark, sf: C.split_books(_INLINE_SPARK(corpus(spark, sf))).select("doc_id", F.posexplode("chapters").alias("i", "c")).select(
+    lambda spark, sf: C.split_books(_INLINE_SPARK(corpus(spark, sf))).select("doc_id", F.posexplode_outer("chapters").alias("i", "c")).where("i IS NOT NULL").select(
         "doc_id", "i", F.col("c.title").alias("title"), F.md5("c.content").alias("content")),
     rf"""WITH {SQL_CORPUS}, s AS (SELECT doc_id, list_transform({sql_sentences('content')}, lambda s: translate(s, 'cC', 'kK')) AS ss FROM corpus),
     b AS (SELECT doc_id, array_to_string(list_transform(ss, lambda s, i: 'CHAPTER ' || i || ': ' || s), ' ') AS book, list_transform(ss, lambda s, i: 'CHAPTER ' || i || ': ' || s) AS p, len(ss) AS n FROM s),
@@ -124,7 +124,7 @@ CHECKS["chk_09_size_chapters"] = (
         F.max("original_chapter").alias("original"), F.sum("word_count").alias("word_count"), F.count("*").alias("parts")).withColumnRenamed("_order", "ord"),
     _REC + rf""", paras AS (SELECT doc_id, ord, original, wc, list_transform(string_split(content, chr(10) || chr(10)), lambda p: len({sql_words('p')})) AS counts FROM sized),
       {sql_pack('packed', '(SELECT doc_id * 100000 + ord AS k, counts FROM paras WHERE wc > 120)', 'k', 120)}
-    SELECT doc_id, ord, original, list_sum(counts)::BIGINT AS word_count, coalesce(max(grp) + 1, 1) AS parts FROM paras LEFT JOIN packed ON k = doc_id * 100000 + ord GROUP BY ALL""",
+    SELECT doc_id, ord, original, list_sum(paras.counts)::BIGINT AS word_count, coalesce(max(grp) + 1, 1) AS parts FROM paras LEFT JOIN packed ON k = doc_id * 100000 + ord GROUP BY ALL""",
 )
 CHECKS["chk_08_split_large"] = (
     lambda spark, sf: C.size_chapters(C.split_books(books(spark, sf)), 60, 120).where(F.col("title") != F.col("original_chapter")).select(

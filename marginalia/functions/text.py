@@ -138,7 +138,7 @@ def extract_title(file_name: Column, content: Column) -> Column:
         ).otherwise(F.when(plain, line))
 
     lines = F.slice(F.split(content, "\n"), 1, 10)
-    found = F.filter(F.transform(lines, lambda x: candidate(strip(x))), lambda x: x.isNotNull())
+    found = F.filter(F.transform(F.transform(lines, strip), candidate), lambda x: x.isNotNull())
     return F.coalesce(F.get(found, F.lit(0)), stem_title(file_name))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..functions.arrays import let, posexplode_rows
 from . import folds
 
 
@@ -18,9 +19,7 @@ def _window_starts(n: Column, size: int, step: int, drop_contained_tail: bool) -
 def _explode_spans(docs: DataFrame, spans: str, content: str, source: str) -> DataFrame:
     """Rows from an array column of (content, start, stop), plus the parent's other columns."""
     parents = [c for c in docs.columns if c not in (spans, content)]
-    out = docs.select(
-        *parents, F.size(spans).alias("total_chunks"), F.posexplode(spans).alias("chunk_index", "_span")
-    )
+    out = posexplode_rows(docs, [*parents, F.size(spans).alias("total_chunks")], spans, "chunk_index", "_span")
     out = out.select(
         *[F.col(c) for c in parents if c != source],
         F.col(source).alias("parent_source"),
@@ -66,7 +65,8 @@ def word_chunks(
             F.least(s + size, n).alias("stop"),
         ),
     )
-    rows = docs.withColumn("_words", T.words(F.col(content))).where(n > 0).withColumn("_spans", spans)
+    rows = docs.where(F.col(content).rlike(rf"[^{T.BLANK}]")).withColumn("_words", T.words(F.col(content)))
+    rows = rows.withColumn("_spans", spans)
     out = _explode_spans(rows.drop("_words"), "_spans", content, source)
     return out.withColumns(
         {"word_count": F.col("end_word") - F.col("start_word"), "char_count": F.length("content")}
@@ -138,11 +138,8 @@ def fixed_char_chunks(
     starts = F.sequence(F.lit(0), F.length(content) - 1, F.lit(size - overlap))
     pieces = F.transform(starts, lambda s: T.strip(F.substring(F.col(content), s + 1, F.lit(size))))
     keep = [c for c in docs.columns if c != content]
-    return (
-        docs.where(F.length(content) > 0)
-        .select(*keep, F.posexplode(pieces).alias("chunk_index", "content"))
-        .where(F.length("content") > min_chars)
-    )
+    rows = posexplode_rows(docs.where(F.length(content) > 0), keep, pieces, "chunk_index", "content")
+    return rows.where(F.length("content") > min_chars)
 
 
 def chapters(content: Column, book: Column) -> Column:
@@ -169,17 +166,17 @@ def chapters(content: Column, book: Column) -> Column:
         hit = F.regexp_count(content, F.lit(full)) >= 2
         text = F.regexp_replace(content, full, "\u0001$0\u0002")
         marked = F.when(hit, text) if marked is None else marked.when(hit, text)
-    pieces = F.slice(F.split(marked, "\u0001"), 2, 2**31 - 1)
+    pieces = let(F.split(marked, "\u0001"), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
 
     def piece_row(p: Column) -> Column:
-        heading = T.strip(F.get(F.split(p, "\u0002"), F.lit(0)))
-        body = T.strip(F.get(F.split(p, "\u0002"), F.lit(1)))
+        heading, body = F.get(p, F.lit(0)), F.get(p, F.lit(1))
         return F.struct(
             T.strip(F.regexp_replace(heading, r"[*#\s]+", " ")).alias("title"),
             F.when(body == "", heading).otherwise(F.concat(heading, F.lit("\n\n"), body)).alias("content"),
         )
 
-    headed = F.filter(F.transform(pieces, piece_row), lambda r: T.count_words(r["content"]) > 10)
+    halves = F.transform(pieces, lambda p: F.transform(F.split(p, "\u0002"), T.strip))
+    headed = F.filter(F.transform(halves, piece_row), lambda r: T.count_words(r["content"]) > 10)
     whole = F.array(F.struct(book.alias("title"), content.alias("content")))
     chosen = F.when(F.size(inline) > 3, inline_rows).otherwise(F.coalesce(headed, whole))
     return F.transform(
@@ -202,9 +199,8 @@ def size_chapters(books: DataFrame, min_words: int = 1000, max_words: int = 3000
     """
     keep = [c for c in books.columns if c != "chapters"]
     counts = F.transform("chapters", lambda c: c["word_count"])
-    rows = books.withColumn("_runs", folds.pair_runs(counts, min_words, max_words)).select(
-        *keep, "chapters", F.posexplode("_runs").alias("_order", "_run")
-    )
+    rows = books.withColumn("_runs", folds.pair_runs(counts, min_words, max_words))
+    rows = posexplode_rows(rows, [*keep, "chapters"], "_runs", "_order", "_run")
     pair = F.slice("chapters", F.col("_run.start"), F.col("_run.len"))
     rows = rows.select(*keep, "_order", pair.alias("_pair")).select(
         *keep,
@@ -234,7 +230,7 @@ def split_large(rows: DataFrame, max_words: int = 3000) -> DataFrame:
     whole = F.array(
         F.struct(F.col("content"), F.col("word_count").alias("word_count"), F.lit(False).alias("part_of_many"))
     )
-    out = rows.select(*keep, F.posexplode(F.coalesce(part, whole)).alias("_part", "_p")).where(
+    out = posexplode_rows(rows, keep, F.coalesce(part, whole), "_part", "_p").where(
         (F.col("_p.content") != "") | ~F.col("_p.part_of_many")
     )
     title = F.when(
@@ -255,7 +251,7 @@ def merge_chunks(chunks: DataFrame, max_words: int = 1000) -> DataFrame:
     item = F.struct("chunk_index", "content", "word_count", "start_word", "end_word")
     docs = chunks.groupBy("parent_source").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     docs = docs.withColumn("_runs", folds.pack_runs(F.transform("_items", lambda x: x["word_count"]), max_words))
-    docs = docs.select("parent_source", "_items", F.posexplode("_runs").alias("merged_index", "_run"))
+    docs = posexplode_rows(docs, ["parent_source", "_items"], "_runs", "merged_index", "_run")
     docs = docs.withColumn("_part", F.slice("_items", F.col("_run.start"), F.col("_run.len")))
     content = F.array_join(F.transform("_part", lambda x: x["content"]), " ")
     return docs.select(
@@ -271,15 +267,13 @@ def merge_chunks(chunks: DataFrame, max_words: int = 1000) -> DataFrame:
 
 def simple_paragraphs(content: Column, per_paragraph: int = 3) -> Column:
     """Paragraphs of three sentences, joined by blank lines; up to three sentences stay one paragraph."""
-    s = T.sentences(content)
-
     def grouped(items: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(per_paragraph))
         return F.array_join(
             F.transform(starts, lambda i: F.array_join(F.slice(items, i, F.lit(per_paragraph)), " ")), "\n\n"
         )
 
-    return grouped(s)
+    return let(T.sentences(content), grouped)
 
 
 def work_list(inputs: DataFrame, done: DataFrame, key: str = "slug") -> DataFrame:
