@@ -8,8 +8,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-RUNS = "array<struct<start:int,len:int>>"
+RUNS = S.ArrayType(S.StructType([S.StructField("start", S.IntegerType()), S.StructField("len", S.IntegerType())]))
 
 
 def _runs_udf(fold):

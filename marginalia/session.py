@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """
     seen = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if seen <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_packages(spark: SparkSession, *folders: str) -> None:
+    """Send the Python packages in `folders` to the executors once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "marginalia_packages.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder in folders:
+            root = os.path.dirname(os.path.abspath(folder))
+            for here, _, names in os.walk(folder):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(here, name)
+                        out.write(path, os.path.relpath(os.path.abspath(path), root))
+    spark.sparkContext.addPyFile(target)
