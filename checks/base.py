@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """documents as the engine's corpus: tenant = source column, path-like source."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id",
         F.col("source").alias("persona_id"),
         F.concat(F.col("source"), F.lit("/doc_"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt")).alias("source"),

@@ -32,33 +32,44 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     return let(tokens, of)
 
 
-def term_counts(docs: DataFrame, id_col: str, terms: Column, scope: Sequence[str] = ()) -> DataFrame:
-    """(scope, id, term, tf); counted on the map side, since one document is one row."""
+def term_counts(docs: DataFrame, id_col: str, terms: Column, vocab: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, id, term, tf, idf) for terms of the vocabulary; others are dropped before the shuffle."""
     rows = posexplode_rows(docs, [*scope, id_col], terms, "_pos", "term").drop("_pos")
-    return rows.groupBy(*scope, id_col, "term").agg(F.count("*").alias("tf"))
+    return rows.join(vocab, [*scope, "term"]).groupBy(*scope, id_col, "term", "idf").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(
-    counts: DataFrame, n_docs: Column, max_terms: int, min_df: int = 1, max_df: float = 1.0,
-    scope: Sequence[str] = (), n_table: DataFrame | None = None,
+    docs: DataFrame, terms: Column, max_terms: int, min_df: int = 1, max_df: float = 1.0, scope: Sequence[str] = (),
 ) -> DataFrame:
-    """The `max_terms` most frequent terms with their smooth idf: at most `max_terms` rows per scope."""
-    terms = counts.groupBy(*scope, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    terms = terms.join(n_table, list(scope)) if n_table is not None else terms.withColumn("n_docs", n_docs)
-    terms = terms.where(
+    """The `max_terms` most frequent terms per scope with their smooth idf.
+
+    Each document's terms are sorted in its row and the first of equal ones is flagged, so document and
+    total counts come from one aggregation whose map side shrinks to the vocabulary.
+    """
+    scope = list(scope)
+    n_table = docs.groupBy(*scope).agg(F.count("*").alias("n_docs"))
+    flagged = let(F.sort_array(terms), lambda ts: F.transform(ts, lambda t, i: F.struct(
+        t.alias("term"), F.when(i == 0, F.lit(1)).otherwise((t != F.get(ts, i - 1)).cast("int")).alias("first"))))
+    rows = posexplode_rows(docs, scope, flagged, "_pos", "_t").select(*scope, "_t.term", "_t.first")
+    found = rows.groupBy(*scope, "term").agg(F.sum("first").alias("df"), F.count("*").alias("total"))
+    if scope:
+        found = found.join(n_table, scope)
+    else:
+        found = found.withColumn("n_docs", n_table.select("n_docs").scalar())
+    found = found.where(
         (F.col("df") >= F.least(F.lit(min_df), F.col("n_docs"))) & (F.col("df") <= F.col("n_docs") * max_df)
     )
     order = [F.desc("total"), F.asc("term")]
     if scope:
-        terms = ranking.top_k(terms, scope, order, max_terms, "_rank").drop("_rank")
+        found = ranking.top_k(found, scope, order, max_terms, "_rank").drop("_rank")
     else:
-        terms = terms.orderBy(*order).limit(max_terms)
-    return terms.select(*scope, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+        found = found.orderBy(*order).limit(max_terms)
+    return found.select(*scope, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weights(counts: DataFrame, vocab: DataFrame, id_col: str, scope: Sequence[str] = ()) -> DataFrame:
+def weights(counts: DataFrame, id_col: str, scope: Sequence[str] = ()) -> DataFrame:
     """L2-normalised weights; a document has at most as many rows as the vocabulary."""
-    rows = counts.join(F.broadcast(vocab) if not scope else vocab, [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    rows = counts.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*scope, id_col)))
     return rows.select(*scope, id_col, "term", (F.col("w") / norm).alias("weight"))
 
@@ -77,10 +88,10 @@ def search(
         toks = T.search_tokens(c)
         return ngrams(F.filter(toks, lambda t: ~t.isin(list(stop_words))) if stop_words else toks, 1, 2)
 
-    counts = term_counts(docs, id_col, grams(F.col(text)))
-    vocab = vocabulary(counts, docs.agg(F.count("*").alias("n")).scalar(), max_terms)
-    doc_w = weights(counts, vocab, id_col)
-    query_w = weights(term_counts(queries, "query_id", grams(F.col("query"))), vocab, "query_id")
+    terms = grams(F.col(text))
+    vocab = F.broadcast(vocabulary(docs.select(text), terms, max_terms))  # at most max_terms rows
+    doc_w = weights(term_counts(docs.select(id_col, text), id_col, terms, vocab), id_col)
+    query_w = weights(term_counts(queries, "query_id", grams(F.col("query")), vocab), "query_id")
     sims = (
         doc_w.withColumnRenamed("weight", "dw").join(query_w, "term")
         .groupBy("query_id", id_col).agg(ranking.rounded(F.sum(F.col("dw") * F.col("weight"))).alias("score"))

@@ -61,6 +61,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if seen <= max_rows else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread an input that has fewer splits than the cluster has cores; others are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 _SHIPPED: set[str] = set()
 
 
