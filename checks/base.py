@@ -117,7 +117,7 @@ def beliefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SENT = sql_sentences("content")
-_CONF = """coalesce(0.5 + 0.5 * quality, 0.5)::DOUBLE AS confidence_score, (doc_id % 10 + 1)::INT AS frequency
+_CONF = """coalesce(0.5 + 0.5 * quality, 0.5)::DOUBLE AS confidence_score, (doc_id % 10 + 1)::BIGINT AS frequency
   FROM corpus LEFT JOIN labels USING (doc_id)"""
 SQL_MODELS_CTE = rf"""{SQL_CORPUS}, model_items AS (SELECT doc_id, persona_id, language,
   array_to_string(({sql_words('content')})[1:5], ' ') AS name, coalesce(({_SENT})[1], '') AS description,

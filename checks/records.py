@@ -6,6 +6,7 @@ from marginalia.functions import fixed, keys, replies
 from marginalia.functions import text as T
 from marginalia.operators import consolidation as X
 from marginalia.operators import corpus_stats as A
+from marginalia.operators import dedup as D
 from marginalia.operators import knowledge as N
 from marginalia.operators import linguistics as L
 from marginalia.operators import models as M
@@ -339,7 +340,7 @@ CHECKS["val_01_document_issues"] = (
     UNION ALL SELECT doc_id::VARCHAR, 'duplicate start' FROM (SELECT doc_id, row_number() OVER (PARTITION BY left(coalesce(content, ''), 100) ORDER BY doc_id) AS rn FROM c) WHERE rn > 1""",
 )
 CHECKS["sim_01_repeated_starts"] = (
-    lambda spark, sf: __import__("marginalia.operators.dedup", fromlist=["x"]).repeated_starts(corpus(spark, sf)),
+    lambda spark, sf: D.repeated_starts(corpus(spark, sf)),
     """SELECT doc_id, first_id, copies FROM (SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY left(text, 100))) WHERE copies > 1 AND doc_id <> first_id""",
 )
 CHECKS["val_05_collection_check"] = (
