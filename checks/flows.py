@@ -103,7 +103,7 @@ CHECKS["win_07_recent_messages"] = (
 _BATCH = f"""{SQL_CORPUS}, bd AS (SELECT persona_id, list(doc_id ORDER BY doc_id) AS ids, list(length(content) // 4 ORDER BY doc_id) AS counts FROM corpus GROUP BY 1), {sql_pack('packed', 'bd', 'persona_id', 3000, 7)},
   st AS (SELECT persona_id, grp, min(i) - 1 AS batch_start FROM packed GROUP BY ALL), batches AS (SELECT p.persona_id, ids[i] AS doc_id, batch_start FROM packed p JOIN st USING (persona_id, grp) JOIN bd USING (persona_id))"""
 CHECKS["win_08_greedy_batches"] = (
-    lambda spark, sf: assembly.greedy_batches(corpus(spark, sf), ["persona_id"], ["doc_id"], max_items=7, max_tokens=3000, block=10),
+    lambda spark, sf: assembly.greedy_batches(corpus(spark, sf), ["persona_id"], ["doc_id"], max_items=7, max_tokens=3000, block=40),
     f"WITH RECURSIVE {_BATCH} SELECT * FROM batches",
 )
 CHECKS["win_08_whole_corpus_batches"] = (
@@ -117,8 +117,8 @@ CHECKS["win_08_counted_batches"] = (
 )
 CHECKS["win_09_running_latency"] = (
     lambda spark, sf: r6(E.running_latency(runs(spark, sf).select(F.col("operation").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "run_id", F.col("seconds").alias("latency_ms"), (F.col("run_id") % 4 == 0).alias("cache_hit")),
-                                           ["kind"], ["at", "run_id"]), "mean_latency", "hit_rate").select("run_id", "queries", "mean_latency", "hit_rate"),
-    """SELECT event_id AS run_id, count(*) OVER w AS queries, round(avg(value) OVER w, 6) AS mean_latency, round(avg((event_id % 4 = 0)::INT) OVER w, 6) AS hit_rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+                                           ["kind"], ["at", "run_id"]), "hit_rate").select("run_id", "queries", F.round(F.col("mean_latency") * F.col("queries"), 2).alias("latency_so_far"), "hit_rate"),
+    """SELECT event_id AS run_id, count(*) OVER w AS queries, round(sum(value) OVER w, 2) AS latency_so_far, round(avg((event_id % 4 = 0)::INT) OVER w, 6) AS hit_rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
 )
 _JOIN = f"""{SQL_CORPUS}, jt AS (SELECT persona_id, string_agg(content, chr(10) || chr(10) ORDER BY doc_id) AS t FROM corpus WHERE {sql_strip('content')} <> '' GROUP BY 1)"""
 CHECKS["top_03_joined_text"] = (

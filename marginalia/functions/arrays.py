@@ -16,10 +16,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def posexplode_rows(df: DataFrame, keep: list, array: Column | str, pos: str, item: str) -> DataFrame:
     """Explode a computed array.
 
-    The outer form is used because the inner one makes the optimiser add a "not empty" filter that
-    repeats the whole array expression below the projection.
+    The array and the kept expressions are formed in a projection of their own: an expression over the
+    array left above the explode would carry the whole array along with each of its rows. The outer form
+    is used because the inner one adds a "not empty" filter that repeats the array expression.
     """
-    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+    array = F.col(array) if isinstance(array, str) else array
+    inner = df.select(*keep, array.alias("_array"))
+    names = [c for c in inner.columns if c != "_array"]
+    return inner.select(*names, F.posexplode_outer("_array").alias(pos, item)).where(F.col(pos).isNotNull())
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import posexplode_rows
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from . import ranking
 
 K1, B = 1.5, 0.75
@@ -58,30 +58,40 @@ class KeywordIndex:
         return KeywordIndex(*tables, id_col=id_col, scope=tuple(scope))
 
 
-def _postings(tokens: DataFrame, id_col: str, scope: Sequence[str], vocabulary: DataFrame | None) -> DataFrame:
-    rows = posexplode_rows(tokens, [*scope, id_col, F.size("tokens").alias("dl")], "tokens", "_pos", "term").drop("_pos")
-    if vocabulary is not None:
-        rows = rows.join(vocabulary, [*scope, "term"], "left_semi")
-    return rows.groupBy(*scope, id_col, "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def _stats(tokens: DataFrame, scope: Sequence[str]) -> DataFrame:
-    size = F.size("tokens")
-    return tokens.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.avg(size).alias("avg_len"), F.sum(size).alias("total_len"))
+def _stats(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"), F.sum("dl").alias("total_len"))
 
 
 def build_index(
     docs: DataFrame, *, id_col: str = "doc_id", text: str = "content", scope: Sequence[str] = (),
     queries: DataFrame | None = None, **kw,
 ) -> KeywordIndex:
-    """Index tables. With `queries` only the terms they use are kept, before anything is shuffled."""
-    toks = document_tokens(docs, id_col=id_col, text=text, scope=scope, **kw)
-    vocabulary = None
+    """Index tables of the documents.
+
+    With `queries` whose terms are few enough to broadcast, the text is read once: every document gives a
+    marker row (empty term) and its asked terms, the rest is dropped before the shuffle, and that small
+    table is written for the steps that use it.
+    """
+    scope = list(scope)
+    toks = document_tokens(docs, id_col=id_col, text=text, scope=scope, **kw).withColumn("dl", F.size("tokens"))
+    keys = [*scope, id_col, "dl", "term"]
+    asked = None
     if queries is not None:
-        vocabulary = broadcast_if_small(query_terms(queries, scope=scope).select(*scope, "term").distinct())
-    postings = _postings(toks, id_col, scope, vocabulary)
+        terms = query_terms(queries, scope=scope).select(*scope, "term").distinct()
+        small = broadcast_if_small(terms)
+        asked = small.withColumn("_asked", F.lit(True)) if small is not terms else None
+    if asked is None:
+        rows = posexplode_rows(toks, [*scope, id_col, "dl"], "tokens", "_pos", "term").drop("_pos")
+        postings = rows.groupBy(*keys).agg(F.count("*").alias("tf"))
+        stats = _stats(toks, scope)
+    else:
+        marked = F.concat(F.array(F.lit("")), F.col("tokens"))
+        rows = posexplode_rows(toks, [*scope, id_col, "dl"], marked, "_pos", "term").drop("_pos")
+        rows = rows.join(F.broadcast(asked), [*scope, "term"], "left").where((F.col("term") == "") | F.col("_asked"))
+        kept = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("tf")))
+        postings, stats = kept.where(F.col("term") != ""), _stats(kept.where(F.col("term") == ""), scope)
     terms = postings.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    return KeywordIndex(postings, terms, _stats(toks, scope), id_col, tuple(scope))
+    return KeywordIndex(postings, terms, stats, id_col, tuple(scope))
 
 
 def add_documents(index: KeywordIndex, more: KeywordIndex) -> KeywordIndex:
@@ -101,7 +111,15 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = K1,
     shuffled at all; else both sides are shuffled on (term, salt), so a frequent term is spread over tasks.
     """
     scope = list(index.scope)
-    weighted = query_terms(queries, query=query, scope=scope).join(index.terms, [*scope, "term"])
+    asked = query_terms(queries, query=query, scope=scope)
+    checked = broadcast_if_small(asked)
+    fits = checked is not asked
+    # Semi joins on grouping keys: the optimiser moves them below the aggregations of an index that is
+    # not stored yet, so only the asked terms are counted and shuffled.
+    vocabulary = asked.select(*scope, "term").distinct()
+    vocabulary = F.broadcast(vocabulary) if fits else vocabulary
+    keys = [*scope, "term"]
+    weighted = checked.join(index.terms.join(vocabulary, keys, "left_semi"), keys)
     if scope:
         weighted = weighted.join(index.stats, scope)
     else:
@@ -110,10 +128,10 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = K1,
         )
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select(*scope, "query_id", "term", (F.col("qtf") * idf).alias("weight"), "avg_len")
-    small = broadcast_if_small(weighted)
-    postings = index.postings
-    keys = [*scope, "term"]
-    if small is weighted:
+    postings = index.postings.join(vocabulary, keys, "left_semi")
+    if fits:
+        small = F.broadcast(weighted)  # at most one row per checked query term
+    else:
         postings = postings.withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.lit(SALTS)))
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
         small, keys = weighted.withColumn("_salt", salts), [*keys, "_salt"]

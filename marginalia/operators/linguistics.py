@@ -88,8 +88,8 @@ def collocations(
     scope = list(scope)
     words = docs.select(*scope, content_words(F.col(content), stop_words).alias("_w"))
 
-    def runs(kind: str, *steps: int) -> Column:
-        """Tagged tuples of the words at a start and `steps` behind it."""
+    def runs(*steps: int) -> Column:
+        """Tuples of the words at a start and `steps` behind it, with the distance of the second word."""
         size = F.size("_w")
         starts = F.when(size > max(steps), F.sequence(F.lit(1), size - max(steps))).otherwise(
             F.array().cast("array<int>")
@@ -98,28 +98,32 @@ def collocations(
 
         def row(i: Column) -> Column:
             cells = [F.lit(None).cast("string") if s is None else F.element_at("_w", i + s) for s in picked]
-            return F.struct(F.lit(kind).alias("kind"), *[c.alias(n) for c, n in zip(cells, "abc")])
+            gap = F.lit(steps[-1] if len(steps) == 2 else 0)
+            return F.struct(*[c.alias(n) for c, n in zip(cells, "abc")], gap.alias("gap"))
 
         return F.transform(starts, row)
 
-    tuples = F.concat(
-        runs("word", 0), runs("near", 0, 1), runs("far", 0, 2), runs("triple", 0, 1, 2),
-        *[runs("pair", 0, s) for s in range(1, window)],
-    )
+    tuples = F.concat(runs(0), runs(0, 1, 2), *[runs(0, s) for s in range(1, max(window, 3))])
     rows = words.select(*scope, F.explode_outer(tuples).alias("g")).where("g IS NOT NULL").select(*scope, "g.*")
-    counts = rows.groupBy(*scope, "kind", "a", "b", "c").agg(F.count("*").alias("n"))
-    counts = cut_lineage(counts.where((F.col("kind") == "word") | (F.col("n") >= min_count)))
+    counts = rows.groupBy(*scope, "a", "b", "c").agg(
+        F.count_if(F.col("gap") < window).alias("n"), F.count_if(F.col("gap") == 1).alias("near"), F.count_if(F.col("gap") == 2).alias("far")
+    )
+    # A triple seen `min_count` times has pairs seen at least as often, so nothing needed is dropped here.
+    often = (F.col("n") >= min_count) | (F.col("far") >= min_count)
+    counts = cut_lineage(counts.where(F.col("b").isNull() | often))
+    is_pair = F.col("b").isNotNull() & F.col("c").isNull()
 
-    def counted(kind: str, *keys: str) -> DataFrame:
-        return counts.where(F.col("kind") == kind).select(*scope, *keys, "n")
+    def counted(rows: Column, n: str, *keys: str) -> DataFrame:
+        return counts.where(rows & (F.col(n) > 0)).select(*scope, *keys, F.col(n).alias("n"))
 
-    singles, near, far = counted("word", "a").withColumnRenamed("a", "w"), counted("near", "a", "b"), counted("far", "a", "b")
+    singles = counted(F.col("b").isNull(), "n", "a").withColumnRenamed("a", "w")
+    near, far = counted(is_pair, "near", "a", "b"), counted(is_pair, "far", "a", "b")
     totals = singles.groupBy(*scope).agg(F.sum("n").alias("n_all"))
 
     def with_single(df: DataFrame, key: str, name: str) -> DataFrame:
         return df.join(singles.select(*scope, F.col("w").alias(key), F.col("n").alias(name)), [*scope, key])
 
-    pairs = counted("pair", "a", "b")
+    pairs = counted(is_pair & (F.col("n") >= min_count), "n", "a", "b")
     pairs = with_single(with_single(pairs, "a", "n_a"), "b", "n_b").join(totals, scope)
     both = F.col("n") / F.lit(window - 1.0)
     left, right = F.col("n_a") - both, F.col("n_b") - both
@@ -131,7 +135,7 @@ def collocations(
                          F.col("n").alias("frequency"), ranking.rounded(chi2).alias("raw"))
     pairs = ranking.top_k(pairs, scope, [F.desc("raw"), F.asc("ngram")], top_pairs)
 
-    tri = counted("triple", "a", "b", "c")
+    tri = counted(F.col("c").isNotNull(), "n", "a", "b", "c")
     tri = tri.join(near.select(*scope, "a", "b", F.col("n").alias("n_ab")), [*scope, "a", "b"])
     tri = tri.join(near.select(*scope, F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("n_bc")), [*scope, "b", "c"])
     tri = tri.join(far.select(*scope, "a", F.col("b").alias("c"), F.col("n").alias("n_ac")), [*scope, "a", "c"])
