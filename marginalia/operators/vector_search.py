@@ -76,6 +76,8 @@ def nearest(
         S.StructField("score", S.DoubleType()),
     ]
 
+    digits = ranking.SCORE_DIGITS
+
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -85,7 +87,7 @@ def nearest(
                 qm = np.stack([np.asarray(x, "float64") for x in qv])
                 norm = np.linalg.norm(qm, axis=1, keepdims=True)
                 qm = np.divide(qm, norm, out=np.zeros_like(qm), where=norm > 0)
-                sims = np.round(qm @ matrix.T, ranking.SCORE_DIGITS) + 0.0
+                sims = np.round(qm @ matrix.T, digits) + 0.0
                 if sims.shape[1] > k:
                     floor = np.partition(sims, -k, axis=1)[:, -k]
                     at, hit = np.nonzero(sims >= floor[:, None])
