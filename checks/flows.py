@@ -35,9 +35,9 @@ CHECKS["win_01_first_per_fingerprint"] = (
     f"WITH {SQL_CORPUS} SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower({sql_strip('left(content, 200)')}) ORDER BY doc_id) AS rn FROM corpus WHERE {sql_strip('content')} <> '') WHERE rn = 1",
 )
 CHECKS["joi_05_new_documents"] = (
-    lambda spark, sf: dedup.new_documents(corpus(spark, sf).where("doc_id % 3 = 0"), corpus(spark, sf).where("doc_id % 3 <> 0"), order=["doc_id"]).select("doc_id"),
-    f"""WITH {SQL_CORPUS}, f AS (SELECT doc_id, lower({sql_strip('left(content, 200)')}) AS fp FROM corpus WHERE {sql_strip('content')} <> '')
-    SELECT min(doc_id) AS doc_id FROM f WHERE doc_id % 3 = 0 AND fp NOT IN (SELECT fp FROM f WHERE doc_id % 3 <> 0) GROUP BY fp""",
+    lambda spark, sf: dedup.new_documents(corpus(spark, sf).where("persona_id < 'src15'"), corpus(spark, sf).where("persona_id >= 'src15'"), order=["doc_id"]).select("doc_id"),
+    f"""WITH {SQL_CORPUS}, f AS (SELECT doc_id, lower({sql_strip('left(content, 200)')}) AS fp, persona_id < 'src15' AS fresh FROM corpus WHERE {sql_strip('content')} <> '')
+    SELECT min(doc_id) AS doc_id FROM f WHERE fresh AND fp NOT IN (SELECT fp FROM f WHERE NOT fresh) GROUP BY fp""",
 )
 
 
@@ -61,7 +61,7 @@ CHECKS["win_03_neighbour_similarity"] = (
     lambda spark, sf: neighbour(spark, sf).where("sim IS NOT NULL").select("doc_id", "pos", "sim"),
     f"WITH {_SIM} SELECT * FROM sim",
 )
-_THR = f"{_SIM}, thr AS (SELECT doc_id, least(greatest(quantile_cont(sim, 0.1), 0.5), 0.8) AS threshold, list(sim ORDER BY pos) AS sims FROM sim GROUP BY 1)"
+_THR = f"{_SIM}, thr AS (SELECT doc_id, round(least(greatest(quantile_cont(sim, 0.1), 0.5), 0.8), 7) AS threshold, list(sim ORDER BY pos) AS sims FROM sim GROUP BY 1)"
 
 
 def paragraphed(spark, sf):
@@ -71,13 +71,13 @@ def paragraphed(spark, sf):
 
 
 CHECKS["chk_11_semantic_paragraphs"] = (
-    lambda spark, sf: paragraphed(spark, sf).select("doc_id", "threshold", "paragraphs", F.md5("formatted").alias("formatted")),
+    lambda spark, sf: paragraphed(spark, sf).select("doc_id", F.round(F.col("threshold") * 10**7).cast("bigint").alias("threshold_e7"), "paragraphs", F.md5("formatted").alias("formatted")),
     f"""WITH RECURSIVE {_THR}, d AS (SELECT ss.doc_id, s, coalesce(threshold, -1) AS threshold, list_transform(coalesce(sims, []), lambda x: x < threshold) AS low FROM ss LEFT JOIN thr USING (doc_id) WHERE len(s) > 0),
     r AS (SELECT doc_id, s, low, 0 AS i, 1 AS size, 0 AS grp FROM d WHERE len(s) > 3
       UNION ALL SELECT doc_id, s, low, i + 1, CASE WHEN (low[i + 1] AND size >= 3) OR size >= 8 THEN 1 ELSE size + 1 END, CASE WHEN (low[i + 1] AND size >= 3) OR size >= 8 THEN grp + 1 ELSE grp END FROM r WHERE i + 1 < len(s)),
     p AS (SELECT doc_id, grp, array_to_string(s[min(i) + 1:max(i) + 1], ' ') AS t FROM r GROUP BY doc_id, grp, s),
     f AS (SELECT doc_id, count(*) AS paragraphs, string_agg(t, chr(10) || chr(10) ORDER BY grp) AS formatted FROM p GROUP BY 1)
-    SELECT doc_id, round(threshold, 6) AS threshold, coalesce(paragraphs, 1) AS paragraphs, md5(coalesce(formatted, array_to_string(s, ' '))) AS formatted FROM d LEFT JOIN f USING (doc_id)""",
+    SELECT doc_id, round(threshold * 10000000)::BIGINT AS threshold_e7, coalesce(paragraphs, 1) AS paragraphs, md5(coalesce(formatted, array_to_string(s, ' '))) AS formatted FROM d LEFT JOIN f USING (doc_id)""",
 )
 CHECKS["win_05_recent_mean"] = (
     lambda spark, sf: r6(E.recent_mean(runs(spark, sf).withColumn("rerank", F.when(F.col("run_id") % 3 != 0, F.col("seconds"))), ["operation"], ["seconds", "rerank"], 100), "seconds_mean", "rerank_mean"),

@@ -35,9 +35,9 @@ CHECKS["fun_01_cache_keys"] = (
     f"""WITH {SQL_CORPUS} SELECT doc_id, md5('["' || persona_id || '","' || doc_id || '"]') AS call_key, substr(sha256(content), 1, 16) AS short,
     'transcripts:' || persona_id || ':search:' || substr(sha256('{{"content":"' || language || '","knowledge_type":"transcripts","operation":"search","persona_id":"' || persona_id || '"}}'), 1, 16) AS cache_key FROM corpus""",
 )
+_LANES = " || ',' || ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::BIGINT" for i in range(8))
 _HASH = f"""{SQL_CORPUS}, hr AS (SELECT persona_id, sha256(source || ':' || content) AS h FROM corpus),
-  hb AS (SELECT persona_id, left(h, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS bh, count(*) AS n FROM hr GROUP BY ALL),
-  hashes AS (SELECT persona_id, sha256(string_agg(bh, '' ORDER BY b)) AS corpus_hash, sum(n)::BIGINT AS documents FROM hb GROUP BY 1)"""
+  hashes AS (SELECT persona_id, sha256(',' || {_LANES} || ',' || count(*)) AS corpus_hash, count(*) AS documents FROM hr GROUP BY 1)"""
 CHECKS["fun_02_corpus_hash"] = (
     lambda spark, sf: keys.corpus_hash(corpus(spark, sf), ["persona_id"]),
     f"WITH {_HASH} SELECT * FROM hashes",
@@ -61,12 +61,13 @@ CHECKS["fun_03_extract_json"] = (
     f"""SELECT doc_id, ['direct', 'tag', 'fence', 'bracket', 'failed'][doc_id % 5 + 1] AS method, CASE WHEN doc_id % 5 = 4 THEN '' ELSE {_BODY} END AS json FROM documents""",
 )
 CHECKS["fun_08_final_answer"] = (
-    lambda spark, sf: reply_rows(spark, sf).where("doc_id % 5 IN (0, 4)").select("doc_id", replies.final_answer(F.col("reply")).alias("answer")),
-    f"""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'no json here' ELSE array_to_string(string_split(translate(text, '"\\' || chr(10), '   '), ' ')[1:5], ' ') END AS answer FROM documents WHERE doc_id % 5 IN (0, 4)""",
+    lambda spark, sf: reply_rows(spark, sf).select("doc_id", replies.final_answer(F.col("reply")).alias("answer")),
+    f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN array_to_string(string_split(translate(text, '"\\' || chr(10), '   '), ' ')[1:5], ' ') WHEN 1 THEN 'Here: <json_output>' || chr(10) || {_BODY} || chr(10) || '</json_output> done'
+    WHEN 2 THEN '```json' || chr(10) || {_BODY} || chr(10) || '```' WHEN 3 THEN 'I think ' || {_BODY} || ' fits.' ELSE 'no json here' END AS answer FROM documents""",
 )
 CHECKS["fun_04_choose_template"] = (
-    lambda spark, sf: corpus(spark, sf).select("doc_id", P.choose_template(F.substring("content", 1, 400)).alias("template"), P.choose_task(F.substring("content", 1, 400)).alias("task")),
-    f"SELECT doc_id, {sql_class('lower(substring(text, 1, 400))', fixed.TEMPLATE_RULES, chr(39) + 'detailed_explanation' + chr(39))} AS template, {sql_class('lower(substring(text, 1, 400))', fixed.TASK_RULES, chr(39) + 'general' + chr(39))} AS task FROM documents",
+    lambda spark, sf: corpus(spark, sf).select("doc_id", P.choose_template(F.col("content")).alias("template"), P.choose_task(F.col("content")).alias("task")),
+    f"SELECT doc_id, {sql_class('lower(text)', fixed.TEMPLATE_RULES, chr(39) + 'detailed_explanation' + chr(39))} AS template, {sql_class('lower(text)', fixed.TASK_RULES, chr(39) + 'general' + chr(39))} AS task FROM documents",
 )
 CHECKS["fun_05_fill_template"] = (
     lambda spark, sf: queries_table(spark, sf).select("query_id", P.fill_template(P.choose_template(F.col("query")), F.col("query")).alias("prompt")),
@@ -208,8 +209,8 @@ CHECKS["kno_08_evidence_strength"] = (
     + least(list_sum(list_transform(supporting_evidence, lambda e: length(e))) / len(supporting_evidence) / 200.0::DOUBLE, 1) * 0.6::DOUBLE, 3) END AS evidence_strength FROM belief_items""",
 )
 CHECKS["kno_09_belief_type"] = (
-    lambda spark, sf: corpus(spark, sf).select("doc_id", N.belief_type(F.col("content"), F.col("persona_id")).alias("belief_type"), N.standard_category(F.substring("content", 1, 300)).alias("standard")),
-    f"SELECT doc_id, {sql_class('lower(text || chr(32) || source)', fixed.BELIEF_TYPES, chr(39) + 'general' + chr(39))} AS belief_type, {sql_class('c', fixed.STANDARD_CATEGORIES, 'c')} AS standard FROM (SELECT *, {sql_strip('lower(substring(text, 1, 300))')} AS c FROM documents)",
+    lambda spark, sf: corpus(spark, sf).select("doc_id", N.belief_type(F.col("content"), F.col("persona_id")).alias("belief_type"), F.md5(N.standard_category(F.col("content"))).alias("standard")),
+    f"SELECT doc_id, {sql_class('lower(text || chr(32) || source)', fixed.BELIEF_TYPES, chr(39) + 'general' + chr(39))} AS belief_type, md5({sql_class('c', fixed.STANDARD_CATEGORIES, 'c')}) AS standard FROM (SELECT *, {sql_strip('lower(text)')} AS c FROM documents)",
 )
 
 
@@ -284,8 +285,8 @@ def personas(spark, sf):
     """One nested record per tenant from its records."""
     from marginalia.plans.persona import assemble_personas
 
-    m = models(spark, sf).where("doc_id % 10 < 4")
-    b = beliefs(spark, sf).where("doc_id % 10 >= 5")
+    m = models(spark, sf).where("language IN ('en', 'fr')")
+    b = beliefs(spark, sf).where("language <> 'en'")
     style = corpus(spark, sf).groupBy("persona_id").agg(F.count("*").alias("n")).select("persona_id", F.struct(
         F.when(F.col("persona_id").isin("src1", "src2"), F.lit("")).otherwise(F.lit("calm and plain")).alias("tone"),
         F.array(F.lit("ab"), F.lit("catch one"), F.lit("two")).alias("catchphrases"), F.array(F.lit("x"), F.col("persona_id")).alias("vocabulary"),
@@ -295,7 +296,7 @@ def personas(spark, sf):
     return assemble_personas(m, b, style, totals, order="doc_id")
 
 
-_PERS = f"""{SQL_MODELS_CTE}, {SQL_BELIEFS_CTE.replace(SQL_CORPUS + ', ', '')}, pm AS (SELECT * FROM model_items WHERE doc_id % 10 < 4), pb AS (SELECT * FROM belief_items WHERE doc_id % 10 >= 5),
+_PERS = f"""{SQL_MODELS_CTE}, {SQL_BELIEFS_CTE.replace(SQL_CORPUS + ', ', '')}, pm AS (SELECT * FROM model_items WHERE language IN ('en', 'fr')), pb AS (SELECT * FROM belief_items WHERE language <> 'en'),
   pa AS (SELECT persona_id, sum(len({sql_words('content')}))::BIGINT AS w, count(*) AS d, CASE WHEN persona_id IN ('src1', 'src2') THEN '' ELSE 'calm and plain' END AS tone FROM corpus GROUP BY 1),
   am AS (SELECT persona_id, count(*) AS n, sum(confidence_score) AS c FROM pm GROUP BY 1), ab AS (SELECT persona_id, count(*) AS n, sum(confidence_score) AS c FROM pb GROUP BY 1),
   p AS (SELECT pa.*, coalesce(am.n, 0) AS mn, coalesce(am.c, 0) AS mc, coalesce(ab.n, 0) AS bn, coalesce(ab.c, 0) AS bc FROM pa LEFT JOIN am USING (persona_id) LEFT JOIN ab USING (persona_id))"""

@@ -267,12 +267,17 @@ def consolidate(
     ).where(F.col("frequency") >= min_frequency)
     merged = ranking.top_k(merged, scope, [F.desc("frequency"), F.desc("confidence_score"), F.asc("_key")], top)
     for field in lists:
-        items = rows.join(merged.select(*keys), keys, "left_semi").select(*keys, F.explode(field).alias("_v")).distinct()
+        items = cluster_items(rows.join(merged.select(*keys), keys, "left_semi"), keys, field)
         gathered = items.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias(field))
         merged = merged.join(gathered, keys, "left").withColumn(field, F.coalesce(field, F.array().cast("array<string>")))
     return merged.withColumns({name: F.col("_best.name"), body: F.col("_best.body")}).drop("_best", "_key")
 
 
+def cluster_items(rows: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
+    """Distinct list items per cluster as rows; the form to keep where a cluster has very many of them."""
+    return rows.select(*keys, F.explode(field).alias("_v")).distinct()
+
+
 def repeated_names(records: DataFrame, name: str = "name", scope: Sequence[str] = ("persona_id",), order: str = "doc_id", list_field: str = "steps") -> DataFrame:
     """Names seen more than once with their count, first row and whether any row lacks its list."""
     return records.groupBy(*scope, name).agg(

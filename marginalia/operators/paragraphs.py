@@ -32,7 +32,7 @@ def semantic_paragraphs(
         F.array_sort(F.collect_list(item)).alias("_s"), F.percentile("sim", 0.1).alias("_p"), F.count("*").alias("_n")
     )
     per_doc = per_doc.withColumn(
-        "threshold", F.when(F.col("_p").isNotNull(), F.least(F.greatest("_p", F.lit(low)), F.lit(high)))
+        "threshold", F.when(F.col("_p").isNotNull(), F.round(F.least(F.greatest("_p", F.lit(low)), F.lit(high)), 7))
     )
     flags = F.transform(F.slice("_s", F.lit(1), F.greatest(F.col("_n").cast("int") - 1, F.lit(0))), lambda x: x["sim"] < F.col("threshold"))
     per_doc = per_doc.withColumn("_flags", flags).withColumn("_runs", folds.paragraph_runs(F.col("_flags"), min_len, max_len))
@@ -41,7 +41,7 @@ def semantic_paragraphs(
     paragraphs = F.transform("_runs", lambda r: F.array_join(F.slice("_t", r["start"], r["len"]), " "))
     whole = F.col("_n") <= 3
     return per_doc.select(
-        id_col, F.round(F.coalesce("threshold", F.lit(-1.0)), 6).alias("threshold"),
+        id_col, F.coalesce("threshold", F.lit(-1.0)).alias("threshold"),
         F.when(whole, F.lit(1)).otherwise(F.size("_runs")).alias("paragraphs"),
         F.when(whole, F.array_join("_t", " ")).otherwise(F.array_join(paragraphs, "\n\n")).alias("formatted"),
     )

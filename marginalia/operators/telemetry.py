@@ -104,10 +104,10 @@ def recent_mean(runs: DataFrame, keys: Sequence[str], stages: Sequence[str], n:
     return last.groupBy(*keys).agg(F.count("*").alias("runs"), *[F.avg(F.coalesce(F.col(s), F.lit(0.0))).alias(f"{s}_mean") for s in stages])
 
 
-def running_latency(queries: DataFrame, scope: Sequence[str], order: Sequence[str], *, latency: str = "latency_ms", hit: str = "cache_hit") -> DataFrame:
-    """Mean latency and hit rate up to and including each query."""
+def running_latency(queries: DataFrame, scope: Sequence[str], order: Sequence[str], *, latency: str = "latency_ms", hit: str = "cache_hit", slice_width: int = 3_600_000_000) -> DataFrame:
+    """Mean latency and hit rate up to and including each query; `order[0]` is in microseconds, sliced by the hour."""
     values = {"_n0": F.lit(1), "_l0": F.col(latency), "_h0": F.col(hit).cast("int")}
-    rows = running_total(queries, scope, order, values)
+    rows = running_total(queries, scope, order, values, slice_width=slice_width)
     n = F.col("_n0") + 1
     return rows.withColumns({
         "queries": n, "mean_latency": (F.col("_l0") + F.col(latency)) / n,
