@@ -75,10 +75,6 @@ def queries_table(spark: SparkSession, sf: str) -> DataFrame:
 SQL_QUERIES = "queries AS (SELECT item_id AS query_id, substring(text, 1, 80) AS query FROM benchmark)"
 
 
-def r6(c):
-    return F.round(c, 6)
-
-
 def confidence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select("doc_id", (0.5 + 0.5 * F.col("quality")).alias("confidence_score"))
 

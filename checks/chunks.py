@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import chunking as C
-from marginalia.operators import folds
 
 from .base import (
-    SQL_CORPUS, WS, corpus, sql_alpha, sql_chunks, sql_pack, sql_sentences, sql_strip, sql_words, table,
+    SQL_CORPUS, corpus, sql_chunks, sql_pack, sql_sentences, sql_strip, sql_words, table,
 )
 
 CHECKS = {}

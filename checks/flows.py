@@ -6,7 +6,6 @@ from marginalia.functions import keys
 from marginalia.functions import text as T
 from marginalia.operators import assembly, dedup, knowledge as N, telemetry as E
 from marginalia.operators import keyword_search as K
-from marginalia.operators import linguistics as L
 from marginalia.plans import persona as PE
 from marginalia.plans import report as RP
 from marginalia.session import cut_lineage, scratch_path
@@ -14,11 +13,11 @@ from marginalia.sources import artifacts, collections, files, logs, registry
 from marginalia.streaming import telemetry as ST
 
 from .base import (
-    SQL_CORPUS, SQL_MODELS_CTE, SQL_QUERIES, beliefs, corpus, models, queries_table, sql_chunks, sql_pack, sql_sentences, sql_strip,
+    SQL_CORPUS, SQL_MODELS_CTE, SQL_QUERIES, corpus, models, sql_chunks, sql_pack, sql_sentences, sql_strip,
     sql_words, table,
 )
 from .chunks import chunks
-from .records import _HASH, candidates as record_candidates, model_docs
+from .records import _HASH
 from .search import COS, EMBED, sql_bm25, sql_nearest, sql_vectors
 from .stats import _KW, _READ
 

@@ -9,16 +9,14 @@ from marginalia.operators import corpus_stats as A
 from marginalia.operators import dedup as D
 from marginalia.operators import knowledge as N
 from marginalia.operators import linguistics as L
-from marginalia.operators import models as M
 from marginalia.operators import quality as Q
-from marginalia.operators import rerank as RR
 from marginalia.plans import retrieval as P
 
 from .base import (
-    SQL_BELIEFS, SQL_BELIEFS_CTE, SQL_CORPUS, SQL_MODELS, SQL_MODELS_CTE, SQL_QUERIES, WS, beliefs, corpus, models, queries_table,
-    sql_class, sql_list, sql_strip, sql_tokens, sql_words, table,
+    SQL_BELIEFS, SQL_BELIEFS_CTE, SQL_CORPUS, SQL_MODELS, SQL_MODELS_CTE, SQL_QUERIES, beliefs, corpus, models, queries_table,
+    sql_class, sql_list, sql_strip, sql_words, table,
 )
-from .search import COS, DIM, EMBED, SQL_TQ, sql_nearest, sql_overlap, sql_vectors, tenant_queries
+from .search import EMBED, SQL_TQ, sql_nearest, sql_overlap, sql_vectors, tenant_queries
 
 CHECKS = {}
 

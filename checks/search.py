@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from marginalia.functions import text as T
 from marginalia.operators import chunking as C
 from marginalia.operators import keyword_search as K
 from marginalia.operators import models as M

@@ -9,7 +9,7 @@ from marginalia.operators import corpus_stats as A
 from marginalia.operators import linguistics as L
 
 from .base import (
-    SQL_BELIEFS_CTE, SQL_CORPUS, SQL_MODELS, SQL_MODELS_CTE, beliefs, corpus, models, sql_alpha, sql_chunks, sql_list,
+    SQL_CORPUS, SQL_MODELS, beliefs, corpus, models, sql_alpha, sql_chunks, sql_list,
     sql_sentences, sql_strip, sql_words, table,
 )
 from .chunks import SQL_BOOKS, books, chunks
