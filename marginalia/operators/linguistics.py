@@ -39,7 +39,7 @@ def keywords(
     docs = docs.select(*scope, id_col, content)
     n_table = docs.groupBy(*scope).agg(F.count("*").alias("n_docs"))
     terms = tfidf.ngrams(keyword_tokens(F.col(content), stop_words), *grams)
-    vocab = broadcast_if_small(tfidf.vocabulary(docs, terms, max_terms, min_df, max_df, scope))
+    vocab = broadcast_if_small(cut_lineage(tfidf.vocabulary(docs, terms, max_terms, min_df, max_df, scope)))
     w = tfidf.weights(tfidf.term_counts(docs, id_col, terms, vocab, scope), id_col, scope)
     mean = (
         w.groupBy(*scope, "term").agg(F.sum("weight").alias("total")).join(n_table, scope)
@@ -304,6 +304,7 @@ def repeated_phrases(
     rows = docs.select(*scope, F.explode_outer(phrases).alias("phrase")).where("phrase IS NOT NULL")
     hashed = rows.select(*scope, F.xxhash64("phrase").alias("_h"))
     repeated = hashed.groupBy(*scope, "_h").agg(F.count("*").alias("c")).where("c >= 2").select(*scope, "_h")
+    repeated = cut_lineage(repeated)
     kept = rows.withColumn("_h", F.xxhash64("phrase")).join(broadcast_if_small(repeated, 1_000_000), [*scope, "_h"], "left_semi")
     return kept.groupBy(*scope, "phrase").agg(F.count("*").alias("n")).where("n >= 2")
 

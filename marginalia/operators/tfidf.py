@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import let, posexplode_rows
+from ..session import cut_lineage
 from . import ranking
 
 
@@ -89,7 +90,7 @@ def search(
         return ngrams(F.filter(toks, lambda t: ~t.isin(list(stop_words))) if stop_words else toks, 1, 2)
 
     terms = grams(F.col(text))
-    vocab = F.broadcast(vocabulary(docs.select(text), terms, max_terms))  # at most max_terms rows
+    vocab = F.broadcast(cut_lineage(vocabulary(docs.select(text), terms, max_terms)))  # at most max_terms rows
     doc_w = weights(term_counts(docs.select(id_col, text), id_col, terms, vocab), id_col)
     query_w = weights(term_counts(queries, "query_id", grams(F.col("query")), vocab), "query_id")
     sims = (
