@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, decontaminate, exact_dedup, language, line_dedup
+from marginalia.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup
 from marginalia.llm.common import crc_mod, stored, table
 from marginalia.llm.sql import SQL
 
@@ -46,5 +46,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_language_id, op6_decontaminate, op8_exact_dedup)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_language_id, op6_decontaminate, op8_exact_dedup, op9_minhash_near_dedup)}
 CHECKS = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}
