@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import stored
+from marginalia.session import broadcast_if_small
 
+_HOT = 500
 _MOST_BITS = 28  # 32 MB of bitmaps: the most that is broadcast
 
 
@@ -76,7 +78,12 @@ def exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     copies = marked.filter("suspect")
     best = copies.groupBy("digest").agg(
         F.min(F.struct((-F.col("n")).alias("longest"), F.col("id").alias("id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    shuffled = copies.join(best, "digest").select("id", F.col("best.id").alias("keep_id"), "group_size", "digest")
+    best = stored(best.select("digest", F.col("best.id").alias("keep_id"), "group_size"), "copy-groups")
+    # large groups are few: their rows take the answer where they lie, the rest is shuffled by digest
+    hot = broadcast_if_small(best.filter(F.col("group_size") >= _HOT).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")))
+    split = copies.join(hot, "digest", "left")
+    shuffled = split.filter("hot_size is not null").select("id", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"), "digest").unionByName(
+        split.filter("hot_size is null").join(best.filter(F.col("group_size") < _HOT), "digest").select("id", "keep_id", "group_size", "digest"))
     unique = marked.filter("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest")
     return unique.unionByName(shuffled).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup
-from marginalia.llm.common import crc_mod, stored, table
+from marginalia.llm import bpe, decontaminate, exact_dedup, html_text, language, line_dedup, near_dedup, quality, sharding, toxicity
+from marginalia.llm.common import crc_mod, table
 from marginalia.llm.sql import SQL
 
 LANG_HELD_OUT = 1
+FOLDS = 5
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, max_words: int = 6_000_000) -
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", FOLDS) != 0), "quality")
+    return _judged(quality.score(docs, machine), 0.3)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(crc_mod("doc_id", 3) != LANG_HELD_OUT))
@@ -33,6 +40,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 3) == LANG_HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_text.extract(pages, html_text.fit(pages))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.mark_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -42,6 +55,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    size = F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / 32
+    out = sharding.kd_shards(docs, {"source": sharding.name_value("source"), "lang": sharding.name_value("lang"), "size": size}, shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -50,5 +70,17 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_language_id, op6_decontaminate, op8_exact_dedup, op9_minhash_near_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", FOLDS) != 0), "toxic")
+    return _judged(toxicity.score(docs, model), 0.5)
+
+
+def _judged(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_byte_bpe, op3_quality, op4_language_id, op5_html_text, op6_decontaminate, op7_kd_shards, op8_exact_dedup,
+    op9_minhash_near_dedup, op10_toxicity)}
 CHECKS = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}
