@@ -102,11 +102,11 @@ CHECKS["chk_06_chapters"] = (
     SELECT doc_id, j - 1 AS i, ch[j]['title'] AS title, counts[j] AS word_count, md5(ch[j]['content']) AS content FROM e""",
 )
 _INLINE_SPARK = lambda d: d.select("doc_id", F.concat(F.lit("book_"), F.col("doc_id").cast("string")).alias("book"), F.array_join(F.transform(
-    T.sentences(F.col("content")), lambda s, i: F.concat(F.lit("CHAPTER "), (i + 1).cast("string"), F.lit(": "), F.translate(s, "cC", "kK"))), " ").alias("content"))
+    T.sentences(F.col("content")), lambda s, i: F.concat(F.lit("CHAPTER "), (i + 1).cast("string"), F.lit(": "), s)), " ").alias("content"))
 CHECKS["chk_07_inline_chapters"] = (
     lambda spark, sf: C.split_books(_INLINE_SPARK(corpus(spark, sf))).select("doc_id", F.posexplode_outer("chapters").alias("i", "c")).where("i IS NOT NULL").select(
         "doc_id", "i", F.col("c.title").alias("title"), F.md5("c.content").alias("content")),
-    rf"""WITH {SQL_CORPUS}, s AS (SELECT doc_id, list_transform({sql_sentences('content')}, lambda s: translate(s, 'cC', 'kK')) AS ss FROM corpus),
+    rf"""WITH {SQL_CORPUS}, s AS (SELECT doc_id, {sql_sentences('content')} AS ss FROM corpus),
     b AS (SELECT doc_id, array_to_string(list_transform(ss, lambda s, i: 'CHAPTER ' || i || ': ' || s), ' ') AS book, list_transform(ss, lambda s, i: 'CHAPTER ' || i || ': ' || s) AS p, len(ss) AS n FROM s),
     e AS (SELECT doc_id, unnest(CASE WHEN n > 3 THEN p WHEN n > 0 THEN [book] ELSE [''] END) AS c, unnest(generate_series(1, CASE WHEN n > 3 THEN n ELSE 1 END)) AS j, n FROM b)
     SELECT doc_id, j - 1 AS i, CASE WHEN n > 3 THEN concat_ws(': ', 'Chapter ' || j, nullif({sql_strip(r"regexp_extract(c, '(?i)^CHAPTER\s+\d+:\s*([^.\n]+)', 1)")}, '')) ELSE 'book_' || doc_id END AS title, md5(c) AS content FROM e""",

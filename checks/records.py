@@ -42,26 +42,32 @@ CHECKS["fun_02_corpus_hash"] = (
 )
 
 
+REPLY_TAGS = ["json_output", "output_block", "json", "response", "result", "output"]
+_WRAPS = [("", ""), *((f"Here: <{t}>\n", f"\n</{t}> done") for t in REPLY_TAGS), ("```json\n", "\n```"), ("I think ", " fits [as said]."),
+          ("<output_block><json_output>", "</json_output></output_block>"), ("See <result>", "")]
+
+
 def reply_rows(spark, sf):
-    """Model replies made of the documents' first words, wrapped in the ways replies come."""
-    body = F.concat(F.lit('{"answer": "'), F.substring_index(F.translate("content", '"\\\n', "   "), " ", 5), F.lit('", "n": '), F.col("doc_id").cast("string"), F.lit("}"))
-    wrapped = (F.when(F.col("doc_id") % 5 == 0, body)
-               .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("Here: <json_output>\n"), body, F.lit("\n</json_output> done")))
-               .when(F.col("doc_id") % 5 == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-               .when(F.col("doc_id") % 5 == 3, F.concat(F.lit("I think "), body, F.lit(" fits.")))
-               .otherwise(F.lit("no json here")))
+    """Model replies that hold a whole document five objects deep, wrapped in the ways replies come."""
+    body = F.concat(F.lit('{"answer": "'), F.translate("content", '"\\\n', "   "), F.lit('", "n": {"a": {"b": {"c": {"d": ['), F.col("doc_id").cast("string"), F.lit("]}}}}}"))
+    n = F.col("doc_id") % (len(_WRAPS) + 1)
+    wrapped = F.lit("no json here")
+    for i, (head, tail) in enumerate(_WRAPS):
+        wrapped = F.when(n == i, F.concat(F.lit(head), body, F.lit(tail))).otherwise(wrapped)
     return corpus(spark, sf).select("doc_id", wrapped.alias("reply"))
 
 
-_BODY = """'{"answer": "' || array_to_string(string_split(translate(text, '"\\' || chr(10), '   '), ' ')[1:5], ' ') || '", "n": ' || doc_id || '}'"""
+_BODY = """'{"answer": "' || translate(text, '"\\' || chr(10), '   ') || '", "n": {"a": {"b": {"c": {"d": [' || doc_id || ']}}}}}'"""
+_METHODS = ["direct", *["tag"] * 6, "fence", "bracket", "tag", "tag", "failed"]
+_SQL_TEXT = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+_SQL_REPLY = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN {_SQL_TEXT(a)} || {_BODY} || {_SQL_TEXT(b)}" for i, (a, b) in enumerate(_WRAPS) if i) + " ELSE 'no json here' END"
 CHECKS["fun_03_extract_json"] = (
-    lambda spark, sf: reply_rows(spark, sf).withColumn("r", replies.extract_json(F.col("reply"))).select("doc_id", "r.method", F.coalesce("r.json", F.lit("")).alias("json")),
-    f"""SELECT doc_id, ['direct', 'tag', 'fence', 'bracket', 'failed'][doc_id % 5 + 1] AS method, CASE WHEN doc_id % 5 = 4 THEN '' ELSE {_BODY} END AS json FROM documents""",
+    lambda spark, sf: reply_rows(spark, sf).withColumn("r", replies.extract_json(F.col("reply"))).select("doc_id", "r.method", F.md5(F.coalesce("r.json", F.lit(""))).alias("json")),
+    f"""SELECT doc_id, {_METHODS}[doc_id % 12 + 1] AS method, md5(CASE WHEN doc_id % 12 = 11 THEN '' ELSE {_BODY} END) AS json FROM documents""",
 )
 CHECKS["fun_08_final_answer"] = (
-    lambda spark, sf: reply_rows(spark, sf).select("doc_id", replies.final_answer(F.col("reply")).alias("answer")),
-    f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN array_to_string(string_split(translate(text, '"\\' || chr(10), '   '), ' ')[1:5], ' ') WHEN 1 THEN 'Here: <json_output>' || chr(10) || {_BODY} || chr(10) || '</json_output> done'
-    WHEN 2 THEN '```json' || chr(10) || {_BODY} || chr(10) || '```' WHEN 3 THEN 'I think ' || {_BODY} || ' fits.' ELSE 'no json here' END AS answer FROM documents""",
+    lambda spark, sf: reply_rows(spark, sf).select("doc_id", F.md5(replies.final_answer(F.col("reply"))).alias("answer")),
+    f"""SELECT doc_id, md5(CASE WHEN doc_id % 12 = 0 THEN translate(text, '"\\' || chr(10), '   ') ELSE {_SQL_REPLY} END) AS answer FROM documents""",
 )
 CHECKS["fun_04_choose_template"] = (
     lambda spark, sf: corpus(spark, sf).select("doc_id", P.choose_template(F.col("content")).alias("template"), P.choose_task(F.col("content")).alias("task")),

@@ -140,7 +140,7 @@ CHAPTER_PATTERNS = [
     r"^#{1,3}\s+Chapter.*$",
     r"^#{1,2}\s+[A-Z][A-Z\s]{10,}$",
 ]
-INLINE_CHAPTER = r"CHAPTER\s+\d+:\s*[^C]*?(?=CHAPTER\s+\d+:|$)"
+INLINE_HEADING = r"CHAPTER\s+\d+:"
 
 # File handling.
 TEXT_SUFFIXES = [".txt", ".md", ".markdown", ".text"]

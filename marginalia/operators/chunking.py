@@ -148,7 +148,9 @@ def chapters(content: Column, book: Column) -> Column:
     Inline `CHAPTER n:` headings if more than three, else the first heading pattern with at least two
     matches, else the whole book.
     """
-    inline = F.regexp_extract_all(content, F.lit("(?is)" + fixed.INLINE_CHAPTER), F.lit(0))
+    # mark every heading, cut at the marks: a chapter reaches to the next heading or the end, whatever its letters
+    parts = F.split(F.regexp_replace(content, "(?i)" + fixed.INLINE_HEADING, "\u0001$0"), "\u0001")
+    inline = let(parts, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
     inline_rows = F.transform(
         inline,
         lambda m, i: F.struct(

@@ -43,16 +43,18 @@ def fusion_weights(bm25: float | None, vector: float | None) -> tuple[float, flo
     return (b / total, v / total) if total else (0.0, 0.0)
 
 
-def merge_lists(bm25: DataFrame, vector: DataFrame, id_col: str = "doc_id", score: str = "score") -> DataFrame:
-    """Both scores per (query, id), 0 where a list misses the id.
+def merge_lists(
+    bm25: DataFrame, vector: DataFrame, id_col: str = "doc_id", score: str = "score", keys: Sequence[str] = ("query_id",),
+) -> DataFrame:
+    """Both scores per (keys, id), 0 where a list misses the id.
 
     A union followed by one aggregation: same rows as a full outer join with one shuffle instead of two.
     """
-    left = bm25.select("query_id", id_col, F.col(score).alias("bm25_score"), F.lit(None).cast("double").alias("vector_score"))
-    right = vector.select("query_id", id_col, F.lit(None).cast("double").alias("bm25_score"), F.col(score).alias("vector_score"))
+    left = bm25.select(*keys, id_col, F.col(score).alias("bm25_score"), F.lit(None).cast("double").alias("vector_score"))
+    right = vector.select(*keys, id_col, F.lit(None).cast("double").alias("bm25_score"), F.col(score).alias("vector_score"))
     return (
         left.unionByName(right)
-        .groupBy("query_id", id_col)
+        .groupBy(*keys, id_col)
         .agg(
             F.coalesce(F.max("bm25_score"), F.lit(0.0)).alias("bm25_score"),
             F.coalesce(F.max("vector_score"), F.lit(0.0)).alias("vector_score"),
@@ -62,30 +64,31 @@ def merge_lists(bm25: DataFrame, vector: DataFrame, id_col: str = "doc_id", scor
 
 def weighted_fusion(
     bm25: DataFrame, vector: DataFrame, k: int = 20, *, id_col: str = "doc_id",
-    bm25_weight: float | None = None, vector_weight: float | None = None,
+    bm25_weight: float | None = None, vector_weight: float | None = None, keys: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """Min-max both lists and rank by the weighted sum."""
+    """Min-max both lists and rank by the weighted sum. `keys` name a list: the query, and its tenant if any."""
     wb, wv = fusion_weights(bm25_weight, vector_weight)
-    merged = merge_lists(min_max(bm25), min_max(vector), id_col, "norm_score")
+    merged = merge_lists(min_max(bm25, keys), min_max(vector, keys), id_col, "norm_score", keys)
     scored = merged.withColumn("score", rounded(F.col("bm25_score") * wb + F.col("vector_score") * wv))
-    return best(scored, ["query_id"], k, id_col)
+    return best(scored, keys, k, id_col)
 
 
 def reciprocal_rank_fusion(
-    lists: Sequence[DataFrame], k: int = 20, rrf_k: int = 60, id_col: str = "doc_id"
+    lists: Sequence[DataFrame], k: int = 20, rrf_k: int = 60, id_col: str = "doc_id", keys: Sequence[str] = ("query_id",),
 ) -> DataFrame:
     """Sum of 1 / (zero-based rank + rrf_k) over the lists."""
     rows = None
     for hits in lists:
-        part = hits.select("query_id", id_col, (F.lit(1.0) / (F.col("rank") - 1 + rrf_k)).alias("part"))
+        part = hits.select(*keys, id_col, (F.lit(1.0) / (F.col("rank") - 1 + rrf_k)).alias("part"))
         rows = part if rows is None else rows.unionByName(part)
-    scored = rows.groupBy("query_id", id_col).agg(rounded(F.sum("part")).alias("score"))
-    return best(scored, ["query_id"], k, id_col)
+    scored = rows.groupBy(*keys, id_col).agg(rounded(F.sum("part")).alias("score"))
+    return best(scored, keys, k, id_col)
 
 
 def fetch_sizes(k: int, bm25_k: int | None = None, vector_k: int | None = None) -> tuple[int, int]:
-    """How many results each side contributes: twice k, at most 50, unless given."""
-    return bm25_k or min(2 * k, 50), vector_k or min(2 * k, 50)
+    """How many results each side contributes unless given: twice k up to 50, and never fewer than k."""
+    default = max(k, min(2 * k, 50))
+    return default if bm25_k is None else bm25_k, default if vector_k is None else vector_k
 
 
 def compare_runs(first: DataFrame, second: DataFrame, id_col: str = "doc_id") -> DataFrame:

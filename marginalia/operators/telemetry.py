@@ -24,7 +24,7 @@ def result_rows(results: DataFrame, *, kind: Column, settings_hash: Column, now:
 def fresh_results(results: DataFrame, now: Column, max_age_hours: float | None = 24.0) -> DataFrame:
     """Results young enough to be used; the newest per key."""
     if max_age_hours is not None:
-        results = results.where(F.col("saved_at") >= now - F.make_interval(hours=F.lit(int(max_age_hours))))
+        results = results.where(F.col("saved_at") >= now - F.make_interval(secs=F.lit(max_age_hours * 3600.0).cast("decimal(18,6)")))
     return ranking.top_k(results, RESULT_KEYS, [F.desc("saved_at")], 1, "_n").drop("_n")
 
 

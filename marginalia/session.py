@@ -29,13 +29,16 @@ def build_session(app: str = "marginalia", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a local one where it is unset."""
+    """Folder every executor can reach: `spark.checkpoint.dir`. Where it is unset, a local session (as in tests) gets a
+    temporary folder, and a cluster an error: its machines do not share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(base)
     return base

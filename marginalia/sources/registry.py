@@ -9,8 +9,10 @@ from ..functions import text as T
 
 
 def register(registry: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Insert tenants (name, language) that are not there yet; existing ones stay as they are."""
-    rows = new.select(T.persona_id(F.col("name")).alias("persona_id"), "name", "language").dropDuplicates(["persona_id"])
+    """Insert tenants (name, language) that are not there yet; existing ones stay as they are.
+
+    Of several names with one id the smallest is taken."""
+    rows = new.groupBy(T.persona_id(F.col("name")).alias("persona_id")).agg(F.min(F.struct("name", "language")).alias("_r")).select("persona_id", "_r.name", "_r.language")
     rows = rows.join(registry.select("persona_id"), "persona_id", "left_anti")
     rows = rows.withColumns({"created_at": now, "updated_at": now, "documents": F.lit(0).cast("bigint"), "words": F.lit(0).cast("bigint")})
     return registry.unionByName(rows.select(*registry.columns))

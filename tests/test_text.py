@@ -83,6 +83,13 @@ def test_format_time(spark, seconds, want):
     ('```json\n{"a": [1]}\n```', "fence", '{"a": [1]}'),
     ('so {"a": {"b": 2}} or [1]', "bracket", '{"a": {"b": 2}}'),
     ("<json_output>```json\n[2]\n```</json_output>", "fence", "[2]"),
+    ('<result>{"a": {"b": {"c": {"d": {"e": [1]}}}}}</result>', "tag", '{"a": {"b": {"c": {"d": {"e": [1]}}}}}'),
+    ('<output_block><json_output>{"a": 1}</json_output></output_block>', "tag", '{"a": 1}'),
+    ('<output kind="x">{"a": 1}', "tag", '{"a": 1}'),
+    ('one [see below] then {"a": "} ] {", "b": {"c": [[[[2]]]]}} and "more', "bracket", '{"a": "} ] {", "b": {"c": [[[[2]]]]}}'),
+    ('open { and then {"a": [3]}', "bracket", '{"a": [3]}'),
+    ('so {"a": "' + "x" * 50_000 + '"} ok', "bracket", '{"a": "' + "x" * 50_000 + '"}'),
+    ("[" * 20_000, "failed", None),
     ("nothing", "failed", None),
     (None, "failed", None),
 ])
