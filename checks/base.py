@@ -68,11 +68,11 @@ def sql_list(values) -> str:
 
 def queries_table(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query")
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
 
 
-SQL_QUERIES = "queries AS (SELECT item_id AS query_id, substring(text, 1, 80) AS query FROM benchmark)"
+SQL_QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def confidence(spark: SparkSession, sf: str) -> DataFrame:

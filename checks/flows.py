@@ -418,14 +418,14 @@ CHECKS["agg_24_nearest_chunk_report"] = (
 def overview(spark, sf):
     ev = runs(spark, sf).withColumn("persona_id", F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")))
     records = models(spark, sf).groupBy("persona_id").agg(F.count("*").alias("records"))
-    index = K.index_statistics(K.build_index(corpus(spark, sf).where("language = 'en'"), scope=["persona_id"])).select("persona_id", F.col("n_docs"), F.round("avg_len", 6).alias("avg_len"))
+    index = K.index_statistics(K.build_index(corpus(spark, sf), scope=["persona_id"])).select("persona_id", F.col("n_docs"), F.round("avg_len", 6).alias("avg_len"))
     cache = r6(E.cache_statistics(ev.select("persona_id", ~F.col("failed")).toDF("persona_id", "hit"), ["persona_id"]), "hit_rate").select("persona_id", "hit_rate")
     return RP.tenant_overview(records, index, cache, r6(E.recent_mean(ev, ["persona_id"], ["seconds"], 10), "seconds_mean").select("persona_id", "seconds_mean")).na.fill(-1)
 
 
 CHECKS["agg_25_tenant_overview"] = (
     overview,
-    f"""WITH {SQL_CORPUS}, en AS (SELECT * FROM corpus WHERE language = 'en'), {SQL_QUERIES}, pq AS (SELECT *, 'src1' AS persona_id FROM queries), {sql_bm25('en', 'doc_id', 1, 'persona_id', 'pq')}, ev AS (SELECT *, 'src' || (user_id % 25) AS persona_id FROM events),
+    f"""WITH {SQL_CORPUS}, {SQL_QUERIES}, pq AS (SELECT *, 'src1' AS persona_id FROM queries), {sql_bm25('corpus', 'doc_id', 1, 'persona_id', 'pq')}, ev AS (SELECT *, 'src' || (user_id % 25) AS persona_id FROM events),
     r AS (SELECT persona_id, count(*) AS records FROM corpus GROUP BY 1), c AS (SELECT persona_id, round(avg((event_type <> 'error')::INT), 6) AS hit_rate FROM ev GROUP BY 1),
     m AS (SELECT persona_id, round(avg(value), 6) AS seconds_mean FROM (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY ts DESC, event_id DESC) AS rn FROM ev) WHERE rn <= 10 GROUP BY 1)
     SELECT persona_id, coalesce(records, -1) AS records, coalesce(n, -1) AS n_docs, coalesce(round(avgdl, 6), -1) AS avg_len, coalesce(hit_rate, -1) AS hit_rate, coalesce(seconds_mean, -1) AS seconds_mean

@@ -10,6 +10,7 @@ from marginalia.operators import rerank as RR
 from marginalia.operators import tfidf
 from marginalia.operators import vector_search as V
 from marginalia.plans import retrieval as P
+from marginalia.session import scratch_path
 
 from .base import (
     SQL_CORPUS, SQL_QUERIES, corpus, queries_table, sql_chunks, sql_strip, sql_tokens, table,
@@ -37,17 +38,17 @@ def chunks(spark, sf):
 SQL_CH = f"{SQL_CORPUS}, {SQL_UNIQUE}, {sql_chunks(100, 20, 'uniq')}, {SQL_QUERIES}"
 
 
-def sql_bm25(docs: str, idc: str, k: int, scope: str = "", q: str = "queries", name: str = "bm25") -> str:
+def sql_bm25(docs: str, idc: str, k: int, scope: str = "", q: str = "queries", name: str = "bm25", tokens=sql_tokens) -> str:
     """CTE `name(query_id, idc, score, rank)`; `scope` is a column of both sides."""
     s = f"{scope}, " if scope else ""
     on = f"USING ({s}term)"
     stats = f"JOIN {name}_st USING ({scope})" if scope else f"CROSS JOIN {name}_st"
     grp = f"GROUP BY {scope}" if scope else ""
-    return f"""{name}_d AS (SELECT {s}{idc}, {sql_tokens('content')} AS toks FROM {docs} WHERE {sql_strip('content')} <> ''),
+    return f"""{name}_d AS (SELECT {s}{idc}, {tokens('content')} AS toks FROM {docs} WHERE {sql_strip('content')} <> ''),
   {name}_st AS (SELECT {s}count(*) AS n, avg(len(toks)) AS avgdl FROM {name}_d {grp}),
   {name}_tf AS (SELECT {s}{idc}, len(toks) AS dl, term, count(*) AS tf FROM (SELECT {s}{idc}, toks, unnest(toks) AS term FROM {name}_d) GROUP BY ALL),
   {name}_df AS (SELECT {s}term, count(*) AS df FROM {name}_tf GROUP BY ALL),
-  {name}_qt AS (SELECT {s}query_id, term, count(*) AS qtf FROM (SELECT {s}query_id, unnest({sql_tokens('query')}) AS term FROM {q}) GROUP BY ALL),
+  {name}_qt AS (SELECT {s}query_id, term, count(*) AS qtf FROM (SELECT {s}query_id, unnest({tokens('query')}) AS term FROM {q}) GROUP BY ALL),
   {name}_sc AS (SELECT query_id, {idc}, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
     FROM {name}_qt JOIN {name}_tf {on} JOIN {name}_df {on} {stats} GROUP BY query_id, {idc}),
   {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {idc}) AS rank FROM {name}_sc WHERE score > 0) WHERE rank <= {k})"""
@@ -76,6 +77,11 @@ def sql_nearest(name: str, qv: str, dv: str, idc: str, k: int, scope: str = "")
     SELECT query_id, {idc}, round({COS.format(a='q.v', b='d.v')}, 6) AS score FROM {qv} q {join})) WHERE rank <= {k})"""
 
 
+def sql_overlap(q: str, t: str) -> str:
+    ql = f"list_distinct({sql_tokens(q)})"
+    return f"CASE WHEN len({ql}) = 0 THEN 0 ELSE len(list_intersect({ql}, {sql_tokens(t)}))::DOUBLE / len({ql}) END"
+
+
 def hits(df, idc="chunk_id"):
     return df.select("query_id", idc, "score", "rank")
 
@@ -116,8 +122,31 @@ CHECKS["joi_08_tenant_isolation"] = (
     lambda spark, sf: hits(K.bm25_search(corpus(spark, sf), tenant_queries(spark, sf), 5, scope=["persona_id"]), "doc_id"),
     f"WITH {SQL_CORPUS}, {SQL_QUERIES}, {SQL_TQ}, {sql_bm25('corpus', 'doc_id', 5, 'persona_id', 'tq')} SELECT query_id, doc_id, score, rank FROM bm25",
 )
+# Chinese-style splitting into single characters, after a trip through storage, and English with stop words.
+_CHARACTERS = lambda c: F.filter(F.split(F.lower(c), ""), lambda t: t.rlike("[a-z]"))
+_STOP = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "as"]
+
+
+def _stored_index(spark, sf):
+    path = scratch_path(spark, "index")
+    docs = corpus(spark, sf).select("doc_id", F.regexp_replace("content", r"(\w)\w+", "$1").alias("content"))
+    K.build_index(docs, tokens=_CHARACTERS, stop_words=["e", "t"]).write(path)
+    return K.KeywordIndex.read(spark, path, tokens=_CHARACTERS)
+
+
+CHECKS["ret_01_character_splitter"] = (
+    lambda spark, sf: hits(K.search(_stored_index(spark, sf), queries_table(spark, sf), 5), "doc_id"),
+    rf"""WITH {SQL_CORPUS}, {SQL_QUERIES}, firsts AS (SELECT doc_id, regexp_replace(content, '([0-9A-Za-z_])[0-9A-Za-z_]+', '\1', 'g') AS content FROM corpus),
+    {sql_bm25('firsts', 'doc_id', 5, tokens=lambda c: f"list_filter(string_split(lower({c}), ''), lambda t: regexp_matches(t, '[a-z]') AND t NOT IN ('e', 't'))")}
+    SELECT query_id, doc_id, score, rank FROM bm25""",
+)
+CHECKS["ret_01_stop_words"] = (
+    lambda spark, sf: hits(K.bm25_search(corpus(spark, sf), queries_table(spark, sf), 5, stop_words=_STOP), "doc_id"),
+    f"""WITH {SQL_CORPUS}, {SQL_QUERIES}, {sql_bm25('corpus', 'doc_id', 5, tokens=lambda c: f"list_filter({sql_tokens(c)}, lambda t: t NOT IN {tuple(_STOP)})")}
+    SELECT query_id, doc_id, score, rank FROM bm25""",
+)
 CHECKS["joi_01_term_lookup"] = (
-    lambda spark, sf: K.build_index(corpus(spark, sf), queries=queries_table(spark, sf)).postings.join(
+    lambda spark, sf: _full_index(spark, sf).postings.join(
         K.query_terms(queries_table(spark, sf)), "term").groupBy("query_id").agg(F.count("*").alias("matches"), F.sum("tf").alias("occurrences")),
     f"""WITH {SQL_CORPUS}, {SQL_QUERIES}, {sql_bm25('corpus', 'doc_id', 5)} SELECT query_id, count(*) AS matches, sum(tf)::BIGINT AS occurrences FROM bm25_qt JOIN bm25_tf USING (term) GROUP BY 1""",
 )
@@ -215,6 +244,22 @@ CHECKS["ret_05_reciprocal_rank_fusion"] = (
     _LISTS + """, u AS (SELECT query_id, doc_id, rank FROM bm25 UNION ALL SELECT query_id, doc_id, rank FROM nn), s AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (rank - 1 + 60)), 6) AS score FROM u GROUP BY ALL)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
 )
+_T_LISTS = f"""WITH {SQL_CORPUS}, {SQL_QUERIES}, {SQL_TQ}, {sql_bm25('corpus', 'doc_id', 20, 'persona_id', 'tq')}, {sql_vectors('qv', 'tq', 'query_id, persona_id', 'query')},
+  {sql_vectors('dv', 'corpus', 'doc_id, persona_id')}, {sql_nearest('nn', 'qv', 'dv', 'doc_id', 20, 'persona_id')}"""
+CHECKS["ret_04_hybrid_tenants"] = (
+    lambda spark, sf: P.hybrid(tenant_queries(spark, sf), corpus(spark, sf), 10, EMBED, scope=["persona_id"]).select("query_id", "doc_id", "score", "rank"),
+    _T_LISTS + f", {sql_fused('doc_id', 10)} SELECT query_id, doc_id, score, rank FROM fused",
+)
+CHECKS["ret_05_rank_fusion_tenants"] = (
+    lambda spark, sf: P.hybrid(tenant_queries(spark, sf), corpus(spark, sf), 10, EMBED, fusion="rrf", scope=["persona_id"]).select("query_id", "doc_id", "score", "rank"),
+    _T_LISTS + """, u AS (SELECT query_id, doc_id, rank FROM bm25 UNION ALL SELECT query_id, doc_id, rank FROM nn), s AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (rank - 1 + 60)), 6) AS score FROM u GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+)
+CHECKS["ret_12_advanced_tenants"] = (
+    lambda spark, sf: P.advanced_search(tenant_queries(spark, sf), corpus(spark, sf), EMBED, 5, retrieval_k=10, scope=["persona_id"]).select("query_id", "doc_id", "score", "rank"),
+    _T_LISTS + f""", {sql_fused('doc_id', 10)}, c AS (SELECT query_id, doc_id, fused.rank AS r0, round({sql_overlap('queries.query', 'content')}, 6) AS score FROM fused JOIN corpus USING (doc_id) JOIN queries USING (query_id))
+    SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0, doc_id) AS rank FROM c) WHERE rank <= 5""",
+)
 CHECKS["joi_07_compare_runs"] = (
     lambda spark, sf: R.compare_runs(*_lists(spark, sf)).na.fill(-1, ["rank_a", "rank_b"]).na.fill(0, ["shift"]),
     _LISTS + """ SELECT query_id, doc_id, coalesce(bm25.rank, -1) AS rank_a, coalesce(nn.rank, -1) AS rank_b, coalesce(bm25.rank - nn.rank, 0) AS shift, bm25.rank IS NOT NULL AND nn.rank IS NOT NULL AS in_both FROM bm25 FULL OUTER JOIN nn USING (query_id, doc_id)""",
@@ -234,11 +279,6 @@ CHECKS["ret_06_recall"] = (
 )
 
 
-def sql_overlap(q: str, t: str) -> str:
-    ql = f"list_distinct({sql_tokens(q)})"
-    return f"CASE WHEN len({ql}) = 0 THEN 0 ELSE len(list_intersect({ql}, {sql_tokens(t)}))::DOUBLE / len({ql}) END"
-
-
 def _candidates(spark, sf):
     return K.attach_documents(_lists(spark, sf)[0], corpus(spark, sf), "doc_id", "content").join(queries_table(spark, sf), "query_id")
 

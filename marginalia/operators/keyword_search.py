@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,34 +28,55 @@ def document_tokens(
     return docs.where(F.col(text).rlike(rf"[^{T.BLANK}]")).select(*scope, id_col, toks.alias("tokens"))
 
 
-def query_terms(queries: DataFrame, *, query: str = "query", scope: Sequence[str] = (), tokens=T.search_tokens) -> DataFrame:
-    """(scope, query_id, term, qtf)"""
-    rows = queries.select(*scope, "query_id", F.explode_outer(tokens(F.col(query))).alias("term"))
+def query_terms(
+    queries: DataFrame, *, query: str = "query", scope: Sequence[str] = (), tokens=T.search_tokens, stop_words: Sequence[str] = (),
+) -> DataFrame:
+    """(scope, query_id, term, qtf), split as the documents are."""
+    toks = tokens(F.col(query))
+    if stop_words:
+        toks = F.filter(toks, lambda t: ~t.isin(list(stop_words)))
+    rows = queries.select(*scope, "query_id", F.explode_outer(toks).alias("term"))
     return rows.where(F.col("term").isNotNull()).groupBy(*scope, "query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 @dataclass
 class KeywordIndex:
-    """postings (scope, id, dl, term, tf), terms (scope, term, df), stats (scope, n_docs, avg_len)."""
+    """postings (scope, id, dl, term, tf), terms (scope, term, df), stats (scope, n_docs, avg_len).
+
+    `tokens` and `stop_words` are those of the documents; queries are split by the same.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     id_col: str = "doc_id"
     scope: tuple = ()
+    tokens: Callable[[Column], Column] = T.search_tokens
+    stop_words: tuple = ()
 
     def write(self, path: str) -> None:
         """Postings sorted by term inside each file, so a term filter skips row groups."""
         parts = list(self.scope)
-        for name, df in (("terms", self.terms), ("stats", self.stats)):
+        stop = self.stats.sparkSession.createDataFrame([(w,) for w in self.stop_words], "word string")
+        for name, df in (("terms", self.terms), ("stats", self.stats), ("stop_words", stop)):
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         out = self.postings.sortWithinPartitions(*parts, "term").write.mode("overwrite")
         (out.partitionBy(*parts) if parts else out).parquet(f"{path}/postings")
 
     @staticmethod
-    def read(spark: SparkSession, path: str, id_col: str = "doc_id", scope: Sequence[str] = ()) -> KeywordIndex:
+    def read(spark: SparkSession, path: str, id_col: str = "doc_id", scope: Sequence[str] = (), tokens=T.search_tokens) -> KeywordIndex:
+        """Stop words come with the index; the splitter is code and is given again."""
         tables = [spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")]
-        return KeywordIndex(*tables, id_col=id_col, scope=tuple(scope))
+        stop = tuple(sorted(r.word for r in spark.read.parquet(f"{path}/stop_words").collect()))
+        return KeywordIndex(*tables, id_col=id_col, scope=tuple(scope), tokens=tokens, stop_words=stop)
+
+
+class _AskedIndex(KeywordIndex):
+    """Only the terms of one table of queries, for one search. It is no index of the documents, so it can be neither
+    stored nor merged."""
+
+    def write(self, path: str) -> None:
+        raise TypeError("this index holds the asked terms only; build it without queries to store it")
 
 
 def _stats(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -63,45 +84,46 @@ def _stats(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def build_index(
-    docs: DataFrame, *, id_col: str = "doc_id", text: str = "content", scope: Sequence[str] = (),
-    queries: DataFrame | None = None, **kw,
+    docs: DataFrame, *, id_col: str = "doc_id", text: str = "content", scope: Sequence[str] = (), tokens=T.search_tokens, stop_words: Sequence[str] = (),
 ) -> KeywordIndex:
-    """Index tables of the documents.
+    """Index tables of all terms of the documents."""
+    scope = list(scope)
+    toks = document_tokens(docs, id_col=id_col, text=text, scope=scope, tokens=tokens, stop_words=stop_words).withColumn("dl", F.size("tokens"))
+    rows = posexplode_rows(toks, [*scope, id_col, "dl"], "tokens", "_pos", "term").drop("_pos")
+    postings = rows.groupBy(*scope, id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    terms = postings.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+    return KeywordIndex(postings, terms, _stats(toks, scope), id_col, tuple(scope), tokens, tuple(stop_words))
 
-    With `queries` whose terms are few enough to broadcast, the text is read once: every document gives a
-    marker row (empty term) and its asked terms, the rest is dropped before the shuffle, and that small
-    table is written for the steps that use it.
-    """
+
+def _asked_index(
+    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text: str = "content", scope: Sequence[str] = (), tokens=T.search_tokens,
+    stop_words: Sequence[str] = (),
+) -> KeywordIndex:
+    """For one search: the text is read once, every document gives a marker row (empty term) and its asked terms, and
+    the rest is dropped before the shuffle. The asked terms are broadcast behind a check; else joined by shuffle."""
     scope = list(scope)
-    toks = document_tokens(docs, id_col=id_col, text=text, scope=scope, **kw).withColumn("dl", F.size("tokens"))
-    keys = [*scope, id_col, "dl", "term"]
-    asked = None
-    if queries is not None:
-        terms = query_terms(queries, scope=scope).select(*scope, "term").distinct()
-        small = broadcast_if_small(terms)
-        asked = small.withColumn("_asked", F.lit(True)) if small is not terms else None
-    if asked is None:
-        rows = posexplode_rows(toks, [*scope, id_col, "dl"], "tokens", "_pos", "term").drop("_pos")
-        postings = rows.groupBy(*keys).agg(F.count("*").alias("tf"))
-        stats = _stats(toks, scope)
-    else:
-        marked = F.concat(F.array(F.lit("")), F.col("tokens"))
-        rows = posexplode_rows(toks, [*scope, id_col, "dl"], marked, "_pos", "term").drop("_pos")
-        rows = rows.join(F.broadcast(asked), [*scope, "term"], "left").where((F.col("term") == "") | F.col("_asked"))
-        kept = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("tf")))
-        postings, stats = kept.where(F.col("term") != ""), _stats(kept.where(F.col("term") == ""), scope)
+    toks = document_tokens(docs, id_col=id_col, text=text, scope=scope, tokens=tokens, stop_words=stop_words).withColumn("dl", F.size("tokens"))
+    asked = query_terms(queries, scope=scope, tokens=tokens, stop_words=stop_words).select(*scope, "term").distinct()
+    asked = broadcast_if_small(asked.withColumn("_asked", F.lit(True)))
+    marked = F.concat(F.array(F.lit("")), F.col("tokens"))
+    rows = posexplode_rows(toks, [*scope, id_col, "dl"], marked, "_pos", "term").drop("_pos")
+    rows = rows.join(asked, [*scope, "term"], "left").where((F.col("term") == "") | F.col("_asked"))
+    kept = cut_lineage(rows.groupBy(*scope, id_col, "dl", "term").agg(F.count("*").alias("tf")))
+    postings, stats = kept.where(F.col("term") != ""), _stats(kept.where(F.col("term") == ""), scope)
     terms = postings.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    return KeywordIndex(postings, terms, stats, id_col, tuple(scope))
+    return _AskedIndex(postings, terms, stats, id_col, tuple(scope), tokens, tuple(stop_words))
 
 
 def add_documents(index: KeywordIndex, more: KeywordIndex) -> KeywordIndex:
-    """Index of both document sets: counts add up, nothing is recomputed."""
+    """Index of both document sets, split alike: counts add up, nothing is recomputed."""
+    if isinstance(index, _AskedIndex) or isinstance(more, _AskedIndex):
+        raise TypeError("an index of asked terms cannot be merged")
     s = list(index.scope)
     terms = index.terms.unionByName(more.terms).groupBy(*s, "term").agg(F.sum("df").alias("df"))
     stats = index.stats.unionByName(more.stats).groupBy(*s).agg(
         F.sum("n_docs").alias("n_docs"), (F.sum("total_len") / F.sum("n_docs")).alias("avg_len"), F.sum("total_len").alias("total_len")
     )
-    return KeywordIndex(index.postings.unionByName(more.postings), terms, stats, index.id_col, index.scope)
+    return replace(index, postings=index.postings.unionByName(more.postings), terms=terms, stats=stats)
 
 
 def search(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B, query: str = "query") -> DataFrame:
@@ -111,7 +133,7 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = K1,
     shuffled at all; else both sides are shuffled on (term, salt), so a frequent term is spread over tasks.
     """
     scope = list(index.scope)
-    asked = query_terms(queries, query=query, scope=scope)
+    asked = query_terms(queries, query=query, scope=scope, tokens=index.tokens, stop_words=index.stop_words)
     checked = broadcast_if_small(asked)
     fits = checked is not asked
     # Semi joins on grouping keys: the optimiser moves them below the aggregations of an index that is
@@ -146,15 +168,24 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = K1,
     return ranking.best(hits, [*scope, "query_id"], k, index.id_col)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "doc_id", text: str = "content",
-                scope: Sequence[str] = (), **kw) -> DataFrame:
+def bm25_search(
+    docs: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "doc_id", text: str = "content", scope: Sequence[str] = (),
+    tokens=T.search_tokens, stop_words: Sequence[str] = (), **kw,
+) -> DataFrame:
     """One-off search without stored tables."""
-    return search(build_index(docs, id_col=id_col, text=text, scope=scope, queries=queries), queries, k, **kw)
+    index = _asked_index(docs, queries, id_col=id_col, text=text, scope=scope, tokens=tokens, stop_words=stop_words)
+    return search(index, queries, k, **kw)
 
 
 def attach_documents(hits: DataFrame, docs: DataFrame, id_col: str = "doc_id", *columns: str) -> DataFrame:
-    """Point lookup of the hits' columns; the hits are the small side."""
-    return hits.join(docs.select(id_col, *columns), id_col, "left")
+    """Columns of the hit documents.
+
+    The hits (k per query) are kept once; the documents are first filtered by the hit ids, broadcast behind a check,
+    so only texts that are returned are shuffled.
+    """
+    hits = cut_lineage(hits)
+    ids = broadcast_if_small(hits.select(id_col).distinct())
+    return hits.join(docs.select(id_col, *columns).join(ids, id_col, "left_semi"), id_col, "left")
 
 
 def index_statistics(index: KeywordIndex, k1: float = K1, b: float = B) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +13,9 @@ from .models import term_overlap
 
 def rerank(
     candidates: DataFrame, k: int = 5, *, query: str = "query", text: str = "content", id_col: str = "doc_id",
-    score_pairs: Callable[[Column, Column], Column] = term_overlap,
+    score_pairs: Callable[[Column, Column], Column] = term_overlap, keys: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """Score (query, text) pairs and keep the best `k` per query.
+    """Score (query, text) pairs and keep the best `k` per query; `keys` name a query, with its tenant if any.
 
     Candidates carry query_id, the query, the text and their incoming rank; that rank decides between
     equal scores, so a scorer that failed (all 1.0) leaves the order as it was.
@@ -23,7 +23,7 @@ def rerank(
     scored = candidates.withColumnRenamed("rank", "_rank_in").withColumn(
         "score", ranking.rounded(F.coalesce(score_pairs(F.col(query), F.col(text)), F.lit(1.0)))
     )
-    out = ranking.top_k(scored, ["query_id"], [F.desc("score"), F.asc("_rank_in"), F.asc(id_col)], k)
+    out = ranking.top_k(scored, keys, [F.desc("score"), F.asc("_rank_in"), F.asc(id_col)], k)
     return out.drop("_rank_in")
 
 

@@ -75,21 +75,30 @@ def hybrid(
     queries: DataFrame, docs: DataFrame, k: int, embed: Callable[[Column], Column], *, id_col: str = "doc_id",
     text: str = "content", vec: str | None = None, bm25_k: int | None = None, vector_k: int | None = None,
     weights: tuple[float | None, float | None] = (None, None), query_text: str = "query",
-    index: keyword_search.KeywordIndex | None = None, fusion: str = "weighted",
+    index: keyword_search.KeywordIndex | None = None, fusion: str = "weighted", scope: Sequence[str] = (), **splitter,
 ) -> DataFrame:
-    """Keyword and vector lists, each over-fetched, fused by weighted scores or reciprocal ranks."""
+    """Keyword and vector lists, each over-fetched, fused by weighted scores or reciprocal ranks.
+
+    With `scope` (the tenant columns of queries and documents) a query sees its own tenant's documents only.
+    `splitter` takes tokens and stop_words of a one-off keyword search.
+    """
     nb, nv = ranking.fetch_sizes(k, bm25_k, vector_k)
-    q = queries.select("query_id", F.col(query_text).alias("query"))
-    index = index or keyword_search.build_index(docs, id_col=id_col, text=text, queries=q)
-    lexical = keyword_search.search(index, q, nb)
-    vectors = docs if vec else docs.select(id_col, embed(F.col(text)).alias("_vec"))
+    keys = [*scope, "query_id"]
+    q = queries.select(*keys, F.col(query_text).alias("query"))
+    if index is not None and list(index.scope) != list(scope):
+        raise ValueError(f"the index is scoped by {list(index.scope)}, the search by {list(scope)}")
+    if index is None:
+        lexical = keyword_search.bm25_search(docs, q, nb, id_col=id_col, text=text, scope=scope, **splitter)
+    else:
+        lexical = keyword_search.search(index, q, nb)
+    vectors = docs if vec else docs.select(*scope, id_col, embed(F.col(text)).alias("_vec"))
     dense = vector_search.nearest(
-        q.select("query_id", embed(F.col("query")).alias("query_vec")), vectors, nv, id_col=id_col, vec=vec or "_vec"
+        q.select(*keys, embed(F.col("query")).alias("query_vec")), vectors, nv, id_col=id_col, vec=vec or "_vec", scope=scope,
     )
     if fusion == "rrf":
-        return ranking.reciprocal_rank_fusion([lexical, dense], k, id_col=id_col)
+        return ranking.reciprocal_rank_fusion([lexical, dense], k, id_col=id_col, keys=keys)
     return ranking.weighted_fusion(
-        lexical, dense, k, id_col=id_col, bm25_weight=weights[0], vector_weight=weights[1]
+        lexical, dense, k, id_col=id_col, bm25_weight=weights[0], vector_weight=weights[1], keys=keys,
     )
 
 
@@ -99,36 +108,39 @@ def advanced_search(
     answer: Callable[[Column], Column] | None = None,
     use_hyde: bool = True, use_hybrid: bool = True, use_reranking: bool = True,
     score_pairs: Callable[[Column, Column], Column] = term_overlap,
-    index: keyword_search.KeywordIndex | None = None,
+    index: keyword_search.KeywordIndex | None = None, scope: Sequence[str] = (), **splitter,
 ) -> DataFrame:
-    """Hypothesis, hybrid candidates, re-ranking against the original query. Each stage can be off."""
+    """Hypothesis, hybrid candidates, re-ranking against the original query. Each stage can be off; `scope` as in
+    `hybrid`, its columns come first in the result."""
     q = hypotheses(queries, answer if use_hyde else None)
+    keys = [*scope, "query_id"]
     if use_hybrid:
         found = hybrid(q, docs, retrieval_k, embed, id_col=id_col, text=text, vec=vec, query_text="search_text",
-                       index=index)
+                       index=index, scope=scope, **splitter)
     else:
-        vectors = docs if vec else docs.select(id_col, embed(F.col(text)).alias("_vec"))
+        vectors = docs if vec else docs.select(*scope, id_col, embed(F.col(text)).alias("_vec"))
         found = vector_search.nearest(
-            q.select("query_id", embed(F.col("search_text")).alias("query_vec")), vectors, retrieval_k,
-            id_col=id_col, vec=vec or "_vec",
+            q.select(*keys, embed(F.col("search_text")).alias("query_vec")), vectors, retrieval_k,
+            id_col=id_col, vec=vec or "_vec", scope=scope,
         )
     method = "+".join(n for n, on in (("hyde", use_hyde and answer is not None), ("hybrid", use_hybrid),
                                       ("vector", not use_hybrid), ("rerank", use_reranking)) if on)
     if use_reranking:
         # Candidates are at most retrieval_k per query: the texts are looked up for them alone.
         rows = keyword_search.attach_documents(found, docs, id_col, text).join(
-            queries.select("query_id", "query"), "query_id"
+            queries.select(*keys, "query"), keys
         )
-        out = rr.rerank(rows, k, text=text, id_col=id_col, score_pairs=score_pairs)
+        out = rr.rerank(rows, k, text=text, id_col=id_col, score_pairs=score_pairs, keys=keys)
     else:
         out = found.where(F.col("rank") <= k)
-    return out.select("query_id", id_col, "score", "rank").withColumn("method", F.lit(method))
+    return out.select(*keys, id_col, "score", "rank").withColumn("method", F.lit(method))
 
 
-def with_fallback(results: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, **kw) -> DataFrame:
-    """Queries without a result get the plain vector top k, tagged as such."""
-    missing = queries.join(results.select("query_id").distinct(), "query_id", "left_anti")
-    plain = vector_search.nearest(missing, vectors, k, **kw).withColumn("method", F.lit("fallback_vector"))
+def with_fallback(results: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, scope: Sequence[str] = (), **kw) -> DataFrame:
+    """Queries without a result get the plain vector top k (of their own tenant, with `scope`), tagged as such."""
+    keys = [*scope, "query_id"]
+    missing = queries.join(results.select(*keys).distinct(), keys, "left_anti")
+    plain = vector_search.nearest(missing, vectors, k, scope=scope, **kw).withColumn("method", F.lit("fallback_vector"))
     return results.unionByName(plain.select(*results.columns))
 
 
