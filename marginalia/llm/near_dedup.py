@@ -5,8 +5,10 @@ documents by branches: at each node two token places are chosen by the node's na
 of its token at each place. Documents alike with similarity s meet again in a child with probability s per place, so
 alike documents stay together and others part. All documents start at the nodes of depth three, which each works out
 by itself; a node with one document ends there. In a node, documents are compared with its first document, and, if
-some stay apart, small nodes are compared exhaustively and large ones branch on. Independent trees repeat this:
-a pair at exactly 0.75 is missed by one tree with probability 0.1, and by all of the default six with 1e-6.
+some stay apart, nodes of up to `SMALL` documents are compared exhaustively and larger ones branch on. Independent trees
+repeat this: a pair at exactly 0.75 is missed by one tree with probability 0.1, and by all of the default six with 1e-6.
+An exhaustive comparison looks at the minwise tokens first; pairs more than five standard deviations below the limit
+are not confirmed any more.
 
 Links decide components only, so documents already joined are not compared again, and groups of near copies of any
 size cost one comparison per document rather than all pairs. Every link is confirmed on the full shingle sets.
@@ -16,7 +18,6 @@ Equal sets are one class with one representative before any tree is built.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from marginalia.session import broadcast_if_small
 
 PLACES = 20  # tokens per tree
 START_DEPTH = 3
-SMALL = 48  # a node of so many documents is compared exhaustively
+SMALL = 1_000  # a node of so many documents is compared exhaustively
+TINY = 8  # ... and of so many without a look at the tokens
 _BLOCK = 1 << 14
 
 
@@ -162,11 +164,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The state of one run: classes, links found so far and the components they make."""
+    """The state of one run: classes, pairs compared so far and the components that their links make."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int):
-        self.docs, self.reps, self.words, self.percent = docs, reps, words, percent
-        self.links: list[DataFrame] = []
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: int):
+        self.docs, self.reps, self.words, self.percent, self.trees = docs, reps, words, percent, trees
         self.tried: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
@@ -199,10 +200,18 @@ class _Join:
         held = held.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         both = F.size(F.array_intersect("set_a", "set_b"))
         held = held.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-        found = stored(held.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * self.percent).select("a", "b"), "near-links")
-        if not found.isEmpty():
-            self.links.append(found)
-            self.roots = stored(components(reduce(DataFrame.unionByName, self.links)), "roots")
+        found = held.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * self.percent).select("a", "b")
+        if self.roots is None:
+            self.roots = stored(components(found), "roots")
+            return
+        # later links join components: only their roots are connected anew
+        for side in ("a", "b"):
+            at = self.roots.select(F.col("v").alias(side), F.col("root").alias("_root"))
+            found = found.join(at, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+        joined = stored(components(found.filter("a <> b")), "roots")
+        ends = joined.select(F.col("v").alias("root"), F.col("root").alias("_end"))
+        old = self.roots.join(ends, "root", "left").select("v", F.coalesce("_end", "root").alias("root"))
+        self.roots = stored(old.unionByName(joined.join(self.roots.select("v"), "v", "left_anti")), "roots")
 
     def open_nodes(self, members: DataFrame) -> DataFrame:
         """Members of nodes whose documents are not all in one component yet."""
@@ -216,33 +225,58 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6)
     light = stored(signatures(docs, words, trees * PLACES), "signatures")
     reps = stored(light.filter("n_shingles > 0").groupBy("n_shingles", "class").agg(
         F.min("id").alias("rep"), F.min_by("tokens", "id").alias("tokens")).withColumnRenamed("n_shingles", "n"), "representatives")
-    state = _Join(docs, reps, words, percent)
+    state = _Join(docs, reps, words, percent, trees)
     members = _plant(reps, trees)
     for _ in range(START_DEPTH, PLACES // 2):
         members = stored(_shared(members), "members")
         star = members.filter("rep <> first.rep").select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
         state.confirm(star.filter(_pairs("a", "b", "n_a", "n_b", percent)))
-        left = state.open_nodes(members)
+        left = state.open_nodes(members.filter("size > 2"))  # of two documents the only pair is done
         if left.isEmpty():
             break
         _exhaust(state, left.filter(F.col("size") <= SMALL))
-        large = state.open_nodes(left.filter(F.col("size") > SMALL).select(*members.columns))
+        large = left.filter(F.col("size") > SMALL)
         if large.isEmpty():
             break
         members = _grow(large.select("rep", "n", "node", "used", "tree").join(reps.select("rep", "tokens"), "rep"), trees)
     else:
-        _exhaust(state, large)  # ten tokens agree and yet several components: nothing is left but to compare
+        _exhaust(state, large, tiny=None)  # ten tokens agree and yet several components: nothing is left but to compare
     of_class = reps.select(F.col("n").alias("n_shingles"), "class", "rep")
     rooted = state.rooted(of_class)
     return light.join(rooted, ["n_shingles", "class"], "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component"))
 
 
-def _exhaust(state: _Join, members: DataFrame) -> None:
-    """Compare all documents of a node that are in different components."""
-    one, two = members.select("node", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("ra")), members.select(
+def _exhaust(state: _Join, members: DataFrame, tiny: int | None = TINY) -> None:
+    """Compare all documents of a node that are in different components: by a join in nodes of up to `tiny` documents (all
+    with None; the join is split where a node is large), by their tokens first in the others."""
+    joined = members.filter(F.col("size") <= tiny) if tiny else members
+    one, two = joined.select("node", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("ra")), joined.select(
         "node", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("rb"))
     pairs = one.join(two, "node").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    state.confirm(pairs.filter(_pairs("a", "b", "n_a", "n_b", state.percent)))
+    pairs = pairs.filter(_pairs("a", "b", "n_a", "n_b", state.percent)).select("a", "b")
+    if tiny is None:
+        return state.confirm(pairs)
+    more = members.filter(F.col("size") > tiny).select("node", "rep", "n", "root").join(state.reps.select("rep", "tokens"), "rep")
+    percent, count = state.percent, state.trees * PLACES
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / count) ** 0.5
+
+    def compare(node: pa.Table) -> pa.Table:
+        tokens = np.frombuffer(b"".join(node.column("tokens").to_pylist()), np.uint32).reshape(node.num_rows, count)
+        n, root, rep = node.column("n").to_numpy(), node.column("root").to_numpy(), node.column("rep").to_numpy()
+        found_a, found_b = [], []
+        for i in range(node.num_rows - 1):
+            apart = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent)
+            other = np.flatnonzero(apart) + i + 1
+            if len(other):
+                other = other[(tokens[other] == tokens[i]).mean(axis=1) >= least]
+                found_a.append(np.minimum(rep[i], rep[other]))
+                found_b.append(np.maximum(rep[i], rep[other]))
+        none = np.zeros(0, rep.dtype)
+        return pa.table({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
+
+    kind = state.reps.schema["rep"].dataType
+    likely = more.groupBy("node").applyInArrow(compare, schema_of(None, a=kind, b=kind))  # at most SMALL rows a node
+    return state.confirm(pairs.unionByName(likely))
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -90,7 +90,7 @@ def families():
     return rows
 
 
-@pytest.mark.parametrize("small", [48, 2])
+@pytest.mark.parametrize("small", [1_000, 2])
 def test_near_families(spark, families, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     assert near(spark.createDataFrame(families, "doc_id bigint, text string")) == brute_near(families)
