@@ -94,7 +94,7 @@ def models(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "persona_id", "language",
         F.array_join(F.slice(T.words(F.col("content")), 1, 5), " ").alias("name"),
         F.coalesce(F.get(s, F.lit(0)), F.lit("")).alias("description"),
-        F.slice(s, 2, 5).alias("steps"),
+        F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))).alias("steps"),
         F.array("language", "persona_id").alias("categories"),
     )
     return _with_confidence(docs, spark, sf)
@@ -107,7 +107,7 @@ def beliefs(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "persona_id", "language",
         F.coalesce(F.get(s, F.lit(0)), F.lit("")).alias("statement"),
         F.col("persona_id").alias("category"),
-        F.slice(s, 2, 3).alias("supporting_evidence"),
+        F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))).alias("supporting_evidence"),
     )
     return _with_confidence(docs, spark, sf)
 
@@ -117,9 +117,9 @@ _CONF = """coalesce(0.5 + 0.5 * quality, 0.5)::DOUBLE AS confidence_score, (doc_
   FROM corpus LEFT JOIN labels USING (doc_id)"""
 SQL_MODELS_CTE = rf"""{SQL_CORPUS}, model_items AS (SELECT doc_id, persona_id, language,
   array_to_string(({sql_words('content')})[1:5], ' ') AS name, coalesce(({_SENT})[1], '') AS description,
-  ({_SENT})[2:6] AS steps, [language, persona_id] AS categories, {_CONF})"""
+  ({_SENT})[2:] AS steps, [language, persona_id] AS categories, {_CONF})"""
 SQL_BELIEFS_CTE = rf"""{SQL_CORPUS}, belief_items AS (SELECT doc_id, persona_id, language,
-  coalesce(({_SENT})[1], '') AS statement, persona_id AS category, ({_SENT})[2:4] AS supporting_evidence, {_CONF})"""
+  coalesce(({_SENT})[1], '') AS statement, persona_id AS category, ({_SENT})[2:] AS supporting_evidence, {_CONF})"""
 SQL_MODELS = f"WITH {SQL_MODELS_CTE} "
 SQL_BELIEFS = f"WITH {SQL_BELIEFS_CTE} "
 

@@ -31,6 +31,10 @@ def r6(df, *cols):
 # Windows ------------------------------------------------------------------------------------------
 CHECKS["win_01_first_per_fingerprint"] = (
     lambda spark, sf: dedup.first_per_fingerprint(corpus(spark, sf), order=["doc_id"]).select("doc_id"),
+    f"WITH {SQL_CORPUS} SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower({sql_strip('content')}) ORDER BY doc_id) AS rn FROM corpus WHERE {sql_strip('content')} <> '') WHERE rn = 1",
+)
+CHECKS["win_01_first_200_characters"] = (
+    lambda spark, sf: dedup.first_per_fingerprint(corpus(spark, sf), order=["doc_id"], chars=200).select("doc_id"),
     f"WITH {SQL_CORPUS} SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower({sql_strip('left(content, 200)')}) ORDER BY doc_id) AS rn FROM corpus WHERE {sql_strip('content')} <> '') WHERE rn = 1",
 )
 CHECKS["joi_05_new_documents"] = (
@@ -574,10 +578,19 @@ CHECKS["src_11_export_json"] = (
     lambda spark, sf: artifacts.export_json(corpus(spark, sf).groupBy("persona_id").agg(F.count("*").alias("documents"))),
     """SELECT '{"persona_id":"' || source || '","documents":' || count(*) || '}' AS value FROM documents GROUP BY source""",
 )
+def deleted(spark, sf):
+    """A tenant and single rows are deleted in storage; what is left is read back, with the partitions that are left."""
+    path, staging = scratch_path(spark, "delete"), scratch_path(spark, "delete-staging")
+    rows = corpus(spark, sf).select("doc_id", "content", "persona_id", F.lit("transcripts").alias("knowledge_type"))
+    collections.append(rows, path, id_col="doc_id")
+    collections.delete(spark, path, staging, persona_id="src5", knowledge_type="transcripts")
+    collections.delete(spark, path, staging, ids=table(spark, sf, "labels").select("doc_id"), id_col="doc_id")
+    return collections.read(spark, path).select("doc_id", "persona_id")
+
+
 CHECKS["src_12_delete"] = (
-    lambda spark, sf: collections.without(collections.without(corpus(spark, sf).withColumn("knowledge_type", F.lit("transcripts")), persona_id="src5", knowledge_type="transcripts"),
-                                          table(spark, sf, "labels").select("doc_id"), "doc_id").select("doc_id"),
-    "SELECT doc_id FROM documents WHERE source <> 'src5' AND doc_id NOT IN (SELECT doc_id FROM labels)",
+    deleted,
+    "SELECT doc_id, source AS persona_id FROM documents WHERE source <> 'src5' AND doc_id NOT IN (SELECT doc_id FROM labels) AND text <> ''",
 )
 
 

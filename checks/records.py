@@ -289,8 +289,7 @@ def personas(spark, sf):
     """One nested record per tenant from its records."""
     from marginalia.plans.persona import assemble_personas
 
-    m = models(spark, sf).where("language IN ('en', 'fr')")
-    b = beliefs(spark, sf).where("language <> 'en'")
+    m, b = models(spark, sf), beliefs(spark, sf)
     style = corpus(spark, sf).groupBy("persona_id").agg(F.count("*").alias("n")).select("persona_id", F.struct(
         F.when(F.col("persona_id").isin("src1", "src2"), F.lit("")).otherwise(F.lit("calm and plain")).alias("tone"),
         F.array(F.lit("ab"), F.lit("catch one"), F.lit("two")).alias("catchphrases"), F.array(F.lit("x"), F.col("persona_id")).alias("vocabulary"),
@@ -300,7 +299,7 @@ def personas(spark, sf):
     return assemble_personas(m, b, style, totals, order="doc_id")
 
 
-_PERS = f"""{SQL_MODELS_CTE}, {SQL_BELIEFS_CTE.replace(SQL_CORPUS + ', ', '')}, pm AS (SELECT * FROM model_items WHERE language IN ('en', 'fr')), pb AS (SELECT * FROM belief_items WHERE language <> 'en'),
+_PERS = f"""{SQL_MODELS_CTE}, {SQL_BELIEFS_CTE.replace(SQL_CORPUS + ', ', '')}, pm AS (SELECT * FROM model_items), pb AS (SELECT * FROM belief_items),
   pa AS (SELECT persona_id, sum(len({sql_words('content')}))::BIGINT AS w, count(*) AS d, CASE WHEN persona_id IN ('src1', 'src2') THEN '' ELSE 'calm and plain' END AS tone FROM corpus GROUP BY 1),
   am AS (SELECT persona_id, count(*) AS n, sum(confidence_score) AS c FROM pm GROUP BY 1), ab AS (SELECT persona_id, count(*) AS n, sum(confidence_score) AS c FROM pb GROUP BY 1),
   p AS (SELECT pa.*, coalesce(am.n, 0) AS mn, coalesce(am.c, 0) AS mc, coalesce(ab.n, 0) AS bn, coalesce(ab.c, 0) AS bc FROM pa LEFT JOIN am USING (persona_id) LEFT JOIN ab USING (persona_id))"""

@@ -27,7 +27,7 @@ def unique_docs(spark, sf):
     return first_per_fingerprint(corpus(spark, sf), order=["doc_id"])
 
 
-SQL_UNIQUE = f"""fp AS (SELECT *, row_number() OVER (PARTITION BY lower({sql_strip('left(content, 200)')}) ORDER BY doc_id) AS rn FROM corpus WHERE {sql_strip('content')} <> ''),
+SQL_UNIQUE = f"""fp AS (SELECT *, row_number() OVER (PARTITION BY lower({sql_strip('content')}) ORDER BY doc_id) AS rn FROM corpus WHERE {sql_strip('content')} <> ''),
   uniq AS (SELECT doc_id, persona_id, source, language, content FROM fp WHERE rn = 1)"""
 
 

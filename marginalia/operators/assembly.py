@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
+
 SLICE = 100_000
 
 
@@ -30,29 +32,38 @@ def running_total(
     return out.drop("_slice", *[f"_{x}_{k}" for k in values for x in "voi"])
 
 
+def _filled(docs: DataFrame, content: str) -> DataFrame:
+    return docs.where(F.col(content).rlike(r"\S"))
+
+
 def _placed(docs: DataFrame, scope: Sequence[str], order: str, content: str) -> DataFrame:
-    """Non-blank documents with their start in the joined text (two line feeds between documents)."""
-    rows = docs.where(F.col(content).rlike(r"\S"))
-    return running_total(rows, scope, [order], {"start": F.length(content) + 2})
-
-
-def _window(placed: DataFrame, scope: Sequence[str], order: str, content: str, low: Column, high: Column, out: str) -> DataFrame:
-    """Characters [low, high) of the joined text; only documents that overlap are gathered."""
-    size = F.length(content)
-    last = F.col("start") + size + 2  # the separator behind a document belongs to it
-    hit = placed.where((F.col("start") < high) & (last > low))
-    begin = F.greatest(low - F.col("start"), F.lit(0))
-    piece = F.substring(F.concat(F.col(content), F.lit("\n\n")), (begin + 1).cast("int"), (F.least(high, last) - F.col("start") - begin).cast("int"))
-    parts = hit.select(*scope, F.struct(F.col(order).alias("o"), piece.alias("t")).alias("p"))
+    """(scope, order, size, start) of the non-blank documents in the joined text (two line feeds between documents).
+
+    Only lengths take part; they are kept once, for the windows that are cut from them.
+    """
+    rows = _filled(docs, content).select(*scope, order, F.length(content).alias("size"))
+    return cut_lineage(running_total(rows, scope, [order], {"start": F.col("size") + 2}))
+
+
+def _window(docs: DataFrame, placed: DataFrame, scope: Sequence[str], order: str, content: str, low: Column, high: Column, out: str) -> DataFrame:
+    """Characters [low, high) of the joined text; only texts of documents that overlap leave the scan."""
+    last = F.col("start") + F.col("size") + 2  # the separator behind a document belongs to it
+    hit = placed.withColumns({"_low": low, "_high": high, "_last": last}).where((F.col("start") < F.col("_high")) & (F.col("_last") > F.col("_low")))
+    hit = broadcast_if_small(hit.select(*scope, order, "start", "_low", "_high", "_last"))
+    rows = _filled(docs, content).select(*scope, order, content).join(hit, [*scope, order])
+    begin = F.greatest(F.col("_low") - F.col("start"), F.lit(0))
+    size = F.least("_high", "_last") - F.col("start") - begin
+    piece = F.substring(F.concat(F.col(content), F.lit("\n\n")), (begin + 1).cast("int"), size.cast("int"))
+    parts = rows.select(*scope, F.struct(F.col(order).alias("o"), piece.alias("t")).alias("p"))
     return parts.groupBy(*scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "").alias(out))
 
 
 def joined_text(docs: DataFrame, scope: Sequence[str], order: str, *, max_tokens: int = 15000, content: str = "content") -> DataFrame:
-    """Documents joined in order and cut at `max_tokens` * 4 characters."""
+    """Documents joined in order and cut at `max_tokens` * 4 characters. `order` names a document inside its scope."""
     placed = _placed(docs, scope, order, content)
-    total = placed.groupBy(*scope).agg((F.max(F.col("start") + F.length(content))).alias("_total"))
+    total = placed.groupBy(*scope).agg((F.max(F.col("start") + F.col("size"))).alias("_total"))
     high = F.least(F.lit(max_tokens * 4), F.col("_total"))
-    return _window(placed.join(total, list(scope)), scope, order, content, F.lit(0), high, "text")
+    return _window(docs, placed.join(total, list(scope)), scope, order, content, F.lit(0), high, "text")
 
 
 def sampled_text(
@@ -62,13 +73,13 @@ def sampled_text(
     """The start of the joined text and one piece of the rest, placed by the corpus hash."""
     first, piece = first_tokens * 4, random_tokens * 4
     placed = _placed(docs, scope, order, content)
-    info = placed.groupBy(*scope).agg(F.max(F.col("start") + F.length(content)).alias("_total")).join(hashes, list(scope))
+    info = placed.groupBy(*scope).agg(F.max(F.col("start") + F.col("size")).alias("_total")).join(hashes, list(scope))
     seed = F.conv(F.substring("corpus_hash", 1, 8), 16, 10).cast("bigint")
     rest = F.col("_total") - first
     info = info.select(*scope, "_total", F.when(rest > piece, F.lit(first) + seed % (rest - piece + 1)).alias("_at"))
-    placed = placed.join(info, list(scope))
-    head = _window(placed, scope, order, content, F.lit(0), F.least(F.lit(first), F.col("_total")), "head")
-    extra = _window(placed.where(F.col("_at").isNotNull()), scope, order, content, F.col("_at"), F.col("_at") + piece, "extra")
+    placed = cut_lineage(placed.join(info, list(scope)))
+    head = _window(docs, placed, scope, order, content, F.lit(0), F.least(F.lit(first), F.col("_total")), "head")
+    extra = _window(docs, placed.where(F.col("_at").isNotNull()), scope, order, content, F.col("_at"), F.col("_at") + piece, "extra")
     both = head.join(extra, list(scope), "left")
     text = F.concat_ws("\n\n[... SAMPLE FROM MIDDLE ...]\n\n", "head", "extra")
     return both.select(*scope, text.alias("text"))

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def fingerprint(content: Column, chars: int = 200) -> Column:
-    """Hash of the lower-cased, stripped start of a text."""
-    return F.sha2(F.lower(T.strip(F.left(content, F.lit(chars)))), 256)
+def fingerprint(content: Column, chars: int | None = None) -> Column:
+    """Hash of a lower-cased, stripped text, or of its first `chars` characters."""
+    return F.sha2(F.lower(T.strip(content if chars is None else F.left(content, F.lit(chars)))), 256)
 
 
 def first_per_fingerprint(
-    docs: DataFrame, *, order: Sequence[str] = ("source",), keys: Sequence[str] = (), content: str = "content"
+    docs: DataFrame, *, order: Sequence[str] = ("source",), keys: Sequence[str] = (), content: str = "content", chars: int | None = None,
 ) -> DataFrame:
     """Keep the first document of every fingerprint; documents without text are dropped.
 
+    The whole text counts; `chars=200` compares starts only and so drops longer documents that differ later.
+
     The group limit runs before the shuffle too, so a fingerprint shared by a third of all documents
     sends one row per task.
     """
-    rows = docs.where(F.col(content).rlike(rf"[^{T.BLANK}]")).withColumn("_fp", fingerprint(F.col(content)))
+    rows = docs.where(F.col(content).rlike(rf"[^{T.BLANK}]")).withColumn("_fp", fingerprint(F.col(content), chars))
     w = Window.partitionBy(*keys, "_fp").orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n", "_fp")
 

@@ -83,7 +83,7 @@ def split_valid(processed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows and rejected rows with one message each."""
     good = processed.where(F.size("errors") == 0).drop("errors")
     bad = processed.where(F.size("errors") > 0).select(
-        *[c for c in ("persona_id", "index") if c in processed.columns], F.explode("errors").alias("error")
+        *[c for c in ("persona_id", "batch_start", "index") if c in processed.columns], F.explode("errors").alias("error")
     )
     return good, bad
 
@@ -248,12 +248,12 @@ def consolidation_key(name: Column) -> Column:
 
 
 def consolidate(
-    candidates: DataFrame, kind: str, *, key: Column | None = None, min_frequency: int = 1, top: int = 100,
+    candidates: DataFrame, kind: str, *, key: Column | None = None, min_frequency: int = 1, top: int | None = 100,
     scope: Sequence[str] = ("persona_id",), order: str = "doc_id",
 ) -> DataFrame:
     """One record per cluster: summed frequency, mean confidence, union of the list fields, best text.
 
-    List items are de-duplicated by an aggregation of their own before they are gathered, so many copies
+    The best `top` clusters of each scope stay, all with None. List items are de-duplicated by an aggregation of their own before they are gathered, so many copies
     of a record do not pile up in one buffer.
     """
     name, lists = ("name", ["steps", "categories"]) if kind == "mental_models" else ("statement", ["supporting_evidence"])
@@ -265,7 +265,11 @@ def consolidate(
         F.min(pick).alias("_best"), F.sum("frequency").alias("frequency"),
         F.round(F.avg("confidence_score"), 2).alias("confidence_score"), F.count("*").alias("members"),
     ).where(F.col("frequency") >= min_frequency)
-    merged = ranking.top_k(merged, scope, [F.desc("frequency"), F.desc("confidence_score"), F.asc("_key")], top)
+    best = [F.desc("frequency"), F.desc("confidence_score"), F.asc("_key")]
+    if top is None:
+        merged = merged.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(*best)))
+    else:
+        merged = ranking.top_k(merged, scope, best, top)
     for field in lists:
         items = cluster_items(rows.join(merged.select(*keys), keys, "left_semi"), keys, field)
         gathered = items.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias(field))

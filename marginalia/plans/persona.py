@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import replies
 from ..functions.keys import row_hash
 from ..operators import assembly, knowledge, quality, telemetry
 from ..operators.models import generate
+from ..session import cut_lineage
 
 MODEL_FIELDS = ["name", "description", "steps", "categories", "confidence_score", "frequency"]
 BELIEF_FIELDS = ["statement", "category", "supporting_evidence", "confidence_score", "frequency"]
@@ -100,24 +102,42 @@ def assemble_personas(models: DataFrame, beliefs: DataFrame, style: DataFrame, t
     return out.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
 
 
-def build_personas(
-    docs: DataFrame, totals: DataFrame, load_models: dict[str, Callable], *, hashes: DataFrame, top: int = 100,
+@dataclass
+class Built:
+    """Records of all tenants, and what did not become part of them."""
+
+    personas: DataFrame
+    rejects: DataFrame  # (persona_id, kind, batch_start, index, error)
+    failed: DataFrame  # (persona_id, kind, batch_start, reason)
+
+
+def build(
+    docs: DataFrame, totals: DataFrame, load_models: dict[str, Callable], *, hashes: DataFrame, top: int | None = 100,
     min_frequency: int = 1, consolidate: bool = True, results: DataFrame | None = None, order: str = "doc_id",
-) -> DataFrame:
-    """Statistics, style, records and scores in one nested row per tenant.
+) -> Built:
+    """Statistics, style, records and scores in one nested row per tenant, with rejects and failed batches.
 
-    `load_models` has loaders for style, mental_models and core_beliefs; `totals` holds the corpus report.
+    `load_models` has loaders for style, mental_models and core_beliefs; `totals` holds the corpus report. Every model
+    is called once per batch: replies are kept before anything reads them. `top` of None keeps all records.
     """
-    records = {}
+    records, rejects, failed = {}, [], []
     for kind in ("mental_models", "core_beliefs"):
         batches = extraction_batches(docs, kind, order=[order])
-        good, _ = candidates(extract(batches, kind, load_models[kind], results=results), kind)
-        good = good.withColumn("_order", F.col("batch_start") * 10_000 + F.col("index"))
+        replied = cut_lineage(extract(batches, kind, load_models[kind], results=results))
+        good, bad = candidates(replied, kind)
+        rejects.append(bad.select("persona_id", F.lit(kind).alias("kind"), "batch_start", "index", "error"))
+        failed.append(quarantine(replied).withColumn("kind", F.lit(kind)).select("persona_id", "kind", "batch_start", "reason"))
+        good = good.withColumn("_order", F.struct("batch_start", "index"))
         if consolidate:
             good = knowledge.consolidate(good, kind, min_frequency=min_frequency, top=top, order="_order")
         else:
             good = good.withColumn("rank", F.col("_order"))
         records[kind] = good
-    style = style_records(assembly.sampled_text(docs, hashes, ["persona_id"], order), load_models["style"])
+    style = cut_lineage(style_records(assembly.sampled_text(docs, hashes, ["persona_id"], order), load_models["style"]))
     people = assemble_personas(records["mental_models"], records["core_beliefs"], style, totals)
-    return quality.quality_scores(quality.fix_personas(people))
+    return Built(quality.quality_scores(quality.fix_personas(people)), rejects[0].unionByName(rejects[1]), failed[0].unionByName(failed[1]))
+
+
+def build_personas(docs: DataFrame, totals: DataFrame, load_models: dict[str, Callable], **kw) -> DataFrame:
+    """The records alone; see `build`."""
+    return build(docs, totals, load_models, **kw).personas

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 PARTITIONS = ["persona_id", "knowledge_type"]
 
 
@@ -39,9 +41,11 @@ def replace_partitions(rows: DataFrame, path: str) -> None:
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, staging: str, key: Sequence[str] = ("persona_id", "record_key")) -> None:
-    """Merge into the touched partitions only. The merged rows are staged first, so no file is read while it is replaced."""
-    touched = new.select(*PARTITIONS).distinct()
-    old = spark.read.parquet(path).join(F.broadcast(touched), PARTITIONS, "left_semi") if _exists(spark, path) else None
+    """Merge into the touched partitions only. The merged rows are staged first, so no file is read while it is replaced.
+
+    The swap of a partition is not atomic for its readers."""
+    touched = broadcast_if_small(new.select(*PARTITIONS).distinct())
+    old = spark.read.parquet(path).join(touched, PARTITIONS, "left_semi") if _exists(spark, path) else None
     result = new if old is None else merged(old, new, key)
     result.write.mode("overwrite").parquet(staging)
     replace_partitions(spark.read.parquet(staging), path)
@@ -63,6 +67,25 @@ def without(rows: DataFrame, ids: DataFrame | None = None, id_col: str = "chunk_
     return rows.where(~gone)
 
 
+def replace_all(rows: DataFrame, path: str, staging: str) -> None:
+    """Make `rows` the whole content of the table at `path`, which they may be read from: staged first, then written over
+    every partition, so partitions without rows vanish. Readers see neither an old nor a new table while it is swapped;
+    a lost job leaves the staged copy."""
+    rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(staging)
+    staged = rows.sparkSession.read.schema(rows.schema).parquet(staging)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PARTITIONS).parquet(path)
+
+
+def delete(spark: SparkSession, path: str, staging: str, **what) -> None:
+    """Delete rows from storage; `what` as in `without`."""
+    replace_all(without(spark.read.parquet(path), **what), path, staging)
+
+
+def clear(spark: SparkSession, path: str, staging: str) -> None:
+    """Delete all rows of a stored table; its columns stay."""
+    replace_all(spark.read.parquet(path).where(F.lit(False)), path, staging)
+
+
 def migrate(shared: DataFrame, persona_id: str, source: str, when: Column, embed: Callable[[Column], Column], *, id_col: str = "chunk_id", vec: str = "embedding") -> DataFrame:
     """A shared collection as a tenant's: prefixed ids, provenance, stored vectors reused, missing ones computed."""
     missing = F.col(vec).isNull()

@@ -181,3 +181,10 @@ def test_failed_calls_are_kept_apart(spark):
     docs = spark.createDataFrame([(1, "p", "s1", "good"), (2, "p", "s2", "bad")], "doc_id BIGINT, persona_id STRING, source STRING, content STRING")
     replied = PE.extract(PE.extraction_batches(docs, "mental_models", max_items=1), "mental_models", load)
     assert [(r.batch_start, r.reason) for r in PE.quarantine(replied).collect()] == [(1, "quota")]
+
+
+def test_whole_texts_and_starts_as_fingerprints(spark):
+    start = "x" * 250
+    df = spark.createDataFrame([(1, start + "a"), (2, start + "b"), (3, start + "A")], "doc_id BIGINT, content STRING")
+    kept = lambda **kw: sorted(r.doc_id for r in dedup.first_per_fingerprint(df, order=["doc_id"], **kw).collect())
+    assert kept() == [1, 2] and kept(chars=200) == [1]
