@@ -124,32 +124,34 @@ def encode_words(words: DataFrame, ranks) -> DataFrame:
 
 
 class Packed:
-    """Ids of many words in three arrays, found by the word's hash. Hashes that two words share are left out."""
+    """Ids of many words in four arrays, found by the word's hash. Hashes that two words share are left out.
 
-    def __init__(self, hashes: np.ndarray, ids: list[bytes]):
+    About 20 bytes a word: the 64-bit hash, place and number of its ids, and ids of 16 bits where they fit.
+    """
+
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
+        starts = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
         hashes = hashes[order]
         lone = np.ones(len(hashes), bool)
         if len(hashes) > 1:
             same = hashes[1:] == hashes[:-1]
             lone[1:] &= ~same
             lone[:-1] &= ~same
-        order = order[lone]
-        self.hashes = hashes[lone]
-        kept = [ids[i] for i in order]
-        self.ends = np.cumsum([0, *(len(x) // 4 for x in kept)], dtype=np.int64)
-        ids_all = np.frombuffer(b"".join(kept), "<u4")
-        self.ids = ids_all.astype(np.uint16) if not len(ids_all) or ids_all.max() < 65536 else ids_all
+        self.hashes, self.starts, self.lengths, self.ids = hashes[lone], starts[lone], lengths[order][lone], ids
 
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def get(self, word: str) -> bytes | None:
-        h = np.uint64(xxhash.xxh3_64_intdigest(word.encode()))
-        i = int(self.hashes.searchsorted(h))
-        if i == len(self.hashes) or self.hashes[i] != h:
-            return None
-        return self.ids[self.ends[i] : self.ends[i + 1]].astype("<u4").tobytes()
+    def get(self, words: list[str]) -> list[bytes | None]:
+        """Ids of each word as little-endian unsigned 32-bit integers; None for a word that is not here."""
+        if not len(self.hashes):
+            return [None] * len(words)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+        at = np.minimum(self.hashes.searchsorted(hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == hashes
+        starts, lengths = self.starts[at].tolist(), self.lengths[at].tolist()
+        return [self.ids[s : s + n].astype("<u4").tobytes() if k else None for k, s, n in zip(known.tolist(), starts, lengths, strict=True)]
 
 
 def encode(
@@ -168,8 +170,8 @@ def encode(
     table = spark.sparkContext.broadcast(ranks)
     vocabulary = stored(encode_words(distinct_words(docs, splitter, text_col), table), "bpe-words")
     size = vocabulary.count()
-    frequent = vocabulary if size <= max_words else vocabulary.orderBy(F.desc("n"), "word").limit(max_words)
-    packed = spark.sparkContext.broadcast(_pack(frequent.select("hash", "ids")))
+    frequent = vocabulary if size <= max_words else vocabulary.filter(F.col("n") >= _threshold(vocabulary, max_words))
+    packed = spark.sparkContext.broadcast(_pack(frequent.select("hash", "ids"), max(ranks.values(), default=0)))
     if len(packed.value) == size:
         return _assemble(docs, splitter, packed, text_col)
 
@@ -177,18 +179,12 @@ def encode(
     row = F.xxhash64(F.col(text_col))
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, bool] = {}
+        cache: dict[str, bytes] = {}
         for batch in batches:
             rows: list[tuple[int, int, bytes]] = []
             for key, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i, word in enumerate(splitter(text or "")):
-                    known = cache.get(word)
-                    if known is None:
-                        known = packed.value.get(word) is not None
-                        if len(cache) < _CACHE:
-                            cache[word] = known
-                    if not known:
-                        rows.append((key, i, word.encode()))
+                words = splitter(text or "")
+                rows += [(key, i, w.encode()) for i, (w, ids) in enumerate(zip(words, _look_up(words, packed.value, cache), strict=True)) if ids is None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["row", "at", "word"])
 
@@ -198,13 +194,40 @@ def encode(
     return _assemble(joined, splitter, packed, text_col)
 
 
-def _pack(words: DataFrame) -> Packed:
-    """Arrow batches one by one, so the driver holds the packed form and one batch."""
-    hashes, ids = [], []
-    for batch in words.toArrow().to_batches():
-        hashes.append(batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64))
-        ids += batch.column("ids").to_pylist()
-    return Packed(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), ids)
+def _threshold(vocabulary: DataFrame, most: int) -> int:
+    """Smallest power of two of which at most `most` words reach the count. One aggregation, one row."""
+    powers = [1 << i for i in range(1, 60)]
+    row = vocabulary.agg(*[F.count_if(F.col("n") >= p).alias(str(p)) for p in powers]).first()
+    return next(p for p in [*powers, 1 << 60] if p == 1 << 60 or row[str(p)] <= most)
+
+
+def _pack(words: DataFrame, largest: int) -> Packed:
+    """Tasks pack their words, so the driver receives a few byte strings and never a row per word."""
+    kind = np.uint16 if largest < 65536 else np.uint32
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids").to_pylist()
+            if ids:
+                lengths = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
+                columns = [batch.column("hash").to_numpy().tobytes(), lengths.tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["hashes", "lengths", "ids"])
+
+    rows = list(words.mapInArrow(block, "hashes binary, lengths binary, ids binary").toLocalIterator())
+    joined = lambda name, dtype: np.frombuffer(b"".join(r[name] for r in rows), dtype)
+    return Packed(joined("hashes", np.uint64), joined("lengths", np.int32), joined("ids", kind))
+
+
+def _look_up(words: list[str], packed: Packed, cache: dict[str, bytes]) -> list[bytes | None]:
+    """Ids of each word from the worker's cache of words met before, else from the packed table."""
+    found = list(map(cache.get, words))
+    if None in found:
+        missing = list({w for w, ids in zip(words, found, strict=True) if ids is None})
+        late = dict(zip(missing, packed.get(missing), strict=True))
+        found = [late[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        if len(cache) < _CACHE:
+            cache.update((w, ids) for w, ids in late.items() if ids is not None)
+    return found
 
 
 def _assemble(docs: DataFrame, splitter: Splitter, packed, text_col: str) -> DataFrame:
@@ -212,20 +235,14 @@ def _assemble(docs: DataFrame, splitter: Splitter, packed, text_col: str) -> Dat
     names = [c for c in docs.columns if c != "_rest"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cache = packed.value, {}
+        cache: dict[str, bytes] = {}
         for batch in batches:
             rest = batch.column("_rest").to_pylist() if "_rest" in batch.schema.names else [None] * batch.num_rows
             out = []
             for text, more in zip(batch.column(text_col).to_pylist(), rest, strict=True):
-                late = {r["at"]: r["ids"] for r in more or ()}
-                parts = []
-                for i, word in enumerate(splitter(text or "")):
-                    ids = cache.get(word)
-                    if ids is None:
-                        ids = late.get(i) if late and i in late else words.get(word)
-                        if len(cache) < _CACHE:
-                            cache[word] = ids
-                    parts.append(ids)
+                parts = _look_up(splitter(text or ""), packed.value, cache)
+                for r in more or ():
+                    parts[r["at"]] = r["ids"]
                 out.append(b"".join(parts))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())],

@@ -45,5 +45,10 @@ def test_corpus_round_trip(spark, docs, odd, most):
 
 
 def test_words_that_share_a_hash_are_not_packed():
-    packed = bpe.Packed(np.array([5, 7, 5], np.uint64), [b"\1\0\0\0", b"\2\0\0\0", b"\3\0\0\0"])
-    assert packed.hashes.tolist() == [7] and len(packed) == 1
+    packed = bpe.Packed(np.array([5, 7, 5], np.uint64), np.array([1, 2, 1], np.int32), np.array([1, 2, 3, 4], np.uint16))
+    assert packed.hashes.tolist() == [7] and packed.ids[packed.starts[0] :][:2].tolist() == [2, 3]
+
+
+def test_threshold(spark):
+    words = spark.createDataFrame([("a", 1), ("b", 3), ("c", 8), ("d", 9)], "word string, n bigint")
+    assert [bpe._threshold(words, n) for n in (3, 2, 0)] == [2, 4, 16]
