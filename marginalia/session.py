@@ -7,8 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "marginalia", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,13 +56,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark `df` for broadcast only after a bounded look shows at most `max_rows` rows.
+def _bytes_of(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes; null counts as nothing."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        size = F.size(column) * 8
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        size = F.octet_length(F.to_json(F.struct(column)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("bigint") + 8
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Mark `df` for broadcast only after a bounded look shows at most `max_rows` rows of at most `max_bytes` in all.
 
     Larger inputs come back unmarked, so the join is shuffled and AQE splits skewed partitions.
     """
-    seen = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    sizes = [_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    row = sum(sizes[1:], sizes[0]) if sizes else F.lit(0)
+    seen = df.select(row.alias("bytes")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen.n <= max_rows and seen.bytes <= max_bytes else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
