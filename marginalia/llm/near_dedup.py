@@ -4,8 +4,8 @@ Every document is reduced to minwise tokens (the minimum of its shingles under m
 documents by branches: at each node two token places are chosen by the node's name, and a document goes to the child
 of its token at each place. Documents alike with similarity s meet again in a child with probability s per place, so
 alike documents stay together and others part. All documents start at the nodes of depth three, which each works out
-by itself; a node with one document ends there. In a node, documents are compared with its first document, and, if
-some stay apart, nodes of up to `SMALL` documents are compared exhaustively and larger ones branch on. Independent trees
+by itself; a node with one document ends there. In a node, documents are compared with its first document, then with
+the first document of the component found, and, if some stay apart, nodes of up to `SMALL` documents are compared exhaustively and larger ones branch on. Independent trees
 repeat this: a pair at exactly 0.75 is missed by one tree with probability 0.1, and by all of the default six with 1e-6.
 An exhaustive comparison looks at the minwise tokens first; pairs more than five standard deviations below the limit
 are not confirmed any more.
@@ -131,7 +131,7 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(nodes, "node")
 
 
-def _pairs(a: str, b: str, n_a: str, n_b: str, percent: int):
+def _pairs(n_a: str, n_b: str, percent: int):
     """Could the two set sizes give the similarity?"""
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
@@ -144,21 +144,21 @@ def components(links: DataFrame) -> DataFrame:
     """
     roots: DataFrame | None = None
     edges = stored(links.select("a", "b").distinct(), "links")
-    while not edges.isEmpty():
+    while not edges.isEmpty():  # joins on pointers are broadcast while those are few
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
         point = stored(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("root")), "pointers")
         while True:
-            step = point.select(F.col("v").alias("root"), F.col("root").alias("next"))
+            step = broadcast_if_small(point.select(F.col("v").alias("root"), F.col("root").alias("next")))
             moved = stored(point.join(step, "root", "left").select("v", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), "pointers")
             point = moved.select("v", "root")
             if moved.filter("moved").isEmpty():
                 break
-        ends = point.select(F.col("v").alias("at"), F.col("root").alias("end"))
+        ends = broadcast_if_small(point.select(F.col("v").alias("at"), F.col("root").alias("end")))
         if roots is None:
             roots = point
         else:
             roots = roots.withColumnRenamed("root", "at").join(ends, "at", "left").select("v", F.coalesce("end", "at").alias("root"))
-        left = edges.join(ends.select(F.col("at").alias("a"), F.col("end").alias("ra")), "a").join(ends.select(F.col("at").alias("b"), F.col("end").alias("rb")), "b")
+        left = edges.join(ends.withColumnsRenamed({"at": "a", "end": "ra"}), "a").join(ends.withColumnsRenamed({"at": "b", "end": "rb"}), "b")
         edges = stored(left.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     return roots if roots is not None else links.select(F.col("a").alias("v"), F.col("a").alias("root"))
 
@@ -179,9 +179,10 @@ class _Join:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare pairs (a, b) on their full sets; links among them extend the components."""
+        pairs = pairs.select("a", "b").distinct()
         for old in self.tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+        pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             return
         self.tried.append(pairs)
@@ -195,7 +196,7 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "set"])
 
         texts = self.docs.join(broadcast_if_small(ids), "id", "left_semi")
-        sets = stored(texts.mapInArrow(full, schema_of(texts.select("id"), set="array<bigint>")).dropDuplicates(["id"]), "sets")
+        sets = stored(texts.mapInArrow(full, schema_of(texts.select("id"), set="array<bigint>")), "sets")
         held = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         held = held.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         both = F.size(F.array_intersect("set_a", "set_b"))
@@ -216,9 +217,17 @@ class _Join:
     def open_nodes(self, members: DataFrame) -> DataFrame:
         """Members of nodes whose documents are not all in one component yet."""
         rooted = self.rooted(members)
-        nodes = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("node")
+        nodes = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("node", "low")
         return stored(rooted.join(nodes, "node"), "open-members")
 
+    def to_roots(self, members: DataFrame) -> None:
+        """Compare the members of open nodes with the smallest root among their node's components: copies of one text that
+        are not alike enough among themselves are alike to the text they come from. One pair per member."""
+        apart = members.filter(F.col("root") != F.col("low"))
+        sizes = self.reps.select(F.col("rep").alias("low"), F.col("n").alias("n_low"))
+        pairs = apart.select("low", "rep", "n").distinct().join(sizes, "low").filter(_pairs("n", "n_low", self.percent))
+        self.confirm(pairs.select(F.least("low", "rep").alias("a"), F.greatest("low", "rep").alias("b")))
+
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6) -> DataFrame:
     """(id, n_shingles, component) of `docs` (id, body)."""
@@ -230,8 +239,12 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6)
     for _ in range(START_DEPTH, PLACES // 2):
         members = stored(_shared(members), "members")
         star = members.filter("rep <> first.rep").select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
-        state.confirm(star.filter(_pairs("a", "b", "n_a", "n_b", percent)))
+        state.confirm(star.filter(_pairs("n_a", "n_b", percent)))
         left = state.open_nodes(members.filter("size > 2"))  # of two documents the only pair is done
+        if left.isEmpty():
+            break
+        state.to_roots(left)
+        left = state.open_nodes(members.filter("size > 2"))
         if left.isEmpty():
             break
         _exhaust(state, left.filter(F.col("size") <= SMALL))
@@ -253,7 +266,7 @@ def _exhaust(state: _Join, members: DataFrame, tiny: int | None = TINY) -> None:
     one, two = joined.select("node", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("ra")), joined.select(
         "node", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("rb"))
     pairs = one.join(two, "node").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    pairs = pairs.filter(_pairs("a", "b", "n_a", "n_b", state.percent)).select("a", "b")
+    pairs = pairs.filter(_pairs("n_a", "n_b", state.percent)).select("a", "b")
     if tiny is None:
         return state.confirm(pairs)
     more = members.filter(F.col("size") > tiny).select("node", "rep", "n", "root").join(state.reps.select("rep", "tokens"), "rep")
