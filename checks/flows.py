@@ -39,7 +39,7 @@ CHECKS["win_01_first_200_characters"] = (
 )
 CHECKS["joi_05_new_documents"] = (
     lambda spark, sf: dedup.new_documents(corpus(spark, sf).where("persona_id < 'src15'"), corpus(spark, sf).where("persona_id >= 'src15'"), order=["doc_id"]).select("doc_id"),
-    f"""WITH {SQL_CORPUS}, f AS (SELECT doc_id, lower({sql_strip('left(content, 200)')}) AS fp, persona_id < 'src15' AS fresh FROM corpus WHERE {sql_strip('content')} <> '')
+    f"""WITH {SQL_CORPUS}, f AS (SELECT doc_id, lower({sql_strip('content')}) AS fp, persona_id < 'src15' AS fresh FROM corpus WHERE {sql_strip('content')} <> '')
     SELECT min(doc_id) AS doc_id FROM f WHERE fresh AND fp NOT IN (SELECT fp FROM f WHERE NOT fresh) GROUP BY fp""",
 )
 
@@ -245,6 +245,14 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def _two_files(spark, rows, name, second):
+    """A stream that brings `rows` in two batches: those where `second` is false, then the others."""
+    path = scratch_path(spark, name)
+    for part in (rows.where(~second), rows.where(second)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _finish(spark, stream, name, mode, save):
     query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -269,9 +277,10 @@ def job_lifecycle(spark, sf):
     path = scratch_path(spark, "jobs")
     e = F.col("event_type")
     status = F.when(e == "signup", "uploaded").when(e == "view", "queued").when(e == "click", "processing").when(e == "purchase", "completed").otherwise("failed")
-    updates = _event_stream(spark, sf).select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"))
+    updates = _two_files(spark, table(spark, sf, "events"), "updates", F.col("event_id") % 2 == 1)
+    updates = updates.select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"))
     try:
-        _finish(spark, ST.job_stream(updates), "jobs", "update",
+        _finish(spark, ST.job_stream(updates, hours=None), "jobs", "update",
                 lambda batch, i: batch.withColumn("_batch", F.lit(i)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path))
     finally:
         if before is None:
@@ -280,26 +289,29 @@ def job_lifecycle(spark, sf):
             spark.conf.set(key, before)
     rows = spark.read.parquet(path)
     newest = E.latest(rows, ["job_id"], "_batch")
-    return newest.select("job_id", "status", "updates", "failures")
+    return newest.select("job_id", "status", "updates", "failures", "late")
 
 
 CHECKS["tel_05_job_stream"] = (
     job_lifecycle,
-    """WITH j AS (SELECT user_id AS job_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER w AS updates, count(*) FILTER (event_type = 'error') OVER w AS failures FROM events WINDOW w AS (PARTITION BY user_id))
-    SELECT job_id, CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, updates, failures FROM j WHERE rn = 1""",
+    """WITH j AS (SELECT user_id AS job_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER w AS updates, count(*) FILTER (event_type = 'error') OVER w AS failures FROM events WINDOW w AS (PARTITION BY user_id)),
+    f AS (SELECT user_id AS job_id, max(row(ts, event_id)) AS newest FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+    l AS (SELECT user_id AS job_id, count(*) AS late FROM events JOIN f ON job_id = user_id WHERE event_id % 2 = 1 AND row(ts, event_id) < newest GROUP BY 1)
+    SELECT job_id, coalesce(late, 0) AS late, CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, updates, failures FROM j LEFT JOIN l USING (job_id) WHERE rn = 1""",
 )
 
 
 def ingest_stream(spark, sf):
     path = scratch_path(spark, "ingest")
-    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    rows = table(spark, sf, "documents")
+    docs = _two_files(spark, rows, "arrivals", F.col("doc_id") >= rows.selectExpr("percentile_approx(doc_id, 0.5)").first()[0])
     _finish(spark, docs.select("doc_id", F.col("source").alias("persona_id"), F.col("text").alias("content")), "ingest", "append", ST.ingest_batch(path, order=["doc_id"], keys=["persona_id"]))
     return spark.read.parquet(path).select("doc_id")
 
 
 CHECKS["joi_05_ingest_stream"] = (
     ingest_stream,
-    f"WITH {SQL_CORPUS} SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY persona_id, lower({sql_strip('left(content, 200)')}) ORDER BY doc_id) AS rn FROM corpus WHERE {sql_strip('content')} <> '') WHERE rn = 1",
+    f"WITH {SQL_CORPUS} SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY persona_id, lower({sql_strip('content')}) ORDER BY doc_id) AS rn FROM corpus WHERE {sql_strip('content')} <> '') WHERE rn = 1",
 )
 
 

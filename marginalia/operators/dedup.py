@@ -34,11 +34,14 @@ def new_documents(
     incoming: DataFrame, existing: DataFrame | None, *, order: Sequence[str] = ("source",),
     keys: Sequence[str] = (), content: str = "content",
 ) -> DataFrame:
-    """Incoming documents whose fingerprint is new, also against the stored ones when given."""
+    """Incoming documents whose fingerprint is new, also against the stored ones when given.
+
+    A stored `fingerprint` column is used as it is, so old texts are not read again."""
     fresh = first_per_fingerprint(incoming, order=order, keys=keys, content=content)
     if existing is None:
         return fresh
-    seen = existing.select(*keys, fingerprint(F.col(content)).alias("_fp")).distinct()
+    stored = F.col("fingerprint") if "fingerprint" in existing.columns else fingerprint(F.col(content))
+    seen = existing.select(*keys, stored.alias("_fp")).distinct()
     return fresh.withColumn("_fp", fingerprint(F.col(content))).join(seen, [*keys, "_fp"], "left_anti").drop("_fp")
 
 

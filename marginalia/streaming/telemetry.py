@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.dedup import new_documents
+from ..operators.dedup import fingerprint, new_documents
 
 STATUS_ORDER = {"uploaded": 0, "queued": 1, "processing": 2, "completed": 3, "failed": 3}
 
@@ -29,38 +29,49 @@ def distinct_updates(updates: DataFrame, *, id_col: str = "event_id", ts: str =
 
 
 class JobLifecycle(StatefulProcessor):
-    """Newest state and counters per job; a state older than the known one is counted as late."""
+    """Newest state and counters per job; an update older than what earlier batches brought is counted as late.
 
-    FIELDS = "ts TIMESTAMP, event_id BIGINT, status STRING, updates BIGINT, failures BIGINT"
+    A job without updates for `hours` of processing time is forgotten (None keeps all jobs).
+    """
+
+    FIELDS = "ts TIMESTAMP, event_id BIGINT, status STRING, updates BIGINT, failures BIGINT, late BIGINT"
     OUTPUT = S.StructType([
         S.StructField("job_id", S.LongType()), S.StructField("ts", S.TimestampType()), S.StructField("status", S.StringType()),
-        S.StructField("updates", S.LongType()), S.StructField("failures", S.LongType()),
+        S.StructField("updates", S.LongType()), S.StructField("failures", S.LongType()), S.StructField("late", S.LongType()),
     ])
 
+    def __init__(self, hours: float | None = 24.0) -> None:
+        self.hours = hours
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", self.FIELDS)
+        self.state = handle.getValueState("job", self.FIELDS, None if self.hours is None else int(self.hours * 3_600_000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.state.get() if self.state.exists() else None
-        ts, event_id, status, updates, failures = known or (None, None, None, 0, 0)
+        ts, event_id, status, updates, failures, late = known or (None, None, None, 0, 0, 0)
+        before = None if ts is None else (pd.Timestamp(ts.replace(tzinfo=None)), event_id)
         for frame in rows:
             updates += len(frame)
+            if before is not None:
+                late += int(((frame["ts"] < before[0]) | ((frame["ts"] == before[0]) & (frame["event_id"] < before[1]))).sum())
             failures += int((frame["status"] == "failed").sum())
             top = frame.sort_values(["ts", "event_id"]).iloc[-1]
             at = (top["ts"].to_pydatetime(), int(top["event_id"]))
             if ts is None or at > (ts.replace(tzinfo=None), event_id):
                 ts, event_id, status = at[0], at[1], top["status"]
-        self.state.update((ts, event_id, status, updates, failures))
-        yield pd.DataFrame({"job_id": [key[0]], "ts": [pd.Timestamp(ts).tz_localize(None)], "status": [status], "updates": [updates], "failures": [failures]})
+        self.state.update((ts, event_id, status, updates, failures, late))
+        yield pd.DataFrame({"job_id": [key[0]], "ts": [pd.Timestamp(ts).tz_localize(None)], "status": [status], "updates": [updates], "failures": [failures], "late": [late]})
 
     def close(self) -> None:
         pass
 
 
-def job_stream(updates: DataFrame, *, mode: str = "update") -> DataFrame:
-    """Job states by key; needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`)."""
+def job_stream(updates: DataFrame, *, mode: str = "update", hours: float | None = 24.0) -> DataFrame:
+    """Job states by key, kept `hours` after their last update (such a stream wakes up by itself and so has no end; a
+    run over given files takes None); needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`)."""
     return updates.select("job_id", "ts", "event_id", "status").groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobLifecycle(), outputStructType=JobLifecycle.OUTPUT, outputMode=mode, timeMode="None"
+        statefulProcessor=JobLifecycle(hours), outputStructType=JobLifecycle.OUTPUT, outputMode=mode,
+        timeMode="None" if hours is None else "ProcessingTime",
     )
 
 
@@ -72,7 +83,7 @@ def ingest_batch(path: str, *, order: list[str], keys: list[str]):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
         existing = spark.read.parquet(path).where(F.col("_batch") != batch_id) if there else None
-        fresh = new_documents(batch, existing, order=order, keys=keys).withColumn("_batch", F.lit(batch_id).cast("bigint"))
+        fresh = new_documents(batch, existing, order=order, keys=keys).withColumns({"_batch": F.lit(batch_id).cast("bigint"), "fingerprint": fingerprint(F.col("content"))})
         # A batch that is run again replaces its own partition.
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
 
