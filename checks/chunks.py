@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import chunking as C
+from marginalia.operators import filters
 
 from .base import (
     SQL_CORPUS, corpus, sql_chunks, sql_pack, sql_sentences, sql_strip, sql_words, table,
@@ -34,7 +35,7 @@ CHECKS["prj_09_chunk_rows"] = (
     CORPUS_CHUNKS + "SELECT chunk_id, source, parent_source, persona_id, word_count, length(content) AS char_count, true AS is_chunk FROM chunks",
 )
 CHECKS["prj_07_filter_chunks"] = (
-    lambda spark, sf: chunks(spark, sf).where(F.col("word_count").between(10, 2000)).select("chunk_id", "word_count"),
+    lambda spark, sf: filters.chunks_by_size(chunks(spark, sf), 10, 2000).select("chunk_id", "word_count"),
     CORPUS_CHUNKS + "SELECT chunk_id, word_count FROM chunks WHERE word_count BETWEEN 10 AND 2000",
 )
 CHECKS["chk_02_split_documents"] = (
@@ -155,7 +156,6 @@ CHECKS["chk_13_work_list"] = (
     f"""WITH {SQL_CORPUS} SELECT doc_id, persona_id || '_doc_' || lpad(doc_id::VARCHAR, 9, '0') AS slug FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 CHECKS["chk_13_batch_counters"] = (
-    lambda spark, sf: corpus(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left").select(
-        F.when(F.col("toxic") == 1, "failed").when(F.col("quality").isNotNull(), "skipped").otherwise("processed").alias("status")).groupBy("status").agg(F.count("*").alias("files")),
+    lambda spark, sf: filters.batch_counters(corpus(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left"), filters.outcome(F.col("toxic") == 1, F.col("quality").isNotNull())),
     "SELECT CASE WHEN toxic = 1 THEN 'failed' WHEN quality IS NOT NULL THEN 'skipped' ELSE 'processed' END AS status, count(*) AS files FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
 )

@@ -308,7 +308,7 @@ CHECKS["agg_21_persona_summary"] = (
     f"""WITH {_PERS} SELECT persona_id, mn AS models, bn AS beliefs, 3 AS catchphrases, 2 AS vocabulary, round(coalesce(mc / nullif(mn, 0), 0), 6) AS model_confidence, round(coalesce(bc / nullif(bn, 0), 0), 6) AS belief_confidence FROM p""",
 )
 CHECKS["top_02_by_confidence"] = (
-    lambda spark, sf: personas(spark, sf).select("persona_id", F.posexplode_outer(F.slice("mental_models", 1, 5)).alias("pos", "m")).where("pos IS NOT NULL").select("persona_id", "pos", "m.name", "m.confidence_score"),
+    lambda spark, sf: personas(spark, sf).select("persona_id", F.posexplode_outer(F.slice(Q.by_confidence(F.col("mental_models")), 1, 5)).alias("pos", "m")).where("pos IS NOT NULL").select("persona_id", "pos", "m.name", "m.confidence_score"),
     f"WITH {_PERS} SELECT persona_id, rn - 1 AS pos, name, confidence_score FROM (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY confidence_score DESC, doc_id) AS rn FROM pm) WHERE rn <= 5",
 )
 CHECKS["val_02_persona_issues"] = (

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators import filters
+from marginalia.plans import retrieval as P
 
 from .base import (
     SQL_BELIEFS, SQL_CORPUS, SQL_MODELS, WS, beliefs, corpus, models, sql_strip, sql_words, table,
@@ -67,7 +69,7 @@ CHECKS["prj_05_tokenize"] = (
     rf"SELECT doc_id, md5(array_to_string({sql_words('text')}, '|')) AS tokens, md5(array_to_string(regexp_extract_all(text, '(?s).'), '|')) AS chars FROM documents",
 )
 CHECKS["prj_06_filter_documents"] = (
-    _q(lambda d: d.withColumn("w", T.count_words(F.col("content"), F.col("language"))).where(F.col("w").between(10, 400)).select("doc_id", "w")),
+    _q(lambda d: filters.by_word_count(d, 10, 400, language=F.col("language"), out="w").select("doc_id", "w")),
     rf"SELECT doc_id, len({sql_words('text')}) AS w FROM documents WHERE len({sql_words('text')}) BETWEEN 10 AND 400",
 )
 CHECKS["prj_08_prepare_content"] = (
@@ -75,9 +77,7 @@ CHECKS["prj_08_prepare_content"] = (
     rf"SELECT doc_id, md5({sql_strip(f"regexp_replace(text, '{WS}+', ' ', 'g')")}) AS one_line, md5({sql_strip("regexp_replace(replace(text, chr(10), repeat(chr(10), 4)), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS lines FROM documents",
 )
 CHECKS["prj_12_browser_filter"] = (
-    lambda spark, sf: models(spark, sf).where(
-        (F.col("confidence_score") >= 0.6) & F.arrays_overlap("categories", F.array(F.lit("en"), F.lit("src3")))
-        & (F.contains(F.lower("name"), F.lit("the")) | F.contains(F.lower("description"), F.lit("the")))).select("doc_id", "name"),
+    lambda spark, sf: filters.browse(models(spark, sf), min_confidence=0.6, categories=["en", "src3"], search="The").select("doc_id", "name"),
     SQL_MODELS + "SELECT doc_id, name FROM model_items WHERE confidence_score >= 0.6 AND list_has_any(categories, ['en', 'src3']) AND (contains(lower(name), 'the') OR contains(lower(description), 'the'))",
 )
 CHECKS["prj_13_remove_phrases"] = (
@@ -126,15 +126,15 @@ CHECKS["prj_20_excerpt_preview"] = (
     ELSE 'BEGINNING: "' || {sql_strip('left(text, 300)')} || '..."' || chr(10) || '[...MIDDLE CONTENT OMITTED...]' || chr(10) || 'ENDING: "...' || {sql_strip('right(text, 300)')} || '"' END) AS preview FROM documents""",
 )
 CHECKS["prj_21_hide_evidence"] = (
-    lambda spark, sf: beliefs(spark, sf).withColumn("supporting_evidence", F.array().cast("array<string>"))
+    lambda spark, sf: P.hide_evidence(beliefs(spark, sf))
     .select("doc_id", "statement", F.size("supporting_evidence").alias("evidence_count")),
     SQL_BELIEFS + "SELECT doc_id, statement, 0 AS evidence_count FROM belief_items",
 )
 CHECKS["prj_22_by_category"] = (
-    lambda spark, sf: models(spark, sf).where(F.exists("categories", lambda x: F.lower(x) == "src4")).select("doc_id", "name"),
+    lambda spark, sf: filters.in_category(models(spark, sf), "SRC4").select("doc_id", "name"),
     SQL_MODELS + "SELECT doc_id, name FROM model_items WHERE len(list_filter(categories, lambda x: lower(x) = 'src4')) > 0",
 )
 CHECKS["prj_23_conversation_history"] = (
-    lambda spark, sf: table(spark, sf, "conversations").where(F.col("conv_id") == 3).select("turn", "role", "text").orderBy("turn"),
+    lambda spark, sf: filters.conversation(table(spark, sf, "conversations"), 3).select("turn", "role", "text"),
     "SELECT turn, role, text FROM conversations WHERE conv_id = 3 ORDER BY turn",
 )

@@ -181,9 +181,14 @@ def search_knowledge(
         rows = rr.rerank(rows, k, id_col="document_id", score_pairs=score_pairs)
         if weight_confidence:
             rows = rr.weight_by_confidence(rows, id_col="document_id")
-    if not include_evidence and "supporting_evidence" in rows.columns:
-        rows = rows.withColumn("supporting_evidence", F.array().cast("array<string>"))
-    return rows
+    return rows if include_evidence else hide_evidence(rows)
+
+
+def hide_evidence(rows: DataFrame) -> DataFrame:
+    """Empty evidence lists; no result is lost."""
+    if "supporting_evidence" not in rows.columns:
+        return rows
+    return rows.withColumn("supporting_evidence", F.array().cast("array<string>"))
 
 
 def high_conviction(queries: DataFrame, docs: DataFrame, embed, k: int = 10, strict: bool = False, **kw) -> DataFrame:
