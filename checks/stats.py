@@ -151,6 +151,20 @@ CHECKS["agg_11_sentiment"] = (
     f"""WITH {_WORDS}, s AS (SELECT persona_id, sum(n)::BIGINT AS w, coalesce(sum(n) FILTER (word IN {sql_list(_POS)}), 0)::BIGINT AS p, coalesce(sum(n) FILTER (word IN {sql_list(_NEG)}), 0)::BIGINT AS q FROM wc GROUP BY 1)
     SELECT persona_id, w AS total_words, p AS positive, q AS negative, round(coalesce((p - q) / nullif(p + q, 0), 0), 6) AS overall_sentiment, round(p / w, 6) AS positive_ratio, round(q / w, 6) AS negative_ratio FROM s""",
 )
+_TONES = [*fixed.POSITIVE_WORDS, *fixed.NEGATIVE_WORDS]
+
+
+def _toned(spark, sf):
+    """Each document ends with one word of the default lists."""
+    word = F.element_at(F.array(*[F.lit(w) for w in _TONES]), (F.col("doc_id") % len(_TONES) + 1).cast("int"))
+    return corpus(spark, sf).withColumn("content", F.concat_ws(" ", "content", word))
+
+
+CHECKS["agg_11_sentiment_default_lists"] = (
+    lambda spark, sf: r6(L.sentiment(_toned(spark, sf)), "overall_sentiment", "positive_ratio", "negative_ratio"),
+    CHECKS["agg_11_sentiment"][1].replace(sql_list(_POS), sql_list(fixed.POSITIVE_WORDS)).replace(sql_list(_NEG), sql_list(fixed.NEGATIVE_WORDS)).replace("FROM corpus", "FROM toned").replace(
+        SQL_CORPUS + ",", SQL_CORPUS + f", toned AS (SELECT * REPLACE (content || ' ' || {list(_TONES)}[doc_id % {len(_TONES)} + 1] AS content) FROM corpus),"),
+)
 _SIG = rf"""{SQL_CORPUS}, se AS (SELECT persona_id, regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+') AS t FROM (SELECT persona_id, unnest({sql_sentences('content')}) AS s FROM corpus)),
   gr AS (SELECT persona_id, unnest(flatten(list_transform(generate_series(3, 8), lambda n: list_transform(generate_series(1, len(t) - n + 1), lambda i: t[i:i + n - 1])))) AS g FROM se),
   ph AS (SELECT persona_id, array_to_string(g, ' ') AS phrase FROM gr WHERE len(list_filter(g, lambda w: w NOT IN {STOP})) > 0),
