@@ -7,8 +7,8 @@ alike documents stay together and others part. All documents start at the nodes
 by itself; a node with one document ends there. In a node, documents are compared with its first document, then with
 the first document of the component found, and, if some stay apart, nodes of up to `SMALL` documents are compared exhaustively and larger ones branch on. Independent trees
 repeat this: a pair at exactly 0.75 is missed by one tree with probability 0.1, and by all of the default six with 1e-6.
-An exhaustive comparison looks at the minwise tokens first; pairs more than five standard deviations below the limit
-are not confirmed any more.
+An exhaustive comparison looks at the minwise tokens first; pairs more than three standard deviations below the limit
+are not confirmed any more (one in 700 of those at exactly 0.75 that no first document or root has linked before).
 
 Links decide components only, so documents already joined are not compared again, and groups of near copies of any
 size cost one comparison per document rather than all pairs. Every link is confirmed on the full shingle sets.
@@ -30,7 +30,7 @@ from marginalia.session import broadcast_if_small
 
 PLACES = 20  # tokens per tree
 START_DEPTH = 3
-SMALL = 1_000  # a node of so many documents is compared exhaustively
+SMALL = 4_000  # a node of so many documents is compared exhaustively
 TINY = 8  # ... and of so many without a look at the tokens
 _BLOCK = 1 << 14
 
@@ -84,19 +84,24 @@ def _children(node: np.ndarray, used: np.ndarray, tokens: np.ndarray) -> list[tu
     return out
 
 
+def _leaves(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(tree, node, used) of every starting node of the documents with `tokens` (document, tree, place)."""
+    for tree in range(tokens.shape[1]):
+        level = [(np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0]), np.zeros(len(tokens), np.int64))]
+        for _ in range(START_DEPTH):
+            level = [child for node, used in level for child in _children(node, used, tokens[:, tree])]
+        for node, used in level:
+            yield tree, node, used
+
+
 def _plant(reps: DataFrame, trees: int) -> DataFrame:
     """(node, tree, used, rep, n) of the starting depth."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(batch.num_rows, trees, PLACES)
-            for tree in range(trees):
-                level = [(np.full(batch.num_rows, mix(np.array([tree + 1], np.uint64))[0]), np.zeros(batch.num_rows, np.int64))]
-                for _ in range(START_DEPTH):
-                    level = [child for node, used in level for child in _children(node, used, tokens[:, tree])]
-                for node, used in level:
+            if batch.num_rows:
+                tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(batch.num_rows, trees, PLACES)
+                for tree, node, used in _leaves(tokens):
                     yield _members(batch, node, used, tree)
 
     return reps.mapInArrow(plant, schema_of(reps.select("rep", "n"), node="long", used="long", tree="int"))
@@ -236,7 +241,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6)
         F.min("id").alias("rep"), F.min_by("tokens", "id").alias("tokens")).withColumnRenamed("n_shingles", "n"), "representatives")
     state = _Join(docs, reps, words, percent, trees)
     members = _plant(reps, trees)
-    for _ in range(START_DEPTH, PLACES // 2):
+    for depth in range(START_DEPTH, PLACES // 2):
         members = stored(_shared(members), "members")
         star = members.filter("rep <> first.rep").select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
         state.confirm(star.filter(_pairs("n_a", "n_b", percent)))
@@ -247,9 +252,10 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6)
         left = state.open_nodes(members.filter("size > 2"))
         if left.isEmpty():
             break
-        _exhaust(state, left.filter(F.col("size") <= SMALL))
         large = left.filter(F.col("size") > SMALL)
-        if large.isEmpty():
+        last = large.isEmpty()
+        _exhaust(state, left.filter(F.col("size") <= SMALL), once=last and depth == START_DEPTH)
+        if last:
             break
         members = _grow(large.select("rep", "n", "node", "used", "tree").join(reps.select("rep", "tokens"), "rep"), trees)
     else:
@@ -259,9 +265,12 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6)
     return light.join(rooted, ["n_shingles", "class"], "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component"))
 
 
-def _exhaust(state: _Join, members: DataFrame, tiny: int | None = TINY) -> None:
+def _exhaust(state: _Join, members: DataFrame, tiny: int | None = TINY, once: bool = False) -> None:
     """Compare all documents of a node that are in different components: by a join in nodes of up to `tiny` documents (all
-    with None; the join is split where a node is large), by their tokens first in the others."""
+    with None; the join is split where a node is large), by their tokens first in the others.
+
+    With `once` all open starting nodes are compared here, so a pair is named by the first node that it shares.
+    """
     joined = members.filter(F.col("size") <= tiny) if tiny else members
     one, two = joined.select("node", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("ra")), joined.select(
         "node", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("rb"))
@@ -271,17 +280,23 @@ def _exhaust(state: _Join, members: DataFrame, tiny: int | None = TINY) -> None:
         return state.confirm(pairs)
     more = members.filter(F.col("size") > tiny).select("node", "rep", "n", "root").join(state.reps.select("rep", "tokens"), "rep")
     percent, count = state.percent, state.trees * PLACES
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / count) ** 0.5
+    least = percent / 100 - 3 * (percent / 100 * (1 - percent / 100) / count) ** 0.5
 
     def compare(node: pa.Table) -> pa.Table:
         tokens = np.frombuffer(b"".join(node.column("tokens").to_pylist()), np.uint32).reshape(node.num_rows, count)
         n, root, rep = node.column("n").to_numpy(), node.column("root").to_numpy(), node.column("rep").to_numpy()
+        here = np.uint64(node.column("node")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
+        starts = np.stack([x for _, x, _ in _leaves(tokens.reshape(len(tokens), -1, PLACES))], axis=1) if once else None
         found_a, found_b = [], []
         for i in range(node.num_rows - 1):
             apart = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent)
             other = np.flatnonzero(apart) + i + 1
             if len(other):
                 other = other[(tokens[other] == tokens[i]).mean(axis=1) >= least]
+            if once and len(other):
+                first = (starts[other] == starts[i]).argmax(axis=1)
+                other = other[starts[i][first] == here]
+            if len(other):
                 found_a.append(np.minimum(rep[i], rep[other]))
                 found_b.append(np.maximum(rep[i], rep[other]))
         none = np.zeros(0, rep.dtype)
