@@ -7,8 +7,8 @@ alike documents stay together and others part. All documents start at the nodes
 by itself; a node with one document ends there. In a node, documents are compared with its first document, then with
 the first document of the component found, and, if some stay apart, nodes of up to `SMALL` documents are compared exhaustively and larger ones branch on. Independent trees
 repeat this: a pair at exactly 0.75 is missed by one tree with probability 0.1, and by all of the default six with 1e-6.
-An exhaustive comparison looks at the minwise tokens first; pairs more than three standard deviations below the limit
-are not confirmed any more (one in 700 of those at exactly 0.75 that no first document or root has linked before).
+An exhaustive comparison leaves out only pairs that cannot be alike: each set has one bit per bucket of shingles, telling
+whether an odd number of them fell there, and sets differ in at least as many shingles as in bits.
 
 Links decide components only, so documents already joined are not compared again, and groups of near copies of any
 size cost one comparison per document rather than all pairs. Every link is confirmed on the full shingle sets.
@@ -31,7 +31,8 @@ from marginalia.session import broadcast_if_small
 PLACES = 20  # tokens per tree
 START_DEPTH = 3
 SMALL = 4_000  # a node of so many documents is compared exhaustively
-TINY = 8  # ... and of so many without a look at the tokens
+TINY = 8  # ... and of so many without a look at the parities
+PARITY = 1 << 12  # buckets of the parities
 _BLOCK = 1 << 14
 
 
@@ -49,8 +50,15 @@ def minwise(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set the bits of the buckets that hold an odd number of it. Bits of two sets differ only where an odd number
+    of shingles is in one set alone, so there are at most as many differing bits as differing shingles."""
+    return [np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes() for s in sets]
+
+
 def signatures(docs: DataFrame, words: int, tokens: int) -> DataFrame:
-    """(id, n_shingles, class, tokens): set size, 128-bit hash of the set, minwise tokens (null for an empty set)."""
+    """(id, n_shingles, class, tokens, parity): set size, 128-bit hash of the set, minwise tokens (null for an empty set),
+    parities of its buckets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -61,10 +69,11 @@ def signatures(docs: DataFrame, words: int, tokens: int) -> DataFrame:
                     names = [int(x.sum()).to_bytes(8, "big") + int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum()).to_bytes(8, "big") for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.binary()),
-                     pa.array([t.tobytes() if len(x) else None for x, t in zip(sets, small, strict=True)], pa.binary())],
-                    names=["id", "n_shingles", "class", "tokens"])
+                     pa.array([t.tobytes() if len(x) else None for x, t in zip(sets, small, strict=True)], pa.binary()),
+                     pa.array(parities(sets), pa.binary())],
+                    names=["id", "n_shingles", "class", "tokens", "parity"])
 
-    return docs.mapInArrow(sign, schema_of(docs.select("id"), n_shingles="long", **{"class": "binary"}, tokens="binary"))
+    return docs.mapInArrow(sign, schema_of(docs.select("id"), n_shingles="long", **{"class": "binary"}, tokens="binary", parity="binary"))
 
 
 def _children(node: np.ndarray, used: np.ndarray, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -238,7 +247,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6)
     """(id, n_shingles, component) of `docs` (id, body)."""
     light = stored(signatures(docs, words, trees * PLACES), "signatures")
     reps = stored(light.filter("n_shingles > 0").groupBy("n_shingles", "class").agg(
-        F.min("id").alias("rep"), F.min_by("tokens", "id").alias("tokens")).withColumnRenamed("n_shingles", "n"), "representatives")
+        F.min("id").alias("rep"), F.min_by("tokens", "id").alias("tokens"), F.min_by("parity", "id").alias("parity")).withColumnRenamed("n_shingles", "n"), "representatives")
     state = _Join(docs, reps, words, percent, trees)
     members = _plant(reps, trees)
     for depth in range(START_DEPTH, PLACES // 2):
@@ -267,7 +276,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6)
 
 def _exhaust(state: _Join, members: DataFrame, tiny: int | None = TINY, once: bool = False) -> None:
     """Compare all documents of a node that are in different components: by a join in nodes of up to `tiny` documents (all
-    with None; the join is split where a node is large), by their tokens first in the others.
+    with None; the join is split where a node is large), by their parities first in the others. No link is lost by that:
+    sets with d shingles in one of them alone are linked when d * (100 + percent) <= (n_a + n_b) * (100 - percent), and d
+    is at least the number of differing bits.
 
     With `once` all open starting nodes are compared here, so a pair is named by the first node that it shares.
     """
@@ -278,21 +289,23 @@ def _exhaust(state: _Join, members: DataFrame, tiny: int | None = TINY, once: bo
     pairs = pairs.filter(_pairs("n_a", "n_b", state.percent)).select("a", "b")
     if tiny is None:
         return state.confirm(pairs)
-    more = members.filter(F.col("size") > tiny).select("node", "rep", "n", "root").join(state.reps.select("rep", "tokens"), "rep")
-    percent, count = state.percent, state.trees * PLACES
-    least = percent / 100 - 3 * (percent / 100 * (1 - percent / 100) / count) ** 0.5
+    more = members.filter(F.col("size") > tiny).select("node", "rep", "n", "root").join(state.reps.select("rep", "parity", *["tokens"] * once), "rep")
+    percent = state.percent
 
     def compare(node: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(node.column("tokens").to_pylist()), np.uint32).reshape(node.num_rows, count)
+        parity = np.frombuffer(b"".join(node.column("parity").to_pylist()), np.uint64).reshape(node.num_rows, -1)
         n, root, rep = node.column("n").to_numpy(), node.column("root").to_numpy(), node.column("rep").to_numpy()
         here = np.uint64(node.column("node")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
-        starts = np.stack([x for _, x, _ in _leaves(tokens.reshape(len(tokens), -1, PLACES))], axis=1) if once else None
+        if once:
+            tokens = np.frombuffer(b"".join(node.column("tokens").to_pylist()), np.uint32).reshape(node.num_rows, -1, PLACES)
+            starts = np.stack([x for _, x, _ in _leaves(tokens)], axis=1)
         found_a, found_b = [], []
         for i in range(node.num_rows - 1):
             apart = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent)
             other = np.flatnonzero(apart) + i + 1
             if len(other):
-                other = other[(tokens[other] == tokens[i]).mean(axis=1) >= least]
+                differ = np.bitwise_count(parity[other] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                other = other[differ * (100 + percent) <= (n[other] + n[i]) * (100 - percent)]
             if once and len(other):
                 first = (starts[other] == starts[i]).argmax(axis=1)
                 other = other[starts[i][first] == here]

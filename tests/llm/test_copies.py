@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,36 @@ def test_near_families(spark, families, monkeypatch, small):
     assert near(spark.createDataFrame(families, "doc_id bigint, text string")) == brute_near(families)
 
 
+def test_a_pair_with_unlike_tokens_is_linked(spark):
+    """Sets alike by exactly 0.75 whose tokens happen to agree far less, in a node that is compared exhaustively."""
+    rng = random.Random(3)
+    while True:
+        words = [str(rng.randrange(10**9)) for _ in range(39)]
+        pair = [" ".join(words), " ".join([*words[:19], "other", *words[20:]])]
+        tokens = near_dedup.minwise(near_dedup.shingle_sets([t.encode() for t in pair], 5), 120)
+        if (tokens[0] == tokens[1]).mean() < 0.63:
+            break
+    others = [(i, " ".join(str(rng.randrange(10**9)) for _ in range(40))) for i in range(2, 12)]
+    rows = [(0, pair[0]), (1, pair[1]), *others]
+    docs = spark.createDataFrame(rows, "id bigint, text string").select("id", F.col("text").cast("binary").alias("body"))
+    reps = near_dedup.signatures(docs, 5, 120).withColumnsRenamed({"id": "rep", "n_shingles": "n"}).cache()
+    for once in (False, True):
+        state = near_dedup._Join(docs, reps, 5, 75, 6)
+        shared = next(x[0] for _, x, _ in near_dedup._leaves(tokens.reshape(2, 6, 20)) if x[0] == x[1])  # the first node of both
+        members = reps.select(F.lit(int(np.uint64(shared).view(np.int64))).alias("node"), "rep", "n", F.lit(len(rows)).alias("size"), F.col("rep").alias("root"))
+        near_dedup._exhaust(state, members, once=once)
+        assert {r.v: r.root for r in state.roots.collect()} == {0: 0, 1: 0}
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 300, 9_000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.union1d(a[n // 4 :], rng.integers(0, 2**63, n // 3, dtype=np.uint64))
+        x, y = (np.frombuffer(p, np.uint64) for p in near_dedup.parities([a, b]))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_near_odd_rows(spark, odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_copies(odd).collect()}
     assert {(1, 4, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (6, 4, 1, False), (None, 1, None, True)} <= got
