@@ -176,8 +176,7 @@ CHECKS["ret_02_nearest_exact"] = (
     f"WITH {SQL_VEC}, {sql_nearest('nn', 'qv', 'dv', 'vec_id', 5)} SELECT query_id, vec_id, score, rank FROM nn",
 )
 CHECKS["joi_06_query_by_vector_scores"] = (
-    lambda spark, sf: V.nearest(vec_queries(spark, sf), vec_rows(spark, sf), 10**6, id_col="vec_id").groupBy("query_id").agg(
-        F.count("*").alias("pairs"), F.max("score").alias("best"), F.min("score").alias("worst")),
+    lambda spark, sf: V.score_ranges(vec_queries(spark, sf), vec_rows(spark, sf), id_col="vec_id"),
     f"WITH {SQL_VEC}, {sql_nearest('nn', 'qv', 'dv', 'vec_id', 10**6)} SELECT query_id, count(*) AS pairs, max(score) AS best, min(score) AS worst FROM nn GROUP BY 1",
 )
 CHECKS["prj_11_search_by_source"] = (

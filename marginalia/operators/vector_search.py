@@ -45,16 +45,8 @@ def _pack(vectors: DataFrame, scope: Sequence[str], id_col: str, vec: str) -> Da
     return vectors.where(F.col(vec).isNotNull()).select(*scope, id_col, vec).mapInPandas(run, S.StructType(fields))
 
 
-def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int = 4, *, id_col: str = "doc_id", vec: str = "embedding",
-    query_vec: str = "query_vec", scope: Sequence[str] = (),
-) -> DataFrame:
-    """Exact top `k` by cosine for every query: (scope, query_id, id, score, rank).
-
-    Blocks of queries meet blocks of vectors of the same scope and are scored by one matrix product; each
-    pair of blocks passes on its k best rows (all ties kept). The query blocks are broadcast where a count
-    shows they fit; else both sides are shuffled on (scope, salt), which spreads a hot scope.
-    """
+def _block_pairs(queries: DataFrame, vectors: DataFrame, scope: Sequence[str], id_col: str, vec: str, query_vec: str) -> DataFrame:
+    """Blocks of queries beside blocks of vectors of the same scope: (scope, _ids, _matrix, _qids, _qv)."""
     scope = list(scope)
     n_queries = queries.count()
     blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
@@ -69,25 +61,42 @@ def nearest(
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
         v = v.withColumn("_salt", F.pmod(F.xxhash64("_matrix"), F.lit(SALTS)))
         q, on = q.withColumn("_salt", salts), [*scope, "_salt"]
-    pairs = v.join(q, on).select(*scope, "_ids", "_matrix", "_qids", "_qv")
+    return v.join(q, on).select(*scope, "_ids", "_matrix", "_qids", "_qv")
+
+
+def _cosines(raw: bytes, n: int, qv) -> np.ndarray:
+    """Rounded cosines of a block of queries (rows) with a packed block of `n` vectors."""
+    matrix = np.frombuffer(raw, "float64").reshape(n, -1)
+    qm = np.stack([np.asarray(x, "float64") for x in qv])
+    norm = np.linalg.norm(qm, axis=1, keepdims=True)
+    qm = np.divide(qm, norm, out=np.zeros_like(qm), where=norm > 0)
+    return np.round(qm @ matrix.T, ranking.SCORE_DIGITS) + 0.0
+
+
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int = 4, *, id_col: str = "doc_id", vec: str = "embedding",
+    query_vec: str = "query_vec", scope: Sequence[str] = (),
+) -> DataFrame:
+    """Exact top `k` by cosine for every query: (scope, query_id, id, score, rank).
+
+    Blocks of queries meet blocks of vectors of the same scope and are scored by one matrix product; each
+    pair of blocks passes on its k best rows (all ties kept). The query blocks are broadcast where a count
+    shows they fit; else both sides are shuffled on (scope, salt), which spreads a hot scope.
+    """
+    scope = list(scope)
+    pairs = _block_pairs(queries, vectors, scope, id_col, vec, query_vec)
     fields = [vectors.schema[c] for c in scope] + [
         S.StructField("query_id", queries.schema["query_id"].dataType),
         S.StructField(id_col, vectors.schema[id_col].dataType),
         S.StructField("score", S.DoubleType()),
     ]
 
-    digits = ranking.SCORE_DIGITS
-
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 key, (ids, raw, qids, qv) = row[: len(scope)], row[len(scope):]
                 ids, qids = np.asarray(ids, object), np.asarray(qids, object)
-                matrix = np.frombuffer(raw, "float64").reshape(len(ids), -1)
-                qm = np.stack([np.asarray(x, "float64") for x in qv])
-                norm = np.linalg.norm(qm, axis=1, keepdims=True)
-                qm = np.divide(qm, norm, out=np.zeros_like(qm), where=norm > 0)
-                sims = np.round(qm @ matrix.T, digits) + 0.0
+                sims = _cosines(raw, len(ids), qv)
                 if sims.shape[1] > k:
                     floor = np.partition(sims, -k, axis=1)[:, -k]
                     at, hit = np.nonzero(sims >= floor[:, None])
@@ -100,6 +109,33 @@ def nearest(
     return ranking.best(pairs.mapInPandas(score, S.StructType(fields)), [*scope, "query_id"], k, id_col)
 
 
+def score_ranges(queries: DataFrame, vectors: DataFrame, *, id_col: str = "doc_id", vec: str = "embedding", query_vec: str = "query_vec",
+                 scope: Sequence[str] = ()) -> DataFrame:
+    """Cosines of every query with all vectors of its scope: (scope, query_id, pairs, best, worst).
+
+    Each pair of blocks passes on one row per query, whatever the number of vectors.
+    """
+    scope = list(scope)
+    pairs = _block_pairs(queries, vectors, scope, id_col, vec, query_vec)
+    fields = [vectors.schema[c] for c in scope] + [
+        S.StructField("query_id", queries.schema["query_id"].dataType), S.StructField("_pairs", S.LongType()),
+        S.StructField("_best", S.DoubleType()), S.StructField("_worst", S.DoubleType()),
+    ]
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                key, (ids, raw, qids, qv) = row[: len(scope)], row[len(scope):]
+                sims = _cosines(raw, len(ids), qv)
+                out = pd.DataFrame({c: [value] * len(sims) for c, value in zip(scope, key)})
+                out["query_id"], out["_pairs"] = np.asarray(qids, object), sims.shape[1]
+                out["_best"], out["_worst"] = sims.max(axis=1), sims.min(axis=1)
+                yield out
+
+    return pairs.mapInPandas(score, S.StructType(fields)).groupBy(*scope, "query_id").agg(
+        F.sum("_pairs").alias("pairs"), F.max("_best").alias("best"), F.min("_worst").alias("worst"))
+
+
 def rerank_by_vector(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10, *,
                      id_col: str = "doc_id", vec: str = "embedding", query_vec: str = "query_vec") -> DataFrame:
     """Re-order candidates by the cosine of their vectors to the query's."""

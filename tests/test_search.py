@@ -163,3 +163,20 @@ def test_stages_can_be_switched_off_and_fall_back(spark, corpus, queries):
 def test_template_choice(spark, query, want):
     df = spark.createDataFrame([(query,)], "q STRING")
     assert df.select(P.choose_template(F.col("q"))).first()[0] == want
+
+
+def test_score_ranges_count_every_vector(spark, monkeypatch):
+    """More vectors than a block and than the k of any search; null vectors are left out, both join paths agree."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((300, 6)).round(3)
+    vectors = spark.createDataFrame([(i, x.tolist() if i else None) for i, x in enumerate(v)], "doc_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in (3, 7)], "query_id bigint, query_vec array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(V, "nearest", None)  # no ranked list on the way
+    for bound in (5_000, 0):
+        monkeypatch.setattr(V, "MAX_BROADCAST_QUERIES", bound)
+        got = {r.query_id: (r.pairs, r.best, r.worst) for r in V.score_ranges(queries, vectors).collect()}
+        for i in (3, 7):
+            s = unit[1:] @ unit[i]
+            assert got[i] == (299, pytest.approx(s.max(), abs=1e-6), pytest.approx(s.min(), abs=1e-6))
