@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -165,6 +166,7 @@ class Labeller:
     """Bidirectional LSTM over block vectors: path vector + word vector + numbers -> probability of main text."""
 
     def __init__(self, seed: int = 3):
+        self.learnt = 0  # pages it was trained on
         rng = np.random.default_rng(seed)
         inputs = 2 * SIZE + NUMBERS
         self.p = {
@@ -292,6 +294,8 @@ def _spread(grad: np.ndarray, lists: list[np.ndarray], d: np.ndarray) -> None:
 
 # -- training pages ----------------------------------------------------------------------------------------
 
+PIECE = 1_000  # blocks of a page that are learnt together
+
 #: Common names of page parts, for the layouts the labeller is trained on.
 MAIN_NAMES = ["content", "main", "article", "post", "entry content", "story", "article body", "post body", "page content", "text"]
 OTHER_PARTS = {
@@ -373,22 +377,29 @@ def relayout(page: list[Block], labels: np.ndarray, rng: np.random.Generator) ->
     return "".join(parts), truth
 
 
+def _pieces(code: tuple, labels: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
+    """A page in pieces of at most `PIECE` blocks, so that long pages are learnt whole and in bounded memory."""
+    return [(tuple(x[at : at + PIECE] for x in code), labels[at : at + PIECE]) for at in range(0, len(labels), PIECE)]
+
+
 def train(pages: list[str], layouts: int = 3, epochs: int = 6, seed: int = 11) -> Labeller:
     """Labeller trained on the pages that have semantic elements and on `layouts` further layouts of each."""
     rng = np.random.default_rng(seed)
     data: list[tuple[tuple, np.ndarray]] = []
     cache: dict = {}
+    learnt = 0
     for page in pages:
         found = blocks(page)
         labels = own_labels(found)
         if labels is None:
             continue
-        data.append((encode(found, cache), labels))
+        learnt += 1
+        data += _pieces(encode(found, cache), labels)
         for _ in range(layouts):
             again, truth = relayout(found, labels, rng)
             fresh = blocks(again)
             if len(fresh) == len(truth):
-                data.append((encode(fresh, cache), np.array(truth, float)))
+                data += _pieces(encode(fresh, cache), np.array(truth, float))
     model, moments, turn = Labeller(), {}, 0
     for epoch in range(epochs):
         order = sorted(rng.permutation(len(data)), key=lambda i: len(data[i][1]) // 8)
@@ -397,13 +408,45 @@ def train(pages: list[str], layouts: int = 3, epochs: int = 6, seed: int = 11) -
             turn += 1
             part = [data[i] for i in groups[g]]
             model.step([d for d, _ in part], [y for _, y in part], moments, turn, 0.02 * 0.7**epoch)
+    model.learnt = learnt
     return model
 
 
-def fit(pages: DataFrame, most: int = 200, most_bytes: int = 60_000, *, html_col: str = "html") -> Labeller:
-    """Train on at most `most` pages of at most `most_bytes` bytes, those with the smallest hash of their html."""
-    chosen = pages.filter(F.octet_length(html_col).between(1, most_bytes)).select(html_col).orderBy(F.xxhash64(html_col), html_col).limit(most)
-    return train([r[0] for r in chosen.collect()])
+def sample(pages: DataFrame, most: int, *, html_col: str = "html") -> list[str]:
+    """The `most` different pages with the smallest hash of their html among all that have semantic elements.
+
+    The hash space is read in ranges from below, the first expected to hold twice as many pages as needed and each
+    further one four times as wide, until enough are found or all pages are read.
+    """
+    hashed = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("hash")).filter(F.octet_length("html") > 0)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                yield batch.filter(pa.array([own_labels(blocks(x)) is not None for x in batch.column("html").to_pylist()], pa.bool_()))
+
+    found: list[str] = []
+    low, end = -(1 << 63), 1 << 63
+    width = (1 << 64) * 2 * most // max(2 * most, hashed.count())
+    while low < end and len(found) < most:
+        high = min(low + width, end) - 1
+        part = hashed.filter(F.col("hash").between(low, high)).groupBy("hash").agg(F.min("html").alias("html"))
+        rows = part.mapInArrow(labelled, part.schema).orderBy("hash").limit(most - len(found)).collect()
+        found += [r["html"] for r in rows]
+        low, width = high + 1, width * 4
+    return found
+
+
+def fit(pages: DataFrame, most: int = 200, *, html_col: str = "html", must_learn: bool = False) -> Labeller:
+    """Train on at most `most` different pages with semantic elements, of any length, those with the smallest hash of
+    their html. Where no page has them the labeller knows nothing: a warning, or an error with `must_learn`."""
+    model = train(sample(pages, most, html_col=html_col))
+    if not model.learnt:
+        text = "no page has an article or main element to learn from"
+        if must_learn:
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=2)
+    return model
 
 
 def extract(pages: DataFrame, model: Labeller, *, html_col: str = "html") -> DataFrame:

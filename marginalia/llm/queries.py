@@ -42,7 +42,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = html_text.extract(pages, html_text.fit(pages))
+    out = html_text.extract(pages, html_text.fit(pages, must_learn=True))
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from marginalia.llm import html_text
@@ -83,3 +85,17 @@ def test_odd_rows(spark):
     assert out.columns == ["page_id", "html", "text"] and out.filter(F.col("page_id") < 4).select("text").distinct().collect() == [("",)]
     assert len({r.text for r in out.filter("page_id = 4").collect()}) == 1
     assert html_text.extract(pages.filter(F.lit(False)), model).count() == 0
+
+
+def test_training_pages_are_different_labelled_and_of_any_length(spark):
+    """Many copies of one page, plain pages and one long page with an article."""
+    copies = ["<article><p>the same page</p></article>"] * 300
+    plain = [f"<div><p>plain {i}</p></div>" for i in range(300)]
+    long = "<article>" + "<p>long words of a page</p>" * 3_000 + "</article>"
+    others = [f"<main><p>page {i}</p></main>" for i in range(5)]
+    pages = spark.createDataFrame([(x,) for x in [*copies, *plain, long, *others]], "html string")
+    assert sorted(html_text.sample(pages, 200)) == sorted([copies[0], long, *others])
+    assert len(html_text.sample(pages, 3)) == 3
+    assert html_text.fit(pages).learnt == 7
+    with pytest.raises(ValueError):
+        html_text.fit(pages.filter(F.col("html").startswith("<div>")), must_learn=True)
