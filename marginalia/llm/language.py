@@ -1,8 +1,10 @@
 """Language identification, word first with backoff to characters.
 
-The model holds log frequencies per language of frequent words and of character n-grams (5 down to 1, with word
-edges). A known word is scored as a word. An unseen word is read left to right: at each place the longest known
-n-gram is scored, and where none of its length is known a shorter one, each step at a discount.
+The model holds log frequencies per language of words and of character n-grams (5 down to 1, with word edges): those
+frequent within each language, whatever the size of the others. Nine tenths of a frequency are the language's own, one
+tenth is the mean of all languages, so what a language lacks counts against it alike for small and large languages.
+A known word is scored as a word. An unseen word is read left to right: at each place the longest known n-gram is
+scored, and where none of its length is known a shorter one, each step at a discount.
 """
 
 from __future__ import annotations
@@ -23,14 +25,33 @@ from marginalia.session import broadcast_if_small
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 _CACHE = 200_000
+_CELLS = 4_000_000  # numbers held at a time
+_OWN = 0.9  # share of a language's own frequency
+
+
+@dataclass
+class Table:
+    """Log frequencies of terms: one number for the languages without the term and, side by side, those of the others."""
+
+    place: dict[str, int]
+    base: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    logs: np.ndarray
+
+    def row(self, at: int, n: int) -> np.ndarray:
+        out = np.full(n, self.base[at])
+        part = slice(self.starts[at], self.starts[at + 1])
+        out[self.langs[part]] = self.logs[part]
+        return out
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]  # log frequency per language
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray
+    words: Table
+    grams: Table
+    floor: float
     discount: float = -0.9
 
     def unseen(self, word: str) -> np.ndarray:
@@ -39,9 +60,9 @@ class Model:
         out, n, at = np.zeros(len(self.langs)), 0, 0
         while at < len(marked):
             for size in range(min(LONGEST, len(marked) - at), 0, -1):
-                known = self.grams.get(marked[at : at + size])
+                known = self.grams.place.get(marked[at : at + size])
                 if known is not None:
-                    out += known + self.discount * (LONGEST - size)
+                    out += self.grams.row(known, len(out)) + self.discount * (LONGEST - size)
                     break
             else:
                 size = 1
@@ -52,33 +73,37 @@ class Model:
 
     def score(self, words: Counter, cache: dict) -> np.ndarray:
         """Log likelihood of a bag of words under each language."""
-        rows = []
-        for word in words:
-            row = self.words.get(word)
+        n = len(self.langs)
+        out, rows, times = np.zeros(n), [], []
+        for word, count in words.items():
+            row = cache.get(word)
             if row is None:
-                row = cache.get(word)
-                if row is None:
-                    row = self.unseen(word)
-                    if len(cache) < _CACHE and len(word) < 64:
-                        cache[word] = row
+                known = self.words.place.get(word)
+                row = self.unseen(word) if known is None else self.words.row(known, n)
+                if len(cache) < min(_CACHE, _CELLS // n) and len(word) < 64:
+                    cache[word] = row
             rows.append(row)
-        return np.fromiter(words.values(), float, len(words)) @ np.array(rows)
+            times.append(count)
+            if len(rows) * n >= _CELLS:
+                out += np.array(times, float) @ np.array(rows)
+                rows, times = [], []
+        return out + np.array(times, float) @ np.array(rows) if rows else out
 
 
 def fit(
-    docs: DataFrame, per_lang: int = 1_000, max_langs: int = 200, max_words: int = 50_000, max_grams: int = 100_000, *,
+    docs: DataFrame, per_lang: int = 1_000, max_words: int = 50_000, max_grams: int = 100_000, *,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
-    """Learn from at most `per_lang` documents of each of the `max_langs` most frequent languages.
+    """Learn every language from at most `per_lang` of its documents.
 
-    The documents are those with the smallest hash of id and language; rows with null language are left out. Frequent
-    words and n-grams (document counts of the sample, ties by text) up to the two bounds make up the model.
+    The documents are those with the smallest hash of id and language; rows with null language are left out, and a
+    language without a letter in them cannot be learnt. The model takes about `max_words` words and `max_grams` n-grams
+    from each language, those with most occurrences in it (ties by hash), and holds their frequencies in all languages.
     """
     spark = docs.sparkSession
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = sorted(r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).select(lang_col).collect())
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col, lang_col), id_col)
-    ids = known.select(id_col, lang_col).filter(F.col(lang_col).isin(langs)).withColumn("_n", F.row_number().over(order))
+    ids = known.select(id_col, lang_col).withColumn("_n", F.row_number().over(order))
     ids = ids.filter(F.col("_n") <= per_lang).select(id_col, lang_col).distinct()
     sample = known.select(id_col, lang_col, text_col).join(broadcast_if_small(ids), [id_col, lang_col], "left_semi")
 
@@ -104,20 +129,50 @@ def fit(
 
     counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
         count, "lang string, kind int, word string, n long")
-    tables: list[dict[str, np.ndarray]] = [{}, {}]
-    if langs:
-        total = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in langs), F.lit(0))
-        by_word = stored(counts.groupBy("kind", "word").pivot("lang", langs).agg(F.sum("n")).withColumn("_all", total), "language-counts")
-        for kind, most in ((0, max_words), (1, max_grams)):
-            top = by_word.filter((F.col("kind") == kind) & (F.col("_all") > kind + 1)).orderBy(F.desc("_all"), "word").limit(most).toArrow()
-            found = np.nan_to_num(np.stack([top.column(x).to_numpy().astype(float) for x in langs], axis=1))
-            tables[kind] = dict(zip(top.column("word").to_pylist(), found, strict=True))
-    sums = [sum(t.values(), np.zeros(len(langs))) for t in tables]
-    for t, total in zip(tables, sums, strict=True):
-        for key, row in t.items():
-            t[key] = np.log((row + 0.1) / (total + 0.1 * (len(t) + 1)))
-    floor = np.log(0.1 / (sums[1] + 0.1 * (len(tables[1]) + 1)))
-    return Model(langs, tables[0], tables[1], floor)
+    by_word = stored(counts.groupBy("kind", "lang", "word").agg(F.sum("n").alias("n")), "language-counts")
+    limits, langs, totals = _limits(by_word.groupBy("kind", "lang", "n").count().collect(), (max_words, max_grams))
+    limits = spark.createDataFrame(limits, "kind int, lang string, least long, part double")
+    tie = F.pmod(F.xxhash64("word", "lang"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
+    chosen = by_word.join(F.broadcast(limits), ["kind", "lang"]).filter((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & tie))
+    rows = by_word.join(chosen.select("kind", "word").distinct(), ["kind", "word"], "left_semi").orderBy("kind", "word", "lang").toArrow()
+    kinds = rows.column("kind").to_numpy()
+    number = {x: i for i, x in enumerate(langs)}
+    words, grams = (_table(rows.filter(pa.array(kinds == kind)), number, totals[kind]) for kind in (0, 1))
+    return Model(langs, words, grams, min(grams.base, default=0.0))
+
+
+def _limits(levels: list, most: tuple[int, int]) -> tuple[list, list[str], np.ndarray]:
+    """(kind, lang, least, part) from the number of terms at each count: terms above `least` and a part of those at it are
+    taken; the languages by name; occurrences by kind and language."""
+    found: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    for r in levels:
+        found.setdefault((r[0], r[1]), []).append((r[2], r[3]))
+    langs = sorted({lang for _, lang in found})
+    totals = np.array([[sum(n * size for n, size in found.get((kind, x), [])) for x in langs] for kind in (0, 1)], float)
+    out = []
+    for (kind, lang), sizes in found.items():
+        room = most[kind]
+        for n, size in sorted(sizes, reverse=True):
+            out.append((kind, lang, n, min(1.0, room / size)))
+            room -= size
+            if room <= 0:
+                break
+    last = {(kind, lang): row for kind, lang, *row in out}
+    return [(*key, *row) for key, row in last.items()], langs, totals
+
+
+def _table(rows: pa.Table, number: dict[str, int], total: np.ndarray) -> Table:
+    """Table of rows (word, lang, n) sorted by word."""
+    words = rows.column("word").to_pylist()
+    langs = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int32)
+    firsts = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+    place = {words[i]: k for k, i in enumerate(firsts)}
+    starts = np.array([*firsts, len(words)], np.int64)
+    if not words:
+        return Table({}, np.zeros(0), starts, langs, np.zeros(0))
+    own = rows.column("n").to_numpy() / total[langs]
+    mean = np.add.reduceat(own, starts[:-1]) / len(number) * (1 - _OWN)
+    return Table(place, np.log(mean), starts, langs, np.log(_OWN * own + np.repeat(mean, np.diff(starts))))
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -60,6 +62,22 @@ def test_language(spark, docs):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9
 
 
+def test_small_languages_beside_large_ones(spark):
+    """300 large documents of each of two languages and 250 languages of three short documents, all over the same letters."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeioustn") for _ in range(6))
+    large = {x: [word() for _ in range(1_500)] for x in ("aa", "bb")}
+    small = {f"s{i:03d}": [word() for _ in range(8)] for i in range(250)}
+    rows = [(x, " ".join(rng.choices(own, k=300))) for x, own in large.items() for _ in range(300)]
+    rows += [(x, " ".join(rng.sample(own, 6))) for x, own in small.items() for _ in range(3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, text string")
+    model = language.fit(df, max_words=500, max_grams=1_000)
+    assert len(model.langs) == 252
+    got = [(r.lang, r.lang_pred) for r in language.predict(df, model).collect()]
+    for kind in (small, large):
+        assert np.mean([a == b for a, b in got if a in kind]) > 0.97
+
+
 def test_odd_rows(spark, odd):
     got = {r.doc_id: r for r in language.predict(odd, language.fit(odd)).collect()}
     assert [got[i].lang_pred for i in (2, 3, 4)] == ["und"] * 3 and got[2].score == 0.0 and got[7].lang_pred != "und"
