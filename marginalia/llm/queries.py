@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, decontaminate, exact_dedup, html_text, language, line_dedup, near_dedup, quality, sharding, toxicity
+from marginalia.llm import bpe, decontaminate, exact_dedup, html_text, language, line_dedup, near_dedup, quality, sharding, toxicity, whitening
 from marginalia.llm.common import crc_mod, table
 from marginalia.llm.sql import SQL
 
@@ -76,11 +76,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), 0.5)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fitted = whitening.fit(vectors, components=32)
+    error = whitening.identity_error(vectors, fitted)
+    shares = F.array(*[F.lit(float(v / fitted.trace)) for v in fitted.values]) if len(fitted.values) else F.array().cast("array<double>")
+    rows = whitening.whiten(vectors, fitted).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(fitted.n).cast("bigint").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", shares[F.col("at")].alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def _judged(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_byte_bpe, op3_quality, op4_language_id, op5_html_text, op6_decontaminate, op7_kd_shards, op8_exact_dedup,
-    op9_minhash_near_dedup, op10_toxicity)}
+    op9_minhash_near_dedup, op10_toxicity, op13_embedding_whitening)}
 CHECKS = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}
