@@ -116,30 +116,29 @@ class Segment:
         self.ends = np.append(self.key, np.iinfo(np.int64).max)
         self.best = self._table(int(np.bincount(term).max(initial=0)))
 
-    def _table(self, longest: int) -> list[np.ndarray]:
-        """best[j][i]: the place of the largest score among the 2**j places from i on, the first in a tie."""
-        out = [np.arange(len(self.score), dtype=np.int32)]
-        for j in range(1, longest.bit_length()):
+    def _table(self, longest: int) -> np.ndarray:
+        """best[j, i]: the place of the largest score among the 2**j places from i on, the first in a tie."""
+        size = len(self.score)
+        out = np.zeros((max(1, longest.bit_length()), size), np.int32)
+        out[0] = np.arange(size)
+        for j in range(1, len(out)):
             half = 1 << (j - 1)
-            last = out[-1]
-            near, far = last[: len(last) - half], last[half:]
-            out.append(np.where(self.score[far] > self.score[near], far, near))
+            near, far = out[j - 1, : size - half], out[j - 1, half:]
+            out[j, : size - half] = np.where(self.score[far] > self.score[near], far, near)
         return out
 
     def place(self, terms: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """First place in each term's list at or behind a document; rows are documents, columns terms."""
-        return self.key.searchsorted(terms * self.docs + doc[:, None])
+        return self.key.searchsorted(terms[:, None] * self.docs + doc).T  # needles in order, near each other
 
     def largest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Place of the largest score in [low, high) of a list; -1 where the range is empty."""
-        out = np.full(low.shape, -1, np.int64)
         size = high - low
-        levels = np.frexp(np.maximum(size, 1))[1] - 1
-        for j in np.unique(levels[size > 0]):
-            at = (levels == j) & (size > 0)
-            one, two = self.best[j][low[at]], self.best[j][high[at] - (1 << int(j))]
-            out[at] = np.where(self.score[two] > self.score[one], two, one)
-        return out
+        some = size > 0
+        level = np.frexp(np.maximum(size, 1))[1] - 1
+        one = self.best[level, np.minimum(low, len(self.score) - 1)]
+        two = self.best[level, np.maximum(high - (1 << level), 0)]
+        return np.where(some, np.where(self.score[two] > self.score[one], two, one), -1)
 
     def bounds(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ranges: the sum of the largest scores, and the document that holds the largest of them."""
@@ -171,6 +170,7 @@ class Segment:
             width = min(2 * width, 256)
             rest = np.ones(len(bound), bool)
             rest[take] = False
+            take = take[np.argsort(start[take])]
             a, b, d = start[take], end[take], split[take]
             at = self.place(terms, d)
             hit = self.ends[at] == terms * self.docs + d[:, None]
