@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, decontaminate, exact_dedup, html_text, language, lexical_search, line_dedup, near_dedup, quality, sharding, toxicity, whitening
+from marginalia.llm import bpe, decontaminate, exact_dedup, html_text, language, lexical_search, line_dedup, near_dedup, packing, quality, sharding, toxicity, whitening
 from marginalia.llm.common import crc_mod, table
 from marginalia.llm.sql import SQL
 
@@ -76,6 +76,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), 0.5)
 
 
+def op11_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = packing.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    out = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, window=4096, end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lexical_search.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=50)
@@ -99,5 +105,5 @@ def _judged(scored: DataFrame, least: float) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_byte_bpe, op3_quality, op4_language_id, op5_html_text, op6_decontaminate, op7_kd_shards, op8_exact_dedup,
-    op9_minhash_near_dedup, op10_toxicity, op12_lexical_search, op13_embedding_whitening)}
+    op9_minhash_near_dedup, op10_toxicity, op11_lexical_packing, op12_lexical_search, op13_embedding_whitening)}
 CHECKS = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}
