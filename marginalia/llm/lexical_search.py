@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marginalia.llm.common import schema_of, stored
 from marginalia.llm.decontaminate import words
@@ -263,5 +262,5 @@ def rank_documents(
             held.destroy()
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        out = spark.createDataFrame([], T.StructType().add("item", kinds[0]).add("rank", "int").add("id", kinds[1]).add("score", "long"))
+        out = spark.createDataFrame([], schema_of(None, item=kinds[0], rank="int", id=kinds[1], score="long"))
     return out
