@@ -1,10 +1,12 @@
 """Language identification, word first with backoff to characters.
 
-The model holds log frequencies per language of words and of character n-grams (5 down to 1, with word edges): those
-frequent within each language, whatever the size of the others. Nine tenths of a frequency are the language's own, one
-tenth is the mean of all languages, so what a language lacks counts against it alike for small and large languages.
-A known word is scored as a word. An unseen word is read left to right: at each place the longest known n-gram is
-scored, and where none of its length is known a shorter one, each step at a discount.
+The model holds log frequencies per language of words and of character n-grams (5 down to 1, with word edges). Nine tenths
+of a frequency are the language's own, one tenth is the mean of all languages, so what a language lacks counts against it
+alike for small and large languages. A known word is scored as a word. An unseen word is read left to right: at each place
+the longest known n-gram is scored, and where none of its length is known a shorter one, each step at a discount.
+
+Terms are known by 64-bit hashes of their code points, held sorted in flat arrays: all words of many texts are hashed, looked
+up and scored together, and a worker holds the arrays of the model and one chunk of words.
 """
 
 from __future__ import annotations
@@ -16,33 +18,84 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import schema_of, stored, without
+from marginalia.llm.common import schema_of, slices, stored, without
 from marginalia.session import broadcast_if_small
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-_CACHE = 200_000
-_CELLS = 4_000_000  # numbers held at a time
+_CHUNK = 200_000  # words scored together
+_CELLS = 2_000_000  # (words x languages) held at a time
 _OWN = 0.9  # share of a language's own frequency
+_FAMILIAR = 3  # mean length of n-grams from which on an unseen word looks like the languages learnt
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit integers, one for one."""
+    with np.errstate(over="ignore"):
+        x = values * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+@dataclass
+class Letters:
+    """Code points of many words, each between edge marks, one after the other."""
+
+    points: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Letters:
+        ends = np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+        points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        return cls(points, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+
+    def words(self) -> np.ndarray:
+        """A hash of each word: the sum of its scrambled (place, letter) pairs."""
+        place = np.arange(len(self.points)) - np.repeat(self.starts, self.ends - self.starts)
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(_mixed(self.points + (place.astype(np.uint64) << np.uint64(32))), self.starts)
+        return _mixed(sums)
+
+    def grams(self) -> list[np.ndarray]:
+        """grams()[s - 1][i]: hash of the s code points from i on (meaningless where they leave the word)."""
+        out, total = [], np.zeros(len(self.points), np.uint64)
+        for size in range(1, LONGEST + 1):
+            shifted = np.zeros_like(self.points)
+            shifted[: len(self.points) - size + 1] = self.points[size - 1 :]
+            with np.errstate(over="ignore"):
+                total = total + _mixed(shifted + (np.uint64(size) << np.uint64(32)))
+            out.append(_mixed(total))
+        return out
 
 
 @dataclass
 class Table:
-    """Log frequencies of terms: one number for the languages without the term and, side by side, those of the others."""
+    """Log frequencies of terms by hash: one number for the languages without the term and, side by side, those of the others."""
 
-    place: dict[str, int]
+    hashes: np.ndarray
     base: np.ndarray
     starts: np.ndarray
     langs: np.ndarray
     logs: np.ndarray
 
-    def row(self, at: int, n: int) -> np.ndarray:
-        out = np.full(n, self.base[at])
-        part = slice(self.starts[at], self.starts[at + 1])
-        out[self.langs[part]] = self.logs[part]
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is unknown."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(self.hashes.searchsorted(hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def rows(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Log frequencies of the terms at `at` in each of `n` languages."""
+        out = np.repeat(self.base[at][:, None], n, axis=1)
+        size = self.starts[at + 1] - self.starts[at]
+        part = np.arange(size.sum()) + np.repeat(self.starts[at] - (np.cumsum(size) - size), size)
+        out[np.repeat(np.arange(len(at)), size), self.langs[part]] = self.logs[part]
         return out
 
 
@@ -54,152 +107,147 @@ class Model:
     floor: float
     discount: float = -0.9
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean score of the longest known n-grams of a word, weighted as one word."""
-        marked = f"<{word}>"
-        out, n, at = np.zeros(len(self.langs)), 0, 0
-        while at < len(marked):
-            for size in range(min(LONGEST, len(marked) - at), 0, -1):
-                known = self.grams.place.get(marked[at : at + size])
-                if known is not None:
-                    out += self.grams.row(known, len(out)) + self.discount * (LONGEST - size)
-                    break
-            else:
-                size = 1
-                out += self.floor
-            n += 1
-            at += max(1, size - 1)
-        return out / n
-
-    def score(self, words: Counter, cache: dict) -> np.ndarray:
-        """Log likelihood of a bag of words under each language."""
+    def unseen(self, letters: Letters, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean score of the longest known n-grams of each chosen word, weighted as one word, and their mean length.
+
+        All words are read in step: each goes on behind the n-gram it has taken.
+        """
+        hashes, n = letters.grams(), len(self.langs)
+        out, sizes, taken = np.zeros((len(which), n)), np.zeros(len(which)), np.zeros(len(which))
+        at, live = letters.starts[which], np.arange(len(which))
+        while len(live):
+            here, left = at[live], letters.ends[which[live]] - at[live]
+            size, found = np.zeros(len(live), np.int64), np.full(len(live), -1)
+            for length in range(LONGEST, 0, -1):
+                open_ = np.flatnonzero((found < 0) & (left >= length))
+                found[open_] = self.grams.find(hashes[length - 1][here[open_]])
+                size[open_[found[open_] >= 0]] = length
+            known = found >= 0
+            out[live[known]] += self.grams.rows(found[known], n) + (self.discount * (LONGEST - size[known]))[:, None]
+            out[live[~known]] += self.floor
+            sizes[live] += size
+            taken[live] += 1
+            at[live] += np.maximum(1, size - 1)
+            live = live[at[live] < letters.ends[which[live]]]
+        return out / taken[:, None], sizes / taken
+
+    def score(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(log likelihood of each text's words under each language, share of its words that look familiar)."""
         n = len(self.langs)
-        out, rows, times = np.zeros(n), [], []
-        for word, count in words.items():
-            row = cache.get(word)
-            if row is None:
-                known = self.words.place.get(word)
-                row = self.unseen(word) if known is None else self.words.row(known, n)
-                if len(cache) < min(_CACHE, _CELLS // n) and len(word) < 64:
-                    cache[word] = row
-            rows.append(row)
-            times.append(count)
-            if len(rows) * n >= _CELLS:
-                out += np.array(times, float) @ np.array(rows)
-                rows, times = [], []
-        return out + np.array(times, float) @ np.array(rows) if rows else out
+        logs, familiar = np.zeros((len(texts), n)), np.zeros(len(texts))
+        chunk = max(1_000, min(_CHUNK, _CELLS // max(1, n)))
+        flat = [w for words in texts for w in words]
+        sizes = np.array([len(words) for words in texts], np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        for first in range(0, len(flat), chunk):
+            part = flat[first : first + chunk]
+            number: dict[str, int] = {}
+            which = np.fromiter((number.setdefault(w, len(number)) for w in part), np.int64, len(part))
+            letters = Letters.of(list(number))
+            at = self.words.find(letters.words())
+            known, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            rows, seen = np.zeros((len(number), n)), np.ones(len(number))
+            rows[known] = self.words.rows(at[known], n)
+            rows[rest], mean = self.unseen(letters, rest)
+            seen[rest] = mean >= _FAMILIAR
+            own = owner[first : first + chunk]
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            logs[own[cuts]] += np.add.reduceat(rows[which], cuts)
+            familiar[own[cuts]] += np.add.reduceat(seen[which], cuts)
+        return logs, familiar / np.maximum(sizes, 1)
 
 
 def fit(
-    docs: DataFrame, per_lang: int = 1_000, max_words: int = 50_000, max_grams: int = 100_000, *,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, per_lang: int = 1_000, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
-    """Learn every language from at most `per_lang` of its documents.
+    """Learn every language from about `per_lang` of its documents, all where there are fewer, with all their terms.
 
-    The documents are those with the smallest hash of id and language; rows with null language are left out, and a
-    language without a letter in them cannot be learnt. The model takes about `max_words` words and `max_grams` n-grams
-    from each language, those with most occurrences in it (ties by hash), and holds their frequencies in all languages.
+    The documents are those whose hash of id and language is below a bound that the language's count gives; rows that
+    repeat both are in or out together. Rows with null language or text are left out, and a language without a letter in
+    them cannot be learnt. The sample bounds the model: about 16 bytes a term and 6 for each language that has it.
     """
-    spark = docs.sparkSession
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col, lang_col), id_col)
-    ids = known.select(id_col, lang_col).withColumn("_n", F.row_number().over(order))
-    ids = ids.filter(F.col("_n") <= per_lang).select(id_col, lang_col).distinct()
-    sample = known.select(id_col, lang_col, text_col).join(broadcast_if_small(ids), [id_col, lang_col], "left_semi")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-        for lang, words in seen.items():
-            grams: Counter = Counter()
-            for word, n in words.items():
-                marked = f"<{word}>"
-                for size in range(1, LONGEST + 1):
-                    for i in range(len(marked) - size + 1):
-                        grams[marked[i : i + size]] += n
-            for kind, found in ((0, words), (1, grams)):
-                items = list(found.items())
-                for i in range(0, len(items), 10_000):
-                    part = items[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part)), pa.array([kind] * len(part), pa.int32()), pa.array([w for w, _ in part]),
-                         pa.array([n for _, n in part], pa.int64())], names=["lang", "kind", "word", "n"])
-
-    counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
-        count, "lang string, kind int, word string, n long")
-    by_word = stored(counts.groupBy("kind", "lang", "word").agg(F.sum("n").alias("n")), "language-counts")
-    limits, langs, totals = _limits(by_word.groupBy("kind", "lang", "n").count().collect(), (max_words, max_grams))
-    limits = spark.createDataFrame(limits, "kind int, lang string, least long, part double")
-    tie = F.pmod(F.xxhash64("word", "lang"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
-    chosen = by_word.join(F.broadcast(limits), ["kind", "lang"]).filter((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & tie))
-    rows = by_word.join(chosen.select("kind", "word").distinct(), ["kind", "word"], "left_semi").orderBy("kind", "word", "lang").toArrow()
-    kinds = rows.column("kind").to_numpy()
+    share = known.groupBy(lang_col).count().select(lang_col, (F.lit(float(per_lang)) / F.col("count")).alias("_share"))
+    place = F.shiftrightunsigned(F.xxhash64(id_col, lang_col), 1) / float(1 << 63)
+    sample = known.select(id_col, lang_col, text_col).join(broadcast_if_small(share), lang_col).filter(place < F.col("_share"))
+    counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, kind int, term long, n long")
+    by_term = stored(counts.groupBy("kind", "term", "lang").agg(F.sum("n").alias("n")), "language-counts")
+    rows = by_term.toArrow()
+    langs = sorted(set(rows.column("lang").unique().to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
-    words, grams = (_table(rows.filter(pa.array(kinds == kind)), number, totals[kind]) for kind in (0, 1))
-    return Model(langs, words, grams, min(grams.base, default=0.0))
-
-
-def _limits(levels: list, most: tuple[int, int]) -> tuple[list, list[str], np.ndarray]:
-    """(kind, lang, least, part) from the number of terms at each count: terms above `least` and a part of those at it are
-    taken; the languages by name; occurrences by kind and language."""
-    found: dict[tuple[int, str], list[tuple[int, int]]] = {}
-    for r in levels:
-        found.setdefault((r[0], r[1]), []).append((r[2], r[3]))
-    langs = sorted({lang for _, lang in found})
-    totals = np.array([[sum(n * size for n, size in found.get((kind, x), [])) for x in langs] for kind in (0, 1)], float)
-    out = []
-    for (kind, lang), sizes in found.items():
-        room = most[kind]
-        for n, size in sorted(sizes, reverse=True):
-            out.append((kind, lang, n, min(1.0, room / size)))
-            room -= size
-            if room <= 0:
-                break
-    last = {(kind, lang): row for kind, lang, *row in out}
-    return [(*key, *row) for key, row in last.items()], langs, totals
-
-
-def _table(rows: pa.Table, number: dict[str, int], total: np.ndarray) -> Table:
-    """Table of rows (word, lang, n) sorted by word."""
-    words = rows.column("word").to_pylist()
-    langs = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int32)
-    firsts = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
-    place = {words[i]: k for k, i in enumerate(firsts)}
-    starts = np.array([*firsts, len(words)], np.int64)
-    if not words:
-        return Table({}, np.zeros(0), starts, langs, np.zeros(0))
-    own = rows.column("n").to_numpy() / total[langs]
-    mean = np.add.reduceat(own, starts[:-1]) / len(number) * (1 - _OWN)
-    return Table(place, np.log(mean), starts, langs, np.log(_OWN * own + np.repeat(mean, np.diff(starts))))
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([number[x] for x in coded.dictionary.to_pylist()], np.int16)[coded.indices.to_numpy()] if len(rows) else np.zeros(0, np.int16)
+    term, n, kinds = rows.column("term").to_numpy().view(np.uint64), rows.column("n").to_numpy(), rows.column("kind").to_numpy()
+    words, grams = (_table(term[kinds == kind], lang[kinds == kind], n[kinds == kind], len(langs)) for kind in (0, 1))
+    return Model(langs, words, grams, float(grams.base.min(initial=0.0)))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of words (kind 0) and of their n-grams (kind 1) by language."""
+    seen: dict[str, Counter] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            seen.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+    for lang, words in seen.items():
+        if not words:
+            continue
+        letters, times = Letters.of(list(words)), np.fromiter(words.values(), np.int64, len(words))
+        room = np.repeat(letters.ends, letters.ends - letters.starts) - np.arange(len(letters.points))
+        often = np.repeat(times, letters.ends - letters.starts)
+        grams = letters.grams()
+        inside = [room >= size for size in range(1, LONGEST + 1)]
+        for kind, terms, n in ((0, letters.words(), times), (1, np.concatenate([g[i] for g, i in zip(grams, inside, strict=True)]), np.concatenate([often[i] for i in inside]))):
+            distinct, back = np.unique(terms, return_inverse=True)
+            total = np.bincount(back, weights=n).astype(np.int64)
+            for i in range(0, len(distinct), 20_000):
+                part = distinct[i : i + 20_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part)), pa.array([kind] * len(part), pa.int32()), pa.array(part), pa.array(total[i : i + 20_000])],
+                    names=["lang", "kind", "term", "n"])
+
+
+def _table(terms: np.ndarray, langs: np.ndarray, n: np.ndarray, n_langs: int) -> Table:
+    order = np.lexsort((langs, terms))
+    terms, langs, n = terms[order], langs[order], n[order]
+    if not len(terms):
+        return Table(terms, np.zeros(0, np.float32), np.zeros(1, np.int64), langs, np.zeros(0, np.float32))
+    firsts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+    own = n / np.bincount(langs, weights=n, minlength=n_langs)[langs]
+    mean = np.add.reduceat(own, firsts) / n_langs * (1 - _OWN)
+    starts = np.append(firsts, len(terms))
+    logs = np.log(_OWN * own + np.repeat(mean, np.diff(starts)))
+    return Table(terms[firsts], np.log(mean).astype(np.float32), starts, langs, logs.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """`docs` plus lang_pred and score, the share of the best language among all (0 to 1).
+    """`docs` plus lang_pred, score (share of the best language among all, 0 to 1) and familiar (share of the words, 0 to 1,
+    that were learnt or are made of learnt n-grams of three letters on average).
 
-    `und` with score 0 where the text is null, empty or has no letter, or where nothing was learnt. Ties go to the
-    first language by name. Long texts are read whole. Input columns of the two names are replaced.
+    `und` with 0 and 0 where the text is null, empty or has no letter, or where nothing was learnt. Ties go to the
+    first language by name. Long texts are read whole. Input columns of the three names are replaced.
     """
-    docs = without(docs, "lang_pred", "score")
+    docs = without(docs, "lang_pred", "score", "familiar")
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = held.value, {}
+        model = held.value
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(text_col).to_pylist():
-                words = Counter(LETTERS.findall((text or "").lower()))
-                if not words or not model.langs:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                logs = model.score(words, cache)
-                best = int(np.argmax(logs))
-                langs.append(model.langs[best])
-                scores.append(float(1.0 / np.exp(np.minimum(logs - logs[best], 0.0)).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(langs), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
-
-    return docs.mapInArrow(tag, schema_of(docs, lang_pred="string", score="double"))
+            for part in slices(batch, text_col, 2_000_000):
+                yield _tagged(part, model, text_col, columns)
+
+    return docs.mapInArrow(tag, schema_of(docs, lang_pred="string", score="double", familiar="double"))
+
+
+def _tagged(batch: pa.RecordBatch, model: Model, text_col: str, columns: list[str]) -> pa.RecordBatch:
+    texts = [LETTERS.findall((t or "").lower()) for t in batch.column(text_col).to_pylist()]
+    if model.langs:
+        logs, familiar = model.score(texts)
+        best = logs.argmax(axis=1)
+        share = 1 / np.exp(np.minimum(logs - logs.max(axis=1, keepdims=True), 0)).sum(axis=1)
+    empty = np.array([not (words and model.langs) for words in texts], bool)
+    langs = ["und" if none else model.langs[best[i]] for i, none in enumerate(empty.tolist())]
+    score, seen = (np.where(empty, 0.0, x) if model.langs else np.zeros(len(texts)) for x in ((share, familiar) if model.langs else (0, 0)))
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(seen, pa.float64())],
+        names=[*columns, "lang_pred", "score", "familiar"])
