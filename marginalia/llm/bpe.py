@@ -3,9 +3,9 @@
 1. Tasks count the pre-tokens of their texts; the distinct ones of the whole corpus meet in one aggregation (map
    sides combine, so a word that makes up a third of the corpus is one row per task).
 2. Each distinct pre-token is merged once and kept as a row (word, n, ids).
-3. Ids are joined back. The `max_words` most frequent pre-tokens are sent to every task as packed arrays and
-   replaced where the texts lie. Any further pre-token is exploded with its position, joined by shuffle on the
-   word, gathered by document and put in place by position.
+3. Ids are joined back. The most frequent pre-tokens, those that make up `coverage` of all occurrences within
+   `max_bytes`, are sent to every task as packed arrays and replaced where the texts lie. Every other pre-token is exploded
+   with its position, joined by shuffle on the word, gathered by text and put in place by position.
 4. Decoding joins the token-byte table, whose size is that of the vocabulary.
 """
 
@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import schema_of, stored, without
+from marginalia.llm.common import schema_of, slices, stored, without
+from marginalia.session import broadcast_if_small
 
 # The same split for texts of Latin-1 characters only; the standard engine reads plain sets faster than properties.
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
@@ -32,7 +33,7 @@ _LATIN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
 _FLUSH = 400_000
-_CACHE = 150_000
+_BYTES = 2_000_000  # of text looked up together
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -155,50 +156,64 @@ class Packed:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", max_words: int = 6_000_000, latin_pattern: bool = True,
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", coverage: float = 0.98, max_bytes: int = 48 << 20,
+    latin_pattern: bool = True,
 ) -> DataFrame:
     """`docs` plus ids (binary, little-endian unsigned 32-bit) and n_tokens (long).
 
     Null and empty texts have no tokens. Very long texts are encoded whole. Special tokens are ordinary text.
-    `latin_pattern` says that `pattern` is the usual one, for which a faster equal split exists. At most
-    `max_words` words (about 25 bytes each) are sent to the tasks; the rest is shuffled and gives the same result.
-    Input columns called ids or n_tokens are replaced.
+    `latin_pattern` says that `pattern` is the usual one, for which a faster equal split exists. What is sent to the tasks is
+    bounded by `max_bytes` whatever the words' lengths; `coverage` and `max_bytes` never change the result. Rows with
+    equal texts share one set of joined ids, known by 128 bits of hash. Input columns called ids or n_tokens are replaced.
     """
     spark = docs.sparkSession
     docs = without(docs, "ids", "n_tokens")
     splitter = Splitter(pattern, latin_pattern)
     table = spark.sparkContext.broadcast(ranks)
     vocabulary = stored(encode_words(distinct_words(docs, splitter, text_col), table), "bpe-words")
-    size = vocabulary.count()
-    frequent = vocabulary if size <= max_words else vocabulary.filter(F.col("n") >= _threshold(vocabulary, max_words))
+    frequent = vocabulary.filter(F.col("n") >= _threshold(vocabulary, coverage, max_bytes))
     packed = spark.sparkContext.broadcast(_pack(frequent.select("hash", "ids"), max(ranks.values(), default=0)))
-    if len(packed.value) == size:
-        return _assemble(docs, splitter, packed, text_col)
 
-    # the rest: (row, position, word) by word, then (row, positions and ids) by row
-    row = F.xxhash64(F.col(text_col))
+    # the rest: (text, position, word) by word, then (text, positions and ids) by text
+    key = [F.xxhash64(F.col(text_col)).alias("_bpe_one"), F.xxhash64(F.col(text_col), F.lit(1)).alias("_bpe_two")]
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, bytes] = {}
         for batch in batches:
-            rows: list[tuple[int, int, bytes]] = []
-            for key, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = splitter(text or "")
-                rows += [(key, i, w.encode()) for i, (w, ids) in enumerate(zip(words, _look_up(words, packed.value, cache), strict=True)) if ids is None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["row", "at", "word"])
-
-    exploded = docs.select(row.alias("row"), F.col(text_col).alias("text")).mapInArrow(missing, "row long, at int, word binary").distinct()
-    placed = exploded.join(vocabulary.select("word", "ids"), "word").groupBy("row").agg(F.collect_list(F.struct("at", "ids")).alias("_rest"))
-    joined = docs.withColumn("_row", row).join(placed.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+            for part in slices(batch, "text", _BYTES):
+                rows: list[tuple[int, int, int, bytes]] = []
+                split, known = _split(part.column("text"), splitter, packed.value)
+                if None in known.values():
+                    for one, two, words in zip(part.column("_bpe_one").to_pylist(), part.column("_bpe_two").to_pylist(), split, strict=True):
+                        rows += [(one, two, i, w.encode()) for i, w in enumerate(words) if known[w] is None]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["_bpe_one", "_bpe_two", "at", "word"])
+
+    exploded = docs.select(*key, F.col(text_col).alias("text")).mapInArrow(missing, "_bpe_one long, _bpe_two long, at int, word binary").distinct()
+    found = exploded.join(vocabulary.select("word", "ids"), "word")
+    placed = stored(found.groupBy("_bpe_one", "_bpe_two").agg(F.collect_list(F.struct("at", "ids")).alias("_rest")), "bpe-rest")
+    joined = docs.select("*", *key).join(broadcast_if_small(placed), ["_bpe_one", "_bpe_two"], "left").drop("_bpe_one", "_bpe_two")
     return _assemble(joined, splitter, packed, text_col)
 
 
-def _threshold(vocabulary: DataFrame, most: int) -> int:
-    """Smallest power of two of which at most `most` words reach the count. One aggregation, one row."""
-    powers = [1 << i for i in range(1, 60)]
-    row = vocabulary.agg(*[F.count_if(F.col("n") >= p).alias(str(p)) for p in powers]).first()
-    return next(p for p in [*powers, 1 << 60] if p == 1 << 60 or row[str(p)] <= most)
+def _split(texts: pa.Array, splitter: Splitter, packed: Packed) -> tuple[list[list[str]], dict[str, bytes | None]]:
+    """Pre-tokens of each text, and the packed ids of each distinct one."""
+    split = [splitter(t or "") for t in texts.to_pylist()]
+    words = list(set().union(*split))
+    return split, dict(zip(words, packed.get(words), strict=True))
+
+
+def _threshold(vocabulary: DataFrame, coverage: float, max_bytes: int) -> int:
+    """The largest power of two for which words of that count or more make up `coverage` of all occurrences; a larger one
+    where they would take more than `max_bytes`, and never 1: words that occur once are joined. One aggregation, one row."""
+    powers = [1 << i for i in range(60)]
+    taken = F.octet_length("ids") + 20  # hash, place, number of ids, ids; short ids take half
+    sums = [F.sum(F.when(F.col("n") >= p, F.col("n"))).alias(f"n{p}") for p in powers]
+    sizes = [F.sum(F.when(F.col("n") >= p, taken.cast("bigint"))).alias(f"b{p}") for p in powers]
+    row = vocabulary.agg(*sums, *sizes).first()
+    total = row["n1"] or 0
+    enough = [p for p in powers if (row[f"n{p}"] or 0) >= coverage * total]
+    fits = [p for p in powers if (row[f"b{p}"] or 0) <= max_bytes]
+    return max(2, max(enough, default=1), min(fits, default=1 << 60))
 
 
 def _pack(words: DataFrame, largest: int) -> Packed:
@@ -213,40 +228,28 @@ def _pack(words: DataFrame, largest: int) -> Packed:
                 columns = [batch.column("hash").to_numpy().tobytes(), lengths.tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["hashes", "lengths", "ids"])
 
-    rows = list(words.mapInArrow(block, "hashes binary, lengths binary, ids binary").toLocalIterator())
+    rows = words.mapInArrow(block, "hashes binary, lengths binary, ids binary").collect()
     joined = lambda name, dtype: np.frombuffer(b"".join(r[name] for r in rows), dtype)
     return Packed(joined("hashes", np.uint64), joined("lengths", np.int32), joined("ids", kind))
 
 
-def _look_up(words: list[str], packed: Packed, cache: dict[str, bytes]) -> list[bytes | None]:
-    """Ids of each word from the worker's cache of words met before, else from the packed table."""
-    found = list(map(cache.get, words))
-    if None in found:
-        missing = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-        late = dict(zip(missing, packed.get(missing), strict=True))
-        found = [late[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        if len(cache) < _CACHE:
-            cache.update((w, ids) for w, ids in late.items() if ids is not None)
-    return found
-
-
 def _assemble(docs: DataFrame, splitter: Splitter, packed, text_col: str) -> DataFrame:
     """Put the ids of each text's pre-tokens in order; `_rest` holds those that `packed` lacks."""
     names = [c for c in docs.columns if c != "_rest"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, bytes] = {}
         for batch in batches:
-            rest = batch.column("_rest").to_pylist() if "_rest" in batch.schema.names else [None] * batch.num_rows
-            out = []
-            for text, more in zip(batch.column(text_col).to_pylist(), rest, strict=True):
-                parts = _look_up(splitter(text or ""), packed.value, cache)
-                for r in more or ():
-                    parts[r["at"]] = r["ids"]
-                out.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())],
-                names=[*names, "ids", "n_tokens"])
+            for part in slices(batch, text_col, _BYTES):
+                out = []
+                split, known = _split(part.column(text_col), splitter, packed.value)
+                for words, more in zip(split, part.column("_rest").to_pylist(), strict=True):
+                    parts = list(map(known.__getitem__, words))
+                    for r in more or ():
+                        parts[r["at"]] = r["ids"]
+                    out.append(b"".join(parts))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in names), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())],
+                    names=[*names, "ids", "n_tokens"])
 
     return docs.mapInArrow(place, schema_of(docs.select(*[F.col(f"`{n}`") for n in names]), ids="binary", n_tokens="long"))
 

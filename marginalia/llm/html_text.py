@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html
 import re
-import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -361,6 +360,8 @@ def relayout(page: list[Block], labels: np.ndarray, rng: np.random.Generator) ->
         other_part(str(kind))
     tag = str(rng.choice(["article", "main", "div", "section"], p=[0.4, 0.2, 0.3, 0.1]))
     name = str(rng.choice(MAIN_NAMES)) if tag in ("div", "section") or rng.random() < 0.5 else ""
+    if name and rng.random() < 0.35:  # any name may stand on the main part, or none
+        name = "".join(rng.choice(list("abcdefghilmnoprstuvw"), int(rng.integers(0, 10))))
     parts.append(f"<{tag}{attribute(name)}>")
     for i, text in enumerate(main):
         put(html.escape(text), True, str(rng.choice(["h1", "h2"])) if i == 0 else str(rng.choice(["p", "p", "p", "p", "div", "li", "blockquote", "h2", "td"])))
@@ -382,19 +383,30 @@ def _pieces(code: tuple, labels: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
     return [(tuple(x[at : at + PIECE] for x in code), labels[at : at + PIECE]) for at in range(0, len(labels), PIECE)]
 
 
-def train(pages: list[str], layouts: int = 3, epochs: int = 6, seed: int = 11) -> Labeller:
-    """Labeller trained on the pages that have semantic elements and on `layouts` further layouts of each."""
+def guessed_labels(page: list[Block]) -> np.ndarray:
+    """For pages without semantic elements: blocks of three words and more, outside of other parts and links, pass for main text."""
+    other = NOT_MAIN | {"a", "#comments"}
+    return np.array([float(len(b.text.split()) >= 3 and not other.intersection(b.path)) for b in page])
+
+
+def train(pages: list[str], layouts: int = 3, epochs: int = 6, seed: int = 11, *, guess: bool = False) -> Labeller:
+    """Labeller trained on the pages that have semantic elements and on `layouts` further layouts of each.
+
+    With `guess` the pages have none: their longer blocks serve as text of generated layouts, whose labels are known,
+    and the pages as they are teach nothing.
+    """
     rng = np.random.default_rng(seed)
     data: list[tuple[tuple, np.ndarray]] = []
     cache: dict = {}
     learnt = 0
     for page in pages:
         found = blocks(page)
-        labels = own_labels(found)
-        if labels is None:
+        labels = guessed_labels(found) if guess else own_labels(found)
+        if labels is None or not labels.any():
             continue
         learnt += 1
-        data += _pieces(encode(found, cache), labels)
+        if not guess:
+            data += _pieces(encode(found, cache), labels)
         for _ in range(layouts):
             again, truth = relayout(found, labels, rng)
             fresh = blocks(again)
@@ -412,15 +424,16 @@ def train(pages: list[str], layouts: int = 3, epochs: int = 6, seed: int = 11) -
     return model
 
 
-def sample(pages: DataFrame, most: int, *, html_col: str = "html") -> list[str]:
-    """The `most` different pages with the smallest hash of their html among all that have semantic elements.
+def sample(pages: DataFrame, most: int, *, html_col: str = "html", labelled: bool = True, max_bytes: int = 32 << 20) -> list[str]:
+    """The `most` different pages with the smallest hash of their html among all that have semantic elements (among all with
+    `labelled` off); fewer where their sizes exceed `max_bytes` before.
 
     The hash space is read in ranges from below, the first expected to hold twice as many pages as needed and each
     further one four times as wide, until enough are found or all pages are read.
     """
     hashed = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("hash")).filter(F.octet_length("html") > 0)
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
                 yield batch.filter(pa.array([own_labels(blocks(x)) is not None for x in batch.column("html").to_pylist()], pa.bool_()))
@@ -431,22 +444,22 @@ def sample(pages: DataFrame, most: int, *, html_col: str = "html") -> list[str]:
     while low < end and len(found) < most:
         high = min(low + width, end) - 1
         part = hashed.filter(F.col("hash").between(low, high)).groupBy("hash").agg(F.min("html").alias("html"))
-        rows = part.mapInArrow(labelled, part.schema).orderBy("hash").limit(most - len(found)).collect()
-        found += [r["html"] for r in rows]
+        chosen = part.mapInArrow(keep, part.schema) if labelled else part
+        for row in chosen.orderBy("hash").limit(most - len(found)).toLocalIterator():
+            found.append(row["html"])
+            max_bytes -= len(row["html"])
+            if max_bytes < 0:
+                return found
         low, width = high + 1, width * 4
     return found
 
 
-def fit(pages: DataFrame, most: int = 200, *, html_col: str = "html", must_learn: bool = False) -> Labeller:
+def fit(pages: DataFrame, most: int = 200, *, html_col: str = "html") -> Labeller:
     """Train on at most `most` different pages with semantic elements, of any length, those with the smallest hash of
-    their html. Where no page has them the labeller knows nothing: a warning, or an error with `must_learn`."""
+    their html (32 MB of them at most). Where no page has such elements, layouts generated from the text of as many pages
+    are learnt instead. An empty table, or one without text, gives a labeller that has learnt nothing (`learnt` is 0)."""
     model = train(sample(pages, most, html_col=html_col))
-    if not model.learnt:
-        text = "no page has an article or main element to learn from"
-        if must_learn:
-            raise ValueError(text)
-        warnings.warn(text, stacklevel=2)
-    return model
+    return model if model.learnt else train(sample(pages, most, html_col=html_col, labelled=False), guess=True)
 
 
 def extract(pages: DataFrame, model: Labeller, *, html_col: str = "html") -> DataFrame:

@@ -335,7 +335,25 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75, trees: int =
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75, trees: int = 6, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each group of near copies; the ids that go are joined, texts stay where they lie
-    when those are few."""
+    """`docs` with one document of each group of near copies: the smallest id, in a tie of ids the smaller hash of the text.
+
+    The ids that go are joined, texts stay where they lie when those are few. Where ids repeat or are null, each pair of id
+    and text is a document of its own (rows that repeat both share one decision, null ids come first), and no other
+    row goes with it. Documents without words stay.
+    """
+    key, columns = "_near_row", docs.columns
+    if not docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        docs = _numbered(docs, id_col, text_col, key)
+        id_col = key
     gone = stored(near_copies(docs, words, percent, trees, id_col=id_col, text_col=text_col).filter("not kept").select(id_col).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone, 1_000_000), id_col, "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(gone, 1_000_000), id_col, "left_anti").select(*columns)
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """`docs` plus a number for each pair of id and text, in the order of ids."""
+    hashes = [F.xxhash64(F.col(text_col)).alias("_h1"), F.xxhash64(F.col(text_col), F.lit(1)).alias("_h2")]
+    pairs = docs.select(F.col(id_col).alias("_id"), *hashes).distinct().repartitionByRange("_id", "_h1", "_h2").sortWithinPartitions("_id", "_h1", "_h2")
+    numbers = stored(pairs.withColumn(key, F.monotonically_increasing_id()), "near-numbers")
+    rows, at = docs.select("*", *hashes).alias("d"), numbers.alias("n")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("n._id")) & (F.col("d._h1") == F.col("n._h1")) & (F.col("d._h2") == F.col("n._h2"))
+    return stored(rows.join(at, same).select("d.*", f"n.{key}").drop("_h1", "_h2"), "near-rows")

@@ -30,18 +30,18 @@ def test_fast_split_equals_the_pattern():
         assert fast(text) == slow(text)
 
 
-@pytest.mark.parametrize("most", [6_000_000, 50, 0])
+@pytest.mark.parametrize("most", [{"coverage": 1.0}, {}, {"coverage": 0.3}, {"max_bytes": 0}])
 def test_corpus_round_trip(spark, docs, odd, most):
-    """With few words sent along, the rest takes the way through the shuffle."""
+    """With few words sent along, or none, the rest takes the way through the shuffle."""
     for df in (docs.limit(60), odd):
-        out = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, max_words=most), RANKS)
+        out = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, **most), RANKS)
         rows = out.select("text", "ids", "n_tokens", "decoded").collect()
         assert len(rows) == df.count()
         for r in rows:
             want = REFERENCE.encode_ordinary(r.text or "")
             assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
             assert bytes(r.decoded) == (r.text or "").encode()
-    assert bpe.encode(odd.filter(F.lit(False)), RANKS, public_tokenizers.PATTERN, max_words=most).count() == 0
+    assert bpe.encode(odd.filter(F.lit(False)), RANKS, public_tokenizers.PATTERN, **most).count() == 0
 
 
 def test_words_that_share_a_hash_are_not_packed():
@@ -50,5 +50,15 @@ def test_words_that_share_a_hash_are_not_packed():
 
 
 def test_threshold(spark):
-    words = spark.createDataFrame([("a", 1), ("b", 3), ("c", 8), ("d", 9)], "word string, n bigint")
-    assert [bpe._threshold(words, n) for n in (3, 2, 0)] == [2, 4, 16]
+    words = spark.createDataFrame([("a", 1, b"1234"), ("b", 3, b"1234"), ("c", 8, b"1234"), ("d", 9, b"12345678")], "word string, n bigint, ids binary")
+    assert [bpe._threshold(words, share, 1 << 20) for share in (1.0, 0.95, 0.8, 0.3)] == [2, 2, 8, 8]
+    assert [bpe._threshold(words, 1.0, size) for size in (200, 99, 60, 40, 0)] == [2, 2, 4, 16, 16]
+    assert bpe._threshold(words.limit(0), 0.98, 1 << 20) == 1 << 59
+
+
+def test_rare_words_take_the_shuffle(spark, docs):
+    """The registered parameters leave words to explode, join and reassemble, at any size of the corpus."""
+    words = bpe.stored(bpe.encode_words(bpe.distinct_words(docs, bpe.Splitter(public_tokenizers.PATTERN, True), "text"), spark.sparkContext.broadcast(RANKS)), "w")
+    least = bpe._threshold(words, 0.98, 48 << 20)
+    kept, total = words.filter(F.col("n") >= least).agg(F.sum("n")).first()[0], words.agg(F.sum("n")).first()[0]
+    assert (0.98 <= kept / total < 1 or least == 2) and words.filter(F.col("n") < least).count() > 0

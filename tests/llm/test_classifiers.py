@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import language, quality, toxicity
 from marginalia.llm.common import crc_mod, table
+from marginalia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.1"
 
@@ -57,11 +59,58 @@ def test_language(spark, docs):
     model = language.fit(docs.filter(crc_mod("doc_id", 3) != 1))
     rows = language.predict(docs.filter(crc_mod("doc_id", 3) == 1), model).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
-    small = language.fit(docs, per_lang=20, max_words=50)  # nearly all words are unseen: characters decide
+    small = language.fit(docs, per_lang=20)  # many words are unseen: characters decide
     rows = language.predict(docs, small).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9
 
 
+def plain_language(rows, query):
+    """[(language, share)] of the texts in `query` from strings and dictionaries, learnt from all (lang, text) in `rows`."""
+    counts = ({}, {})
+    for lang, text in rows:
+        for w in language.LETTERS.findall(text.lower()):
+            marked = f"<{w}>"
+            for kind, terms in ((0, [w]), (1, [marked[i : i + s] for s in range(1, 6) for i in range(len(marked) - s + 1)])):
+                for t in terms:
+                    own = counts[kind].setdefault(t, {})
+                    own[lang] = own.get(lang, 0) + 1
+    langs = sorted({x for x, t in rows if language.LETTERS.search(t)})
+    total = [{x: sum(own.get(x, 0) for own in kind.values()) for x in langs} for kind in counts]
+
+    def logs(kind, term):
+        share = [counts[kind][term].get(x, 0) / total[kind][x] for x in langs]
+        return np.log(0.9 * np.array(share) + 0.1 * np.mean(share))
+
+    floor = min(np.log(0.1 * np.mean([own.get(x, 0) / total[1][x] for x in langs])) for own in counts[1].values())
+
+    def word(w):
+        if w in counts[0]:
+            return logs(0, w)
+        marked, at, got = f"<{w}>", 0, []
+        while at < len(marked):
+            size = next((s for s in range(min(5, len(marked) - at), 0, -1) if marked[at : at + s] in counts[1]), 0)
+            got.append(logs(1, marked[at : at + size]) - 0.9 * (5 - size) if size else np.full(len(langs), floor))
+            at += max(1, size - 1)
+        return np.mean(got, axis=0)
+
+    out = []
+    for text in query:
+        words = language.LETTERS.findall((text or "").lower())
+        score = sum((word(w) for w in words), np.zeros(len(langs)))
+        out.append((langs[int(score.argmax())], float(1 / np.exp(score - score.max()).sum())) if words else ("und", 0.0))
+    return out
+
+
+def test_language_query_equals_plain_python(spark, docs):
+    got = {r.doc_id: r for r in QUERIES["op4_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    rows = docs.collect()
+    fold = lambda r: zlib.crc32(str(r.doc_id).encode()) % 3
+    want = plain_language([(r.lang, r.text) for r in rows if r.lang and r.text and fold(r) != 1], [r.text for r in rows])
+    assert len(got) == len(rows)
+    for r, (lang, share) in zip(rows, want, strict=True):
+        assert got[r.doc_id].held_out == (fold(r) == 1) and got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - share) < 1e-3
+
+
 def test_small_languages_beside_large_ones(spark):
     """300 large documents of each of two languages and 250 languages of three short documents, all over the same letters."""
     rng = random.Random(2)
@@ -71,7 +120,7 @@ def test_small_languages_beside_large_ones(spark):
     rows = [(x, " ".join(rng.choices(own, k=300))) for x, own in large.items() for _ in range(300)]
     rows += [(x, " ".join(rng.sample(own, 6))) for x, own in small.items() for _ in range(3)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, text string")
-    model = language.fit(df, max_words=500, max_grams=1_000)
+    model = language.fit(df)
     assert len(model.langs) == 252
     got = [(r.lang, r.lang_pred) for r in language.predict(df, model).collect()]
     for kind in (small, large):

@@ -135,6 +135,16 @@ def test_near_odd_rows(spark, odd):
     assert near_dedup.drop_near_copies(odd).columns == odd.columns
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    """A copy that goes takes no other text of its id along; rows without an id are compared too."""
+    a, b, c = ("one two three four five six", "quite another text with words of its own", "a third text that nobody copied so far")
+    rows = [(0, a), (1, a), (1, b), (2, c), (None, c), (None, alone := "the only text without an id at all")]
+    for _ in range(2):
+        out = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(0, a), (1, b), (None, c), (None, alone)], key=str)
+        rows.reverse()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 90)]
     found = {r.v: r.root for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -97,5 +97,23 @@ def test_training_pages_are_different_labelled_and_of_any_length(spark):
     assert sorted(html_text.sample(pages, 200)) == sorted([copies[0], long, *others])
     assert len(html_text.sample(pages, 3)) == 3
     assert html_text.fit(pages).learnt == 7
-    with pytest.raises(ValueError):
-        html_text.fit(pages.filter(F.col("html").startswith("<div>")), must_learn=True)
+    assert len(html_text.sample(pages, 200, max_bytes=100_000)) < 200
+
+
+def test_pages_without_semantic_elements(spark):
+    """Generated layouts teach what main text is; class names that were never seen do not cost the text."""
+    given = table(spark, "/root/testdata/sf0.01", "pages").orderBy("page_id").limit(150).select("page_id", "html")
+    bare = given.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(article|main)[^>]*>", '<div class="pagebody">'), "</(article|main)>", "</div>"))
+    assert not html_text.sample(bare, 10)
+    model = html_text.fit(bare, most=100)
+    assert model.learnt > 50
+    want = {r.page_id: r.text.split() for r in html_text.extract(given, html_text.fit(given, most=100)).collect()}
+    got = {r.page_id: r.text.split() for r in html_text.extract(bare, model).collect()}
+    shared = sum(len(set(want[i]) & set(got[i])) for i in want)
+    assert shared / sum(len(set(w)) for w in want.values()) > 0.85 and shared / sum(len(set(w)) for w in got.values()) > 0.85
+
+
+def test_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    model = html_text.fit(pages)
+    assert model.learnt == 0 and html_text.extract(pages, model).count() == 0

@@ -4,6 +4,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import language
@@ -20,11 +21,9 @@ def test_run_equals_plain_python(spark, docs):
     model = language.fit(docs.filter(crc_mod("doc_id", 3) != 1))
     kept = []
     for r in docs.collect():
-        words = language.Counter(language.LETTERS.findall((r.text or "").lower()))
-        if words:
-            logs = model.score(words, {})
-            if 1 / np.exp(logs - logs.max()).sum() >= corpus_pipeline.LEAST_SHARE:
-                kept.append((r.doc_id, r.text))
+        words = language.LETTERS.findall((r.text or "").lower())
+        if words and model.score([words])[1][0] >= corpus_pipeline.LEAST_FAMILIAR:
+            kept.append((r.doc_id, r.text))
     lines = [(i, text) for i, _, _, text in brute_lines(kept, 10)]
     alone = {i for i, _, _, own in brute_near(lines) if own}
     bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -55,3 +54,25 @@ def test_stages_keep_the_columns(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).schema == docs.schema
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_columns_with_the_names_that_operators_add(spark, docs):
+    """A caller's own columns come back as they were, whatever they are called."""
+    names = ["lang_pred", "score", "familiar", "n_lines", "n_dropped", "n_words", "spans", "items", "id", "body", "component_id", "kept", "n_shingles", "row"]
+    own = docs.limit(60)
+    for n in names:
+        own = own.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, SF)
+        assert out.schema == own.schema, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+
+
+def test_unknown_languages_go(spark, docs):
+    """Never learnt: another script, and letters at random. All given documents stay."""
+    strange = [(900001, "Это длинный русский текст о погоде и людях в большом городе " * 20), (900002, "xqzvk wqprt zzxcv bnmlk qqwx jkhgf vbnxz " * 20)]
+    more = spark.createDataFrame(strange, "doc_id bigint, text string").select(
+        *[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs.unionByName(more), SF).collect()}
+    assert not kept & {900001, 900002} and kept == {r.doc_id for r in docs.collect() if language.LETTERS.search(r.text or "")}
