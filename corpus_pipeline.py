@@ -1,6 +1,10 @@
 """From raw documents to token ids: language ID, line dedup, near dedup, decontamination, byte-level BPE.
 
-Every stage reads what its predecessor wrote. All but the last return the columns of documents.
+Every stage reads what its predecessor wrote. All but the last return the columns of documents, whatever their names.
+
+In every stage: null and empty texts have no lines, words or tokens to act on (the first stage rejects them, as they hold no
+letter); texts are read whole, however long; equal rows fare alike, rows that share an id but not the text do not;
+ties go to the smaller id; a table without rows gives one without rows.
 """
 
 from __future__ import annotations
@@ -15,26 +19,34 @@ from marginalia.llm import bpe, decontaminate, language, line_dedup, near_dedup
 from marginalia.llm.common import crc_mod, stored, table
 from marginalia.session import ship_packages
 
-#: A document is rejected when no letter is in it or the best language has less than this share.
-LEAST_SHARE = 0.3
+#: A document is rejected when no letter is in it or less than this share of its words looks like the languages learnt.
+LEAST_FAMILIAR = 0.2
+
+
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """`docs` with private names for all columns but those in `used`, so that no operator's column can replace one."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in used else f"_kept{i}") for i, c in enumerate(docs.columns)])
 
 
-def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of `docs`; n_chars, where present, follows the new text."""
-    kept = [F.col(f"`{c}`") if c != "n_chars" else F.char_length("text").cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+def _columns(out: DataFrame, docs: DataFrame, *used: str, new_text: bool = True) -> DataFrame:
+    """The columns of `docs` again; n_chars, where present, follows the new text."""
+    kept = [F.col(c if c in used else f"_kept{i}").alias(c) for i, c in enumerate(docs.columns)]
+    if new_text and "n_chars" in docs.columns:
+        kept[docs.columns.index("n_chars")] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*kept)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learnt from two thirds of the given documents."""
     model = language.fit(docs.filter(crc_mod("doc_id", 3) != 1))
-    found = language.predict(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = language.predict(_apart(docs, "text"), model)
+    return _columns(found.filter((F.col("lang_pred") != "und") & (F.col("familiar") >= LEAST_FAMILIAR)), docs, "text", new_text=False)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents lose all their copies."""
-    return _columns(line_dedup.drop_repeated_lines(docs, min_docs=10, min_chars=1), docs)
+    out = line_dedup.drop_repeated_lines(_apart(docs, "doc_id", "text"), min_docs=10, min_chars=1)
+    return _columns(out, docs, "doc_id", "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that are mostly such passages go."""
-    return _columns(decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark")), docs)
+    return _columns(decontaminate.remove_contamination(_apart(docs, "text"), table(spark, sf_dir, "benchmark")), docs, "text")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
