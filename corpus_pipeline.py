@@ -62,7 +62,9 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, decoded once more to prove the round trip."""
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    tokens = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "lang", "source", "n_tokens", "ids")
+    # written in between: a task that encodes and decodes at once would hold two Python workers
+    tokens = bpe.decode(stored(encoded, "token-ids"), ranks)
     return tokens.select(
         "doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
