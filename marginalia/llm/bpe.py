@@ -32,8 +32,8 @@ _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t
 _LATIN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
-_FLUSH = 400_000
-_BYTES = 2_000_000  # of text looked up together
+_FLUSH = 100_000
+_BYTES = 1_000_000  # of text looked up together
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
