@@ -16,7 +16,7 @@ from .base import (
     SQL_BELIEFS, SQL_BELIEFS_CTE, SQL_CORPUS, SQL_MODELS, SQL_MODELS_CTE, SQL_QUERIES, beliefs, corpus, models, queries_table,
     sql_class, sql_list, sql_strip, sql_words, table,
 )
-from .search import EMBED, SQL_TQ, sql_nearest, sql_overlap, sql_vectors, tenant_queries
+from .search import EMBED, sql_nearest, sql_overlap, sql_vectors
 
 CHECKS = {}
 
@@ -354,6 +354,16 @@ CHECKS["val_05_collection_check"] = (
 
 
 # Search over records ------------------------------------------------------------------------------
+def shared_queries(spark, sf):
+    """Every query is asked by two tenants under the same query_id."""
+    tenants = F.transform(F.array(F.lit(0), F.lit(7)), lambda i: F.concat(F.lit("src"), ((F.col("query_id") + i) % 20).cast("string")))
+    return queries_table(spark, sf).withColumn("persona_id", F.explode(tenants))
+
+
+SQL_SHARED = """tq AS (SELECT p || '#' || query_id AS query_id, query_id AS asked, query, p AS persona_id
+  FROM (SELECT query_id, query, unnest(['src' || (query_id % 20), 'src' || ((query_id + 7) % 20)]) AS p FROM queries))"""
+
+
 def sql_knowledge(where: str, k: int, docs: str) -> str:
     """Filter, 20 candidates by cosine inside the tenant, re-rank to k, blend confidence."""
     return f"""kd AS (SELECT * FROM {docs} WHERE {where}), {sql_vectors('qv', 'tq', 'query_id, persona_id', 'query')}, {sql_vectors('dv', 'kd', 'document_id, persona_id')},
@@ -364,16 +374,16 @@ def sql_knowledge(where: str, k: int, docs: str) -> str:
     found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM kw)"""
 
 
-_BDOCS = f"""{SQL_BELIEFS_CTE}, {SQL_QUERIES}, {SQL_TQ}, bx AS (SELECT *, persona_id || '_core_beliefs_' || doc_id AS document_id, {_BC} AS content, lower(statement) AS s FROM belief_items), bd AS (SELECT *, {_CONV} AS level FROM bx)"""
-_MDOCS = f"""{SQL_MODELS_CTE}, {SQL_QUERIES}, {SQL_TQ}, md AS (SELECT *, persona_id || '_mental_models_' || doc_id AS document_id, {_MC} AS content FROM model_items)"""
-_OUT = " SELECT query_id, document_id, score, rank FROM found"
-_cut = lambda df: df.select("query_id", "document_id", "score", "rank")
+_BDOCS = f"""{SQL_BELIEFS_CTE}, {SQL_QUERIES}, {SQL_SHARED}, bx AS (SELECT *, persona_id || '_core_beliefs_' || doc_id AS document_id, {_BC} AS content, lower(statement) AS s FROM belief_items), bd AS (SELECT *, {_CONV} AS level FROM bx)"""
+_MDOCS = f"""{SQL_MODELS_CTE}, {SQL_QUERIES}, {SQL_SHARED}, md AS (SELECT *, persona_id || '_mental_models_' || doc_id AS document_id, {_MC} AS content FROM model_items)"""
+_OUT = " SELECT tq.persona_id, asked AS query_id, document_id, score, rank FROM found JOIN tq USING (query_id)"
+_cut = lambda df: df.select("persona_id", "query_id", "document_id", "score", "rank")
 CHECKS["ret_10_search_beliefs"] = (
-    lambda spark, sf: _cut(P.search_knowledge(tenant_queries(spark, sf), belief_docs(spark, sf), EMBED, 5)),
+    lambda spark, sf: _cut(P.search_knowledge(shared_queries(spark, sf), belief_docs(spark, sf), EMBED, 5)),
     f"WITH {_BDOCS}, {sql_knowledge('true', 5, 'bd')}" + _OUT,
 )
 CHECKS["ret_10_search_models"] = (
-    lambda spark, sf: _cut(P.search_knowledge(tenant_queries(spark, sf), model_docs(spark, sf), EMBED, 5, min_confidence=0.6, categories=["en", "fr"])),
+    lambda spark, sf: _cut(P.search_knowledge(shared_queries(spark, sf), model_docs(spark, sf), EMBED, 5, min_confidence=0.6, categories=["en", "fr"])),
     f"WITH {_MDOCS}, {sql_knowledge(chr(32) + 'confidence_score >= 0.6 AND list_has_any(categories, [' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'fr' + chr(39) + '])', 5, 'md')}" + _OUT,
 )
 CHECKS["prj_10_metadata_filter"] = (
@@ -381,11 +391,11 @@ CHECKS["prj_10_metadata_filter"] = (
     f"WITH {_BDOCS} SELECT document_id FROM bd WHERE confidence_score >= 0.6 AND category = 'src5' AND level = 'very_high'",
 )
 CHECKS["ret_11_high_conviction"] = (
-    lambda spark, sf: _cut(P.high_conviction(tenant_queries(spark, sf), belief_docs(spark, sf), EMBED, 10)),
+    lambda spark, sf: _cut(P.high_conviction(shared_queries(spark, sf), belief_docs(spark, sf), EMBED, 10)),
     f"WITH {_BDOCS}, {sql_knowledge('confidence_score >= 0.8 AND level IN (' + chr(39) + 'high' + chr(39) + ', ' + chr(39) + 'very_high' + chr(39) + ')', 10, 'bd')}" + _OUT,
 )
 CHECKS["ret_11_by_category"] = (
-    lambda spark, sf: _cut(P.by_category(tenant_queries(spark, sf), belief_docs(spark, sf), EMBED, "src7", 10)),
+    lambda spark, sf: _cut(P.by_category(shared_queries(spark, sf), belief_docs(spark, sf), EMBED, "src7", 10)),
     f"WITH {_BDOCS}, {sql_knowledge('confidence_score >= 0.7 AND category = ' + chr(39) + 'src7' + chr(39), 10, 'bd')}" + _OUT,
 )
 CHECKS["sim_02_similar_records"] = (

@@ -177,7 +177,7 @@ CHECKS["ret_02_nearest_exact"] = (
 )
 CHECKS["joi_06_query_by_vector_scores"] = (
     lambda spark, sf: V.score_ranges(vec_queries(spark, sf), vec_rows(spark, sf), id_col="vec_id"),
-    f"WITH {SQL_VEC}, {sql_nearest('nn', 'qv', 'dv', 'vec_id', 10**6)} SELECT query_id, count(*) AS pairs, max(score) AS best, min(score) AS worst FROM nn GROUP BY 1",
+    f"WITH {SQL_VEC}, s AS (SELECT query_id, round({COS.format(a='q.v', b='d.v')}, 6) AS score FROM qv q CROSS JOIN dv d) SELECT query_id, count(*) AS pairs, max(score) AS best, min(score) AS worst FROM s GROUP BY 1",
 )
 CHECKS["prj_11_search_by_source"] = (
     lambda spark, sf: hits(V.nearest(vec_queries(spark, sf), vec_rows(spark, sf).where("label = 3"), 10, id_col="vec_id"), "vec_id"),
@@ -267,13 +267,34 @@ CHECKS["joi_07_overlap_at_k"] = (
     lambda spark, sf: R.overlap_at_k(*_lists(spark, sf), 20),
     _LISTS + """ SELECT query_id, count(*) FILTER (bm25.rank IS NOT NULL AND nn.rank IS NOT NULL)::DOUBLE / greatest(count(bm25.rank), count(nn.rank), 1) AS overlap FROM bm25 FULL OUTER JOIN nn USING (query_id, doc_id) GROUP BY 1""",
 )
+_LISTS_OF = V.seeded_centroids(32, DIM)
+_PROBE = 24
+_VALUES = ", ".join(f"({i}, {[float(x) for x in c]}::DOUBLE[])" for i, c in enumerate(_LISTS_OF))
+_IVF = f"""WITH {SQL_VEC}, cent AS (SELECT * FROM (VALUES {_VALUES}) t(list, c)),
+  dl AS (SELECT vec_id, list FROM (SELECT vec_id, list, row_number() OVER (PARTITION BY vec_id ORDER BY round({COS.format(a='v', b='c')}, 6) DESC, list) AS r FROM dv, cent) WHERE r = 1),
+  ql AS (SELECT query_id, list FROM (SELECT query_id, list, row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='v', b='c')}, 6) DESC, list) AS r FROM qv, cent) WHERE r <= {_PROBE}),
+  al AS (SELECT query_id, vec_id, round({COS.format(a='q.v', b='d.v')}, 6) AS score FROM qv q, dv d),
+  ap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM al JOIN dl USING (vec_id) JOIN ql USING (query_id, list)) WHERE rank <= 10),
+  ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM al) WHERE rank <= 10)"""
+
+
+def _by_lists(spark, sf, k):
+    """Lists under given centroids, after a trip through storage."""
+    path = scratch_path(spark, "lists")
+    V.ListIndex.build(vec_rows(spark, sf), _LISTS_OF, id_col="vec_id").write(path)
+    return V.ListIndex.read(spark, path, id_col="vec_id").search(vec_queries(spark, sf), k, probe=_PROBE)
+
+
 CHECKS["ret_06_nearest_approx"] = (
-    lambda spark, sf: hits(V.nearest_approx(vec_queries(spark, sf), vec_rows(spark, sf), 5, dim=64, id_col="vec_id"), "vec_id"),
-    None,
+    lambda spark, sf: hits(_by_lists(spark, sf, 10), "vec_id"),
+    _IVF + " SELECT query_id, vec_id, score, rank FROM ap",
 )
 CHECKS["ret_06_recall"] = (
-    lambda spark, sf: V.recall_at_k(V.nearest(vec_queries(spark, sf), vec_rows(spark, sf), 10, id_col="vec_id"),
-                                    V.nearest_approx(vec_queries(spark, sf), vec_rows(spark, sf), 10, dim=64, tables=12, bits=5, id_col="vec_id"), "vec_id"),
+    lambda spark, sf: V.recall_at_k(V.nearest(vec_queries(spark, sf), vec_rows(spark, sf), 10, id_col="vec_id"), _by_lists(spark, sf, 10), "vec_id"),
+    _IVF + " SELECT count(*) AS expected, count(ap.vec_id) AS found FROM ex LEFT JOIN ap USING (query_id, vec_id)",
+)
+CHECKS["ret_06_trained_lists"] = (
+    lambda spark, sf: hits(V.nearest_approx(vec_queries(spark, sf), vec_rows(spark, sf), 10, id_col="vec_id"), "vec_id"),
     None,
 )
 

@@ -91,11 +91,12 @@ def fetch_sizes(k: int, bm25_k: int | None = None, vector_k: int | None = None)
     return default if bm25_k is None else bm25_k, default if vector_k is None else vector_k
 
 
-def compare_runs(first: DataFrame, second: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Two runs side by side: both ranks, the shift, and whether the result is in both."""
-    a = first.select("query_id", id_col, F.col("rank").alias("rank_a"))
-    b = second.select("query_id", id_col, F.col("rank").alias("rank_b"))
-    return a.join(b, ["query_id", id_col], "full_outer").withColumns(
+def compare_runs(first: DataFrame, second: DataFrame, id_col: str = "doc_id", keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """Two runs side by side: both ranks, the shift, and whether the result is in both. `keys` name a query, with its
+    tenant if any."""
+    a = first.select(*keys, id_col, F.col("rank").alias("rank_a"))
+    b = second.select(*keys, id_col, F.col("rank").alias("rank_b"))
+    return a.join(b, [*keys, id_col], "full_outer").withColumns(
         {
             "shift": F.col("rank_a") - F.col("rank_b"),
             "in_both": F.col("rank_a").isNotNull() & F.col("rank_b").isNotNull(),
@@ -103,9 +104,9 @@ def compare_runs(first: DataFrame, second: DataFrame, id_col: str = "doc_id") ->
     )
 
 
-def overlap_at_k(first: DataFrame, second: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+def overlap_at_k(first: DataFrame, second: DataFrame, k: int, id_col: str = "doc_id", keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """Share of the first k results that both runs have, per query."""
-    rows = compare_runs(first.where(F.col("rank") <= k), second.where(F.col("rank") <= k), id_col)
-    return rows.groupBy("query_id").agg(
+    rows = compare_runs(first.where(F.col("rank") <= k), second.where(F.col("rank") <= k), id_col, keys)
+    return rows.groupBy(*keys).agg(
         (F.count_if("in_both") / F.greatest(F.count("rank_a"), F.count("rank_b"), F.lit(1))).alias("overlap")
     )

@@ -28,10 +28,11 @@ def rerank(
 
 
 def weight_by_confidence(
-    hits: DataFrame, confidence: str = "confidence_score", *, score_weight: float = 0.6, id_col: str = "doc_id"
+    hits: DataFrame, confidence: str = "confidence_score", *, score_weight: float = 0.6, id_col: str = "doc_id",
+    keys: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """Blend score and confidence (0.5 where missing) and order the survivors anew."""
+    """Blend score and confidence (0.5 where missing) and order the survivors anew; `keys` as in `rerank`."""
     blend = F.col("score") * score_weight + F.coalesce(F.col(confidence), F.lit(0.5)) * (1 - score_weight)
     scored = hits.drop("rank").withColumn("score", ranking.rounded(blend))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(id_col))
     return scored.withColumn("rank", F.row_number().over(w))

@@ -105,14 +105,14 @@ def search(
 
 def excerpt_context(
     queries: DataFrame, hits: DataFrame, content: str = "content",
-    empty: str = "No relevant context found in the knowledge base.",
+    empty: str = "No relevant context found in the knowledge base.", keys: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """One text per query: `EXCERPT i:` blocks in rank order. A query has at most k hits."""
+    """One text per query: `EXCERPT i:` blocks in rank order. A query has at most k hits; `keys` name it, with its tenant if any."""
     blocks = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", T.strip(F.col(content)).alias("text")))),
         lambda x, i: F.concat(F.lit("EXCERPT "), (i + 1).cast("string"), F.lit(":\n"), x["text"]),
     )
-    context = hits.groupBy("query_id").agg(F.array_join(blocks, "\n\n").alias("context"))
-    return queries.select("query_id").join(context, "query_id", "left").withColumn(
+    context = hits.groupBy(*keys).agg(F.array_join(blocks, "\n\n").alias("context"))
+    return queries.select(*keys).join(context, list(keys), "left").withColumn(
         "context", F.coalesce("context", F.lit(empty))
     )

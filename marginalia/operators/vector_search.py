@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -80,15 +80,19 @@ def nearest(
     """Exact top `k` by cosine for every query: (scope, query_id, id, score, rank).
 
     Blocks of queries meet blocks of vectors of the same scope and are scored by one matrix product; each
-    pair of blocks passes on its k best rows (all ties kept). The query blocks are broadcast where a count
+    pair of blocks passes on its k best rows, so a query vector of zeros, alike to all, passes on k as well. The query blocks are broadcast where a count
     shows they fit; else both sides are shuffled on (scope, salt), which spreads a hot scope.
     """
-    scope = list(scope)
     pairs = _block_pairs(queries, vectors, scope, id_col, vec, query_vec)
-    fields = [vectors.schema[c] for c in scope] + [
-        S.StructField("query_id", queries.schema["query_id"].dataType),
-        S.StructField(id_col, vectors.schema[id_col].dataType),
-        S.StructField("score", S.DoubleType()),
+    scored = _scored(pairs, scope, queries.schema["query_id"], vectors.schema[id_col], k)
+    return ranking.best(scored, [*scope, "query_id"], k, id_col)
+
+
+def _scored(pairs: DataFrame, scope: Sequence[str], query_id: S.StructField, id_field: S.StructField, k: int) -> DataFrame:
+    """The k best vectors of each pair of blocks for each of its queries; equal scores go to the smaller id."""
+    scope, id_col = list(scope), id_field.name
+    fields = [pairs.schema[c] for c in scope] + [
+        S.StructField("query_id", query_id.dataType), S.StructField(id_col, id_field.dataType), S.StructField("score", S.DoubleType()),
     ]
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,17 +100,16 @@ def nearest(
             for row in frame.itertuples(index=False):
                 key, (ids, raw, qids, qv) = row[: len(scope)], row[len(scope):]
                 ids, qids = np.asarray(ids, object), np.asarray(qids, object)
-                sims = _cosines(raw, len(ids), qv)
-                if sims.shape[1] > k:
-                    floor = np.partition(sims, -k, axis=1)[:, -k]
-                    at, hit = np.nonzero(sims >= floor[:, None])
-                else:
-                    at, hit = np.nonzero(np.ones_like(sims, bool))
-                out = pd.DataFrame({c: [value] * len(at) for c, value in zip(scope, key)})
-                out["query_id"], out[id_col], out["score"] = qids[at], ids[hit], sims[at, hit]
+                by_id = sorted(range(len(ids)), key=ids.__getitem__)
+                sims = _cosines(raw, len(ids), qv)[:, by_id]
+                # the sort is stable and the columns are in the order of ids
+                at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({c: [value] * at.size for c, value in zip(scope, key)})
+                out["query_id"], out[id_col] = np.repeat(qids, at.shape[1]), ids[by_id][at.ravel()]
+                out["score"] = np.take_along_axis(sims, at, axis=1).ravel()
                 yield out
 
-    return ranking.best(pairs.mapInPandas(score, S.StructType(fields)), [*scope, "query_id"], k, id_col)
+    return pairs.mapInPandas(score, S.StructType(fields))
 
 
 def score_ranges(queries: DataFrame, vectors: DataFrame, *, id_col: str = "doc_id", vec: str = "embedding", query_vec: str = "query_vec",
@@ -137,50 +140,114 @@ def score_ranges(queries: DataFrame, vectors: DataFrame, *, id_col: str = "doc_i
 
 
 def rerank_by_vector(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10, *,
-                     id_col: str = "doc_id", vec: str = "embedding", query_vec: str = "query_vec") -> DataFrame:
-    """Re-order candidates by the cosine of their vectors to the query's."""
-    rows = candidates.select("query_id", id_col).join(vectors.select(id_col, vec), id_col).join(
-        queries.select("query_id", query_vec), "query_id"
+                     id_col: str = "doc_id", vec: str = "embedding", query_vec: str = "query_vec", scope: Sequence[str] = ()) -> DataFrame:
+    """Re-order candidates by the cosine of their vectors to the query's; `scope` are the tenant columns of all three."""
+    keys = [*scope, "query_id"]
+    rows = candidates.select(*keys, id_col).join(vectors.select(*scope, id_col, vec), [*scope, id_col]).join(
+        queries.select(*keys, query_vec), keys
     )
-    scored = rows.select("query_id", id_col, ranking.rounded(cosine(F.col(query_vec), F.col(vec))).alias("score"))
-    return ranking.best(scored, ["query_id"], k, id_col)
+    scored = rows.select(*keys, id_col, ranking.rounded(cosine(F.col(query_vec), F.col(vec))).alias("score"))
+    return ranking.best(scored, keys, k, id_col)
 
 
-def hyperplanes(tables: int, bits: int, dim: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(4)
+def seeded_centroids(lists: int, dim: int, seed: int = 7) -> np.ndarray:
+    """Random directions: centroids that need no training and are the same everywhere."""
+    return np.random.default_rng(seed).standard_normal((lists, dim)).round(4)
 
 
-def signatures(vec: Column, tables: int, bits: int, dim: int, seed: int = 7) -> Column:
-    """Bucket number per hash table: one bit per hyperplane side."""
+def train_centroids(vectors: DataFrame, lists: int = 64, *, sample: int = 20_000, rounds: int = 10, id_col: str = "doc_id",
+                    vec: str = "embedding", seed: int = 7) -> np.ndarray:
+    """Spherical k-means on the `sample` vectors with the smallest hash of their id; null and zero vectors are left out.
 
-    @F.pandas_udf(S.ArrayType(S.IntegerType()))
-    def sign(v: pd.Series) -> pd.Series:
-        planes = hyperplanes(tables, bits, dim, seed).reshape(tables * bits, dim)
-        side = (np.stack(v.to_numpy()).astype("float64") @ planes.T >= 0).reshape(len(v), tables, bits)
-        return pd.Series(list((side * (1 << np.arange(bits))).sum(axis=2).astype("int32")))
+    The sample alone reaches the driver. There are fewer lists where it holds fewer vectors, and none without any.
+    """
+    chosen = vectors.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(vec).alias("v"))
+    rows = [r.v for r in chosen.collect()]
+    if not rows:
+        return np.zeros((0, 0))
+    x = np.array(rows, "float64")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = (x / np.where(norm > 0, norm, 1))[norm[:, 0] > 0]
+    if not len(x):
+        return np.zeros((0, 0))
+    centroids = x[np.random.default_rng(seed).choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = (x @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(size > 0, sums / np.where(size > 0, size, 1), centroids)
+    return centroids
+
+
+def _near_lists(vec: Column, centroids: np.ndarray, n: int) -> Column:
+    """The `n` lists whose centroids have the largest cosine with a vector, best first; ties go to the smaller number."""
+    norm = np.linalg.norm(centroids, axis=1, keepdims=True)
+    unit = centroids / np.where(norm > 0, norm, 1)
 
-    return sign(vec)
+    @F.pandas_udf(S.ArrayType(S.IntegerType()))
+    def near(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype("float64")
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        sims = np.round(x @ unit.T / np.where(size > 0, size, 1), ranking.SCORE_DIGITS)
+        return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :n].astype("int32")))
+
+    return near(vec)
+
+
+class ListIndex:
+    """Inverted lists: every vector in the list of its nearest centroid, packed in blocks of one list and scope."""
+
+    def __init__(self, blocks: DataFrame, centroids: np.ndarray, scope: Sequence[str], id_field: S.StructField):
+        self.blocks, self.centroids, self.scope, self.id_field = blocks, centroids, list(scope), id_field
+
+    @classmethod
+    def build(cls, vectors: DataFrame, centroids: np.ndarray, *, id_col: str = "doc_id", vec: str = "embedding", scope: Sequence[str] = ()) -> ListIndex:
+        """All vectors are listed, also those outside the sample that the centroids were learnt from; null vectors are not."""
+        rows = vectors.where(F.col(vec).isNotNull()).select(*scope, id_col, vec)
+        listed = rows.withColumn("_list", _near_lists(F.col(vec), centroids, 1)[0])
+        return cls(_pack(listed, [*scope, "_list"], id_col, vec), centroids, scope, vectors.schema[id_col])
+
+    def write(self, path: str) -> None:
+        """One folder for each list, so that a search reads the lists it probes; centroids are rows of their own."""
+        self.blocks.write.mode("overwrite").partitionBy("_list").parquet(f"{path}/blocks")
+        rows = [(i, c.tolist()) for i, c in enumerate(self.centroids)]
+        self.blocks.sparkSession.createDataFrame(rows, "list INT, centroid ARRAY<DOUBLE>").write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, *, id_col: str = "doc_id", scope: Sequence[str] = ()) -> ListIndex:
+        blocks = spark.read.parquet(f"{path}/blocks").select(*scope, "_list", "_ids", "_matrix")
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # as many as there are lists
+        return cls(blocks, np.array([r.centroid for r in rows]), scope, S.StructField(id_col, blocks.schema["_ids"].dataType.elementType))
+
+    def search(self, queries: DataFrame, k: int = 4, *, probe: int = 40, query_vec: str = "query_vec") -> DataFrame:
+        """Exact scores of the vectors in each query's `probe` nearest lists: (scope, query_id, id, score, rank).
+
+        Blocks of queries that probe a list meet the blocks of that list. With `probe` equal to the number of lists the result
+        is that of `nearest`.
+        """
+        keys, id_col = [*self.scope, "_list"], self.id_field.name
+        asked = queries.where(F.col(query_vec).isNotNull()).select(*self.scope, "query_id", F.col(query_vec).cast("array<double>").alias("v"))
+        probes = asked.withColumn("_list", F.explode(_near_lists(F.col("v"), self.centroids, probe)))
+        n = queries.count()
+        blocks = max(1, math.ceil(n / QUERY_BLOCK))
+        q = probes.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy(*keys, "_block").agg(
+            F.collect_list(F.struct("query_id", "v")).alias("_q")).select(*keys, F.col("_q.query_id").alias("_qids"), F.col("_q.v").alias("_qv"))
+        pairs = self.blocks.join(broadcast_if_small(q), keys).select(*self.scope, "_ids", "_matrix", "_qids", "_qv")
+        scored = _scored(pairs, self.scope, queries.schema["query_id"], self.id_field, k)
+        return ranking.best(scored, [*self.scope, "query_id"], k, id_col)
 
 
 def nearest_approx(
-    queries: DataFrame, vectors: DataFrame, k: int = 4, *, dim: int, tables: int = 8, bits: int = 6,
-    id_col: str = "doc_id", vec: str = "embedding", query_vec: str = "query_vec", seed: int = 7,
+    queries: DataFrame, vectors: DataFrame, k: int = 4, *, lists: int = 64, probe: int = 40, centroids: np.ndarray | None = None,
+    id_col: str = "doc_id", vec: str = "embedding", query_vec: str = "query_vec", scope: Sequence[str] = (), seed: int = 7,
 ) -> DataFrame:
-    """Sign-random-projection buckets, then exact scores of the bucket mates.
-
-    Queries are the small side of the bucket join; a pair found in several tables is scored once, by the
-    first table both agree on, so no distinct over pairs is needed.
-    """
-    q = queries.select("query_id", F.col(query_vec).alias("_qv"), signatures(F.col(query_vec), tables, bits, dim, seed).alias("_qs"))
-    q = q.select("*", F.posexplode("_qs").alias("_table", "_bucket"))
-    v = vectors.select(id_col, F.col(vec).alias("_v"), signatures(F.col(vec), tables, bits, dim, seed).alias("_vs"))
-    v = v.select("*", F.posexplode("_vs").alias("_table", "_bucket"))
-    small = broadcast_if_small(q)
-    pairs = v.join(small, ["_table", "_bucket"])
-    agree = F.zip_with("_qs", "_vs", lambda a, b: a == b)
-    pairs = pairs.where(F.array_position(agree, F.lit(True)) == F.col("_table") + 1)
-    scored = pairs.select("query_id", id_col, ranking.rounded(cosine(F.col("_qv"), F.col("_v"))).alias("score"))
-    return ranking.best(scored, ["query_id"], k, id_col)
+    """One-off search by inverted lists: centroids are learnt from a bounded sample unless given, all vectors are listed."""
+    if centroids is None:
+        centroids = train_centroids(vectors, lists, id_col=id_col, vec=vec, seed=seed)
+    if not len(centroids):
+        return nearest(queries, vectors, k, id_col=id_col, vec=vec, query_vec=query_vec, scope=scope)
+    return ListIndex.build(vectors, centroids, id_col=id_col, vec=vec, scope=scope).search(queries, k, probe=probe, query_vec=query_vec)
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame, id_col: str = "doc_id") -> DataFrame:

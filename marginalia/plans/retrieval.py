@@ -51,12 +51,14 @@ def fill_template(key: Column, query: Column, templates: dict[str, str] | None =
     return F.replace(chosen, F.lit("{query}"), query)
 
 
-def query_variants(queries: DataFrame, n: int = 3, templates: dict[str, str] | None = None) -> DataFrame:
-    """The query and up to three templated variants, as rows (query_id, variant, query)."""
+def query_variants(
+    queries: DataFrame, n: int = 3, templates: dict[str, str] | None = None, keys: Sequence[str] = ("query_id",),
+) -> DataFrame:
+    """The query and up to three templated variants, as rows (query_id, variant, query); `keys` name a query."""
     templates = templates or QUERY_VARIANTS
     names = VARIANT_ORDER[: max(0, min(n - 1, len(VARIANT_ORDER)))]
     items = [F.col("query")] + [F.replace(F.lit(templates[v]), F.lit("{query}"), F.col("query")) for v in names]
-    return queries.select("query_id", F.posexplode(F.array(*items)).alias("variant", "query"))
+    return queries.select(*keys, F.posexplode(F.array(*items)).alias("variant", "query"))
 
 
 def hypotheses(queries: DataFrame, answer: Callable[[Column], Column] | None) -> DataFrame:
@@ -168,19 +170,20 @@ def search_knowledge(
 ) -> DataFrame:
     """Search knowledge records of the query's own tenant: filter, candidates, re-rank, confidence.
 
-    Queries carry persona_id; records carry persona_id, document_id, content, confidence_score.
+    Queries carry persona_id; records carry persona_id, document_id, content, confidence_score. A query is named by
+    persona_id and query_id, a record by persona_id and document_id: tenants may use the same ids.
     """
-    docs = knowledge_filter(docs, **filters)
+    docs, keys = knowledge_filter(docs, **filters), ["persona_id", "query_id"]
     found = vector_search.nearest(
-        queries.select("persona_id", "query_id", embed(F.col("query")).alias("query_vec")),
+        queries.select(*keys, embed(F.col("query")).alias("query_vec")),
         docs.select("persona_id", "document_id", embed(F.col("content")).alias("_vec")),
         retrieval_k if use_reranking else k, id_col="document_id", vec="_vec", scope=["persona_id"],
-    ).drop("persona_id")
-    rows = found.join(docs, "document_id").join(queries.select("query_id", "query"), "query_id")
+    )
+    rows = found.join(docs, ["persona_id", "document_id"]).join(queries.select(*keys, "query"), keys)
     if use_reranking:
-        rows = rr.rerank(rows, k, id_col="document_id", score_pairs=score_pairs)
+        rows = rr.rerank(rows, k, id_col="document_id", score_pairs=score_pairs, keys=keys)
         if weight_confidence:
-            rows = rr.weight_by_confidence(rows, id_col="document_id")
+            rows = rr.weight_by_confidence(rows, id_col="document_id", keys=keys)
     return rows if include_evidence else hide_evidence(rows)
 
 
@@ -201,11 +204,12 @@ def by_category(queries: DataFrame, docs: DataFrame, embed, category: str, k: in
     return search_knowledge(queries, docs, embed, k, category=category, min_confidence=min_confidence, **kw)
 
 
-def collect_context(**kinds: DataFrame) -> DataFrame:
-    """Bring result kinds together, one row per query and kind with its count and its ids in rank order."""
+def collect_context(keys: Sequence[str] = ("query_id",), **kinds: DataFrame) -> DataFrame:
+    """Bring result kinds together, one row per query and kind with its count and its ids in rank order. `keys` name a
+    query, with its tenant if any."""
     rows = None
     for kind, hits in kinds.items():
-        part = hits.select("query_id", F.lit(kind).alias("kind"), "rank", F.col("id").cast("string").alias("id"))
+        part = hits.select(*keys, F.lit(kind).alias("kind"), "rank", F.col("id").cast("string").alias("id"))
         rows = part if rows is None else rows.unionByName(part)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
-    return rows.groupBy("query_id", "kind").agg(F.count("*").alias("results"), ids.alias("ids"))
+    return rows.groupBy(*keys, "kind").agg(F.count("*").alias("results"), ids.alias("ids"))

@@ -85,14 +85,44 @@ def test_nearest_equals_brute_force_with_a_hot_scope(spark, bound, monkeypatch):
         assert [i for i, _ in mine] == [i for i, _ in want]
 
 
-def test_approximate_search_finds_most_neighbours(spark):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_search_finds_nine_of_ten(spark, sf):
+    """The given vectors point anywhere, the hardest case for lists; still the defaults look at two thirds of them at most."""
+    given = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    q = given.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    r = V.recall_at_k(V.nearest(q, given, 10, id_col="vec_id"), V.nearest_approx(q, given, 10, id_col="vec_id"), "vec_id").first()
+    assert r.found >= 0.9 * r.expected
+    index = V.ListIndex.build(given, V.train_centroids(given, id_col="vec_id"), id_col="vec_id")
+    listed = {r._list: r.n for r in index.blocks.groupBy("_list").agg(F.sum(F.size("_ids")).alias("n")).collect()}
+    assert sum(listed.values()) == given.count()
+    probed = q.select(V._near_lists(F.col("query_vec"), index.centroids, 40).alias("p")).collect()
+    assert np.mean([sum(listed.get(i, 0) for i in r.p) for r in probed]) < 0.67 * given.count()
+
+
+def test_lists_of_clustered_vectors(spark, tmp_path):
+    """Where vectors gather, a few lists are enough; a stored index answers alike, inside the tenant only."""
     rnd = np.random.default_rng(1)
     centres = rnd.standard_normal((10, 16))
     x = np.repeat(centres, 20, axis=0) + 0.1 * rnd.standard_normal((200, 16))
-    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(200)], "doc_id BIGINT, embedding ARRAY<DOUBLE>")
-    q = spark.createDataFrame([(i, x[i * 20].tolist()) for i in range(10)], "query_id BIGINT, query_vec ARRAY<DOUBLE>")
-    r = V.recall_at_k(V.nearest(q, v, 5), V.nearest_approx(q, v, 5, dim=16, tables=8, bits=4)).first()
-    assert r.expected == 50 and r.found >= 45
+    v = spark.createDataFrame([(i, "ab"[i % 2], x[i].tolist()) for i in range(200)] + [(200, "a", None)], "doc_id BIGINT, persona_id STRING, embedding ARRAY<DOUBLE>")
+    q = spark.createDataFrame([(i, "ab"[i % 2], x[i * 20].tolist()) for i in range(10)] + [(1, "a", [0.0] * 16)], "query_id BIGINT, persona_id STRING, query_vec ARRAY<DOUBLE>")
+    centroids = V.train_centroids(v, 20)
+    index = V.ListIndex.build(v, centroids, scope=["persona_id"])
+    index.write(str(tmp_path / "ix"))
+    key = lambda df: sorted(map(tuple, df.select("persona_id", "query_id", "doc_id", "score", "rank").collect()))
+    exact = V.nearest(q, v, 5, scope=["persona_id"])
+    found = V.ListIndex.read(spark, str(tmp_path / "ix"), scope=["persona_id"]).search(q, 5, probe=4)
+    near = lambda rows: {r[:3] for r in rows if r[3] > 0}
+    assert len(near(key(found)) & near(key(exact))) >= 45 and key(found) == key(index.search(q, 5, probe=4))
+    assert key(index.search(q, 5, probe=20)) == key(exact)
+    zero = [r for r in key(exact) if r[:2] == ("a", 1) and r[3] == 0]
+    assert [r[2] for r in zero] == [0, 2, 4, 6, 8]  # alike to none: smaller ids first, no more than k
+
+
+def test_lists_without_vectors(spark):
+    none = spark.createDataFrame([(1, None)], "doc_id BIGINT, embedding ARRAY<DOUBLE>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id BIGINT, query_vec ARRAY<DOUBLE>")
+    assert V.nearest_approx(q, none, 3).count() == 0 and V.nearest_approx(q.limit(0), none.limit(0), 3).count() == 0
 
 
 def hits(spark, rows):
@@ -180,3 +210,45 @@ def test_score_ranges_count_every_vector(spark, monkeypatch):
         for i in (3, 7):
             s = unit[1:] @ unit[i]
             assert got[i] == (299, pytest.approx(s.max(), abs=1e-6), pytest.approx(s.min(), abs=1e-6))
+
+
+def tenants(spark, rows, extra=""):
+    return spark.createDataFrame(rows, f"persona_id STRING, query_id BIGINT, {extra}")
+
+
+def test_search_knowledge_keeps_tenants_apart(spark):
+    """Two tenants use the same query ids and the same document ids; each gets its own two records."""
+    docs = spark.createDataFrame(
+        [(t, f"d{i}", f"{t} record {i} about spark", 0.5 + i / 10, ["e"]) for t in ("a", "b") for i in range(4)],
+        "persona_id STRING, document_id STRING, content STRING, confidence_score DOUBLE, supporting_evidence ARRAY<STRING>")
+    queries = tenants(spark, [("a", 1, "spark record"), ("b", 1, "spark record"), ("b", 2, "about")], "query STRING")
+    for on in (True, False):
+        got = P.search_knowledge(queries, docs, M.hashed_embedding(16), 2, use_reranking=on).collect()
+        assert sorted((r.persona_id, r.query_id, r["rank"]) for r in got) == [(t, q, n) for t, q in (("a", 1), ("b", 1), ("b", 2)) for n in (1, 2)]
+        assert all(r.content.startswith(r.persona_id + " ") for r in got)
+
+
+def test_list_functions_keep_tenants_apart(spark):
+    from marginalia.functions import replies
+    from marginalia.operators import tfidf
+
+    keys = ["persona_id", "query_id"]
+    a = tenants(spark, [("a", 1, 10, 0.9, 1, "A10"), ("a", 1, 11, 0.8, 2, "A11"), ("b", 1, 10, 0.7, 1, "B10")], "doc_id BIGINT, score DOUBLE, rank INT, content STRING")
+    b = tenants(spark, [("a", 1, 11, 0.9, 1, "A11"), ("b", 1, 10, 0.7, 1, "B10"), ("b", 1, 12, 0.1, 2, "B12")], "doc_id BIGINT, score DOUBLE, rank INT, content STRING")
+    runs = {(r.persona_id, r.doc_id): (r.rank_a, r.rank_b) for r in R.compare_runs(a, b, keys=keys).collect()}
+    assert runs == {("a", 10): (1, None), ("a", 11): (2, 1), ("b", 10): (1, 1), ("b", 12): (None, 2)}
+    assert {r.persona_id: r.overlap for r in R.overlap_at_k(a, b, 1, keys=keys).collect()} == {"a": 0.0, "b": 1.0}
+    weighted = RR.weight_by_confidence(a.withColumn("confidence_score", F.col("rank") * 0.9), keys=keys).collect()
+    assert sorted((r.persona_id, r.doc_id, r["rank"]) for r in weighted) == [("a", 10, 2), ("a", 11, 1), ("b", 10, 1)]
+    asked = tenants(spark, [("a", 1, "q"), ("b", 1, "q"), ("c", 1, "q")], "query STRING")
+    assert {r.persona_id: r.text for r in replies.format_results(asked, a, "core_beliefs", keys=keys).collect()} == {
+        "a": "1. A10\n\n2. A11", "b": "1. B10", "c": replies.EMPTY_TEXTS["core_beliefs"]}
+    texts = {r.persona_id: r.context for r in tfidf.excerpt_context(asked, a, empty="-", keys=keys).collect()}
+    assert texts == {"a": "EXCERPT 1:\nA10\n\nEXCERPT 2:\nA11", "b": "EXCERPT 1:\nB10", "c": "-"}
+    ids = {(r.persona_id, r.kind): list(r.ids) for r in P.collect_context(keys, x=a.withColumnRenamed("doc_id", "id"), y=b.withColumnRenamed("doc_id", "id")).collect()}
+    assert ids == {("a", "x"): ["10", "11"], ("b", "x"): ["10"], ("a", "y"): ["11"], ("b", "y"): ["10", "12"]}
+    assert P.query_variants(asked, 2, keys=keys).count() == 6
+    vectors = spark.createDataFrame([("a", 10, [1.0, 0.0]), ("a", 11, [0.0, 1.0]), ("b", 10, [1.0, 0.0])], "persona_id STRING, doc_id BIGINT, embedding ARRAY<DOUBLE>")
+    wanted = tenants(spark, [("a", 1, [0.0, 1.0]), ("b", 1, [1.0, 0.0])], "query_vec ARRAY<DOUBLE>")
+    again = V.rerank_by_vector(a, wanted, vectors, 1, scope=["persona_id"]).collect()
+    assert sorted((r.persona_id, r.doc_id, r.score) for r in again) == [("a", 11, 1.0), ("b", 10, 1.0)]
