@@ -190,8 +190,13 @@ def encode(
 
     exploded = docs.select(*key, F.col(text_col).alias("text")).mapInArrow(missing, "_bpe_one long, _bpe_two long, at int, word binary").distinct()
     found = exploded.join(vocabulary.select("word", "ids"), "word")
-    placed = stored(found.groupBy("_bpe_one", "_bpe_two").agg(F.collect_list(F.struct("at", "ids")).alias("_rest")), "bpe-rest")
-    joined = docs.select("*", *key).join(broadcast_if_small(placed), ["_bpe_one", "_bpe_two"], "left").drop("_bpe_one", "_bpe_two")
+    rest = found.groupBy("_bpe_one", "_bpe_two").agg(F.collect_list(F.struct("at", "ids")).alias("rest"))
+    placed = stored(rest.select(
+        "_bpe_one", "_bpe_two", F.transform("rest", lambda x: x["at"]).alias("_bpe_at"), F.transform("rest", lambda x: F.octet_length(x["ids"])).alias("_bpe_size"),
+        F.unhex(F.array_join(F.transform("rest", lambda x: F.hex(x["ids"])), "")).alias("_bpe_ids")), "bpe-rest")
+    # texts move only where what is joined to them is too large to be sent to where they lie
+    small = broadcast_if_small(placed, max_rows=2_000_000, max_bytes=96 << 20)
+    joined = docs.select("*", *key).join(small, ["_bpe_one", "_bpe_two"], "left").drop("_bpe_one", "_bpe_two")
     return _assemble(joined, splitter, packed, text_col)
 
 
@@ -234,18 +239,21 @@ def _pack(words: DataFrame, largest: int) -> Packed:
 
 
 def _assemble(docs: DataFrame, splitter: Splitter, packed, text_col: str) -> DataFrame:
-    """Put the ids of each text's pre-tokens in order; `_rest` holds those that `packed` lacks."""
-    names = [c for c in docs.columns if c != "_rest"]
+    """Put the ids of each text's pre-tokens in order; the columns `_bpe_at`, `_bpe_size` and `_bpe_ids` hold places, bytes and
+    ids of those that `packed` lacks."""
+    rest = ["_bpe_at", "_bpe_size", "_bpe_ids"]
+    names = [c for c in docs.columns if c not in rest]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, _BYTES):
                 out = []
                 split, known = _split(part.column(text_col), splitter, packed.value)
-                for words, more in zip(split, part.column("_rest").to_pylist(), strict=True):
-                    parts = list(map(known.__getitem__, words))
-                    for r in more or ():
-                        parts[r["at"]] = r["ids"]
+                for words, places, sizes, ids in zip(split, *(part.column(c).to_pylist() for c in rest), strict=True):
+                    parts, first = list(map(known.__getitem__, words)), 0
+                    for at, size in zip(places or (), sizes or (), strict=True):
+                        parts[at] = ids[first : first + size]
+                        first += size
                     out.append(b"".join(parts))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())],
