@@ -49,6 +49,14 @@ def test_words_that_share_a_hash_are_not_packed():
     assert packed.hashes.tolist() == [7] and packed.ids[packed.starts[0] :][:2].tolist() == [2, 3]
 
 
+def test_texts_that_move_to_their_ids(spark, odd, monkeypatch):
+    """Too much to send to the texts: both sides meet by shuffle."""
+    monkeypatch.setattr(bpe, "broadcast_if_small", lambda df, **bounds: df)
+    rows = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, coverage=0.3).select("text", "ids").collect()
+    assert len(rows) == odd.count()
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == REFERENCE.encode_ordinary(r.text or "") for r in rows)
+
+
 def test_threshold(spark):
     words = spark.createDataFrame([("a", 1, b"1234"), ("b", 3, b"1234"), ("c", 8, b"1234"), ("d", 9, b"12345678")], "word string, n bigint, ids binary")
     assert [bpe._threshold(words, share, 1 << 20) for share in (1.0, 0.95, 0.8, 0.3)] == [2, 2, 8, 8]
