@@ -87,17 +87,17 @@ CHECKS["prj_13_remove_phrases"] = (
     ) + ") AS cleaned FROM documents",
 )
 CHECKS["prj_14_slugify"] = (
-    _q(lambda d: d.select("doc_id", T.slugify(F.concat(F.translate(F.substring("content", 1, 60), ".", ","), F.lit(" [50% & $"), F.col("doc_id").cast("string"), F.lit("].mp3")), 40).alias("slug"))),
-    r"""WITH s AS (SELECT doc_id, lower(regexp_replace(strip_accents(replace(substring(text, 1, 60), '.', ',') || ' [50% & $' || doc_id || ']'), '[^\x00-\x7f]', '', 'g')) AS t FROM documents),
+    _q(lambda d: d.select("doc_id", T.slugify(F.concat(F.translate("content", ".", ","), F.lit(" [50% & $"), F.col("doc_id").cast("string"), F.lit("].mp3")), 40).alias("slug"))),
+    r"""WITH s AS (SELECT doc_id, lower(regexp_replace(strip_accents(replace(text, '.', ',') || ' [50% & $' || doc_id || ']'), '[^\x00-\x7f]', '', 'g')) AS t FROM documents),
     u AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(replace(replace(replace(t, '$', 'dollar'), '&', 'and'), '%', 'percent'), '@', 'at'), '+', 'plus'), '/\:*?"<>|()[]{}#=!~`^', '______________________'), '[\s\-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM s)
     SELECT doc_id, CASE WHEN length(t) > 40 THEN regexp_replace(substring(t, 1, 40), '_+$', '') WHEN t = '' THEN 'transcript' ELSE t END AS slug FROM u""",
 )
 CHECKS["prj_15_persona_id"] = (
-    _q(lambda d: d.withColumn("n", F.concat(F.lit("  "), F.substring("content", 1, 30), F.lit("'s! "), F.col("persona_id"))).select(
+    _q(lambda d: d.withColumn("n", F.concat(F.lit("  "), F.col("content"), F.lit("'s! "), F.col("persona_id"))).select(
         "doc_id", T.persona_id(F.col("n")).alias("pid"), T.persona_slug(T.persona_id(F.col("n"))).alias("slug"),
         T.persona_slug(F.col("persona_id"), {"src1": "first-source"}).alias("known_slug"),
         T.persona_display(F.concat(F.col("persona_id"), F.lit("_host"))).alias("display"))),
-    rf"""WITH n AS (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({sql_strip("'  ' || substring(text, 1, 30) || '''s! ' || source")}), '{WS}+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS pid FROM documents)
+    rf"""WITH n AS (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({sql_strip("'  ' || text || '''s! ' || source")}), '{WS}+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS pid FROM documents)
     SELECT doc_id, pid, replace(pid, '_', '-') AS slug, CASE source WHEN 'src1' THEN 'first-source' ELSE source END AS known_slug,
       upper(substring(source, 1, 1)) || substring(source, 2) || ' Host' AS display FROM n""",
 )
