@@ -372,11 +372,13 @@ CHECKS["mod_02_second_run"] = (
 
 
 def style_stub():
+    """Fails for texts whose hash ends up in one class of five."""
+    import hashlib
     import json
 
     def answer(prompts):
         bodies = [p.split("\n\n", 1)[1] for p in prompts]
-        if any(len(b) % 5 == 0 for b in bodies):
+        if any(int(hashlib.md5(b.encode()).hexdigest()[:8], 16) % 5 == 0 for b in bodies):
             raise RuntimeError("no style")
         return [json.dumps({"tone": "tone " + b.split()[0], "catchphrases": b.split()[:3], "communication_style": {"formality": "casual", "humor": "high"}}) for b in bodies]
 
@@ -384,11 +386,11 @@ def style_stub():
 
 
 CHECKS["mod_04_style_records"] = (
-    lambda spark, sf: PE.style_records(assembly.joined_text(corpus(spark, sf), ["persona_id"], "doc_id", max_tokens=4000).withColumn("text", F.expr("substring(text, 1, 9000 + length(persona_id) * 3)")), style_stub).select(
+    lambda spark, sf: PE.style_records(assembly.joined_text(corpus(spark, sf), ["persona_id"], "doc_id", max_tokens=4000), style_stub).select(
         "persona_id", F.col("style.tone").alias("tone"), F.array_join("style.catchphrases", " ").alias("catchphrases"), "style.communication_style.*"),
-    rf"""WITH {_JOIN}, b AS (SELECT persona_id, substring(left(t, 16000), 1, 9000 + length(persona_id) * 3) AS b FROM jt) SELECT persona_id, CASE WHEN length(b) % 5 = 0 THEN 'Analysis failed - using default' ELSE 'tone ' || ({sql_words('b')})[1] END AS tone,
-    CASE WHEN length(b) % 5 = 0 THEN '' ELSE array_to_string(({sql_words('b')})[1:3], ' ') END AS catchphrases, 'informal' AS formality, 'direct' AS directness, 'occasional' AS use_of_examples, 'occasional' AS storytelling,
-    CASE WHEN length(b) % 5 = 0 THEN 'occasional' ELSE 'frequent' END AS humor FROM b""",
+    rf"""WITH {_JOIN}, b AS (SELECT persona_id, left(t, 16000) AS b FROM jt) SELECT persona_id, CASE WHEN ('0x' || substr(md5(b), 1, 8))::BIGINT % 5 = 0 THEN 'Analysis failed - using default' ELSE 'tone ' || ({sql_words('b')})[1] END AS tone,
+    CASE WHEN ('0x' || substr(md5(b), 1, 8))::BIGINT % 5 = 0 THEN '' ELSE array_to_string(({sql_words('b')})[1:3], ' ') END AS catchphrases, 'informal' AS formality, 'direct' AS directness, 'occasional' AS use_of_examples, 'occasional' AS storytelling,
+    CASE WHEN ('0x' || substr(md5(b), 1, 8))::BIGINT % 5 = 0 THEN 'occasional' ELSE 'frequent' END AS humor FROM b""",
 )
 
 
