@@ -14,7 +14,7 @@ from marginalia.plans import retrieval as P
 
 from .base import (
     SQL_BELIEFS, SQL_BELIEFS_CTE, SQL_CORPUS, SQL_MODELS, SQL_MODELS_CTE, SQL_QUERIES, beliefs, corpus, models, queries_table,
-    sql_class, sql_list, sql_strip, sql_words, table,
+    sql_class, sql_list, sql_strip, sql_tokens, sql_words, table,
 )
 from .search import EMBED, sql_nearest, sql_overlap, sql_vectors
 
@@ -398,7 +398,26 @@ CHECKS["ret_11_by_category"] = (
     lambda spark, sf: _cut(P.by_category(shared_queries(spark, sf), belief_docs(spark, sf), EMBED, "src7", 10)),
     f"WITH {_BDOCS}, {sql_knowledge('confidence_score >= 0.7 AND category = ' + chr(39) + 'src7' + chr(39), 10, 'bd')}" + _OUT,
 )
-CHECKS["sim_02_similar_records"] = (
-    lambda spark, sf: X.similar_records(models(spark, sf).select("doc_id", "persona_id", F.col("description").alias("text")), threshold=0.5).select("doc_id", "cluster"),
-    None,
-)
+
+
+def sql_similar(threshold: float) -> str:
+    """Clusters of descriptions by exact Jaccard similarity of their word sets."""
+    return f"""WITH RECURSIVE {SQL_MODELS_CTE},
+  sets AS (SELECT doc_id, persona_id, list_distinct({sql_tokens('description')}) AS w FROM model_items),
+  words AS (SELECT doc_id, persona_id, len(w) AS n, unnest(w) AS t FROM sets),
+  links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM words a JOIN words b ON a.persona_id = b.persona_id AND a.t = b.t AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= {threshold}),
+  reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT doc_id, y FROM reach JOIN links ON other = x)
+  SELECT doc_id, min(other) AS cluster FROM reach GROUP BY doc_id"""
+
+
+def _similar(threshold: float):
+    def run(spark, sf):
+        rows = models(spark, sf).select("doc_id", "persona_id", F.col("description").alias("text"))
+        return X.similar_clusters(rows, threshold=threshold).select("doc_id", "cluster")
+
+    return run
+
+
+CHECKS["sim_02_similar_records"] = (_similar(0.5), sql_similar(0.5))
+CHECKS["sim_02_loosely_similar"] = (_similar(0.3), sql_similar(0.3))

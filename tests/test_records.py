@@ -1,6 +1,8 @@
 """Records, quality checks, caches and flows."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +131,41 @@ def test_similar_records_form_clusters(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("block", [5, 1_000])
+def test_similar_clusters_equal_brute_force(spark, block):
+    """Families of near records, chains, copies, a word in all records, empty and null rows, one id on two texts."""
+    rng = random.Random(4)
+    rows = []
+    for family in range(60):
+        base = [f"f{family}w{i}" for i in range(rng.randint(4, 14))]
+        for _ in range(25):
+            kept = [w for w in base if rng.random() < 0.85] + [f"x{rng.randrange(400)}" for _ in range(rng.randint(0, 4))]
+            rows.append((len(rows), f"p{family % 3}", " ".join(["all", *rng.sample(kept, len(kept))])))
+    rows += [(len(rows) + i, "p0", "exactly the same text") for i in range(300)]
+    rows += [(5, "p2", rows[-1][2]), (9001, "p0", ""), (9002, "p0", None), (9003, None, "all"), (None, "p0", "all")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, persona_id STRING, text STRING")
+    got = {(r.persona_id, r.doc_id): r.cluster for r in consolidation.similar_clusters(df, threshold=0.6, block=block).collect()}
+
+    sets, parent = {}, {}
+    for i, p, t in rows:
+        if t and p and i is not None:
+            sets.setdefault((p, i), set()).add(frozenset(re.findall(r"\w{2,}", t)))
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(sets)
+    for n, a in enumerate(keys):
+        for b in keys[n + 1 :]:
+            if a[0] == b[0] and any(len(s & t) >= 0.6 * len(s | t) for s in sets[a] for t in sets[b]):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    assert got == {(p, i): root((p, i))[1] if (p, i) in sets else i for i, p, t in rows}
+    assert consolidation.similar_clusters(df.limit(0)).count() == 0
+
+
 def test_artifact_files(spark, tmp_path):
     import gzip
 
