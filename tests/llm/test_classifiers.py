@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import functions as F
 
 from marginalia.llm import language, quality, toxicity
@@ -55,6 +57,63 @@ def test_swapping_groups_keeps_the_score():
     assert toxicity.swaps("no group here") == [] and "muslim" not in toxicity.swaps("The Muslim. A muslim!")[0]
 
 
+def plain_score(model, text):
+    """Score by the fitted weights, from a plain reading of the words and of the pairs around a group's name."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    names = {t for line in toxicity.IDENTITY_TERMS for t in line}
+    found = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:]) if a in names or b in names}
+    raw = model.bias + sum(model.weights.get(xxhash.xxh3_64_intdigest(w.encode()), 0.0) for w in found)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_toxicity_query_on_group_mentions(spark, tmp_path):
+    """Toxic texts often name one group; neutral texts that name it must not be taken for toxic, insults must."""
+    rng = random.Random(7)
+    plain, insults = [f"plain{''.join(rng.choices('abcdef', k=5))}" for _ in range(300)], [f"slur{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs, labels, kind = [], [], {}
+    for i in range(3_000):
+        words = rng.choices(plain, k=12)
+        toxic = i % 3 == 0
+        named = rng.random() < (0.7 if toxic else 0.06)
+        if toxic and rng.random() < 0.8:
+            words[rng.randrange(12)] = rng.choice(insults)
+        if named:
+            words.insert(rng.randrange(12), "muslims")
+        docs.append((i, " ".join(words) + "."))
+        labels.append((i, int(toxic), 0))
+        kind[i] = (toxic, named, any(w.startswith("slur") for w in words))
+    docs += [(3_000, None), (3_001, "")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, toxic int, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    learnt = labels.filter(crc_mod("doc_id", 5) != 0)
+    bound, free = toxicity.fit(docs, learnt), toxicity.fit(docs, learnt, penalty=0.0)
+    rows = QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == 3_002
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+        assert abs(r.score - plain_score(bound, text[r.doc_id])) < 1e-9
+    held = [r for r in rows if r.held_out and r.doc_id in kind]
+    neutral = [r for r in held if not kind[r.doc_id][0] and kind[r.doc_id][1]]
+    before = np.mean([plain_score(free, text[r.doc_id]) >= 0.5 for r in neutral])
+    after = np.mean([r.predicted for r in neutral])
+    assert before > 0.5 and after < 0.1
+    assert np.mean([r.predicted for r in held if kind[r.doc_id][2]]) > 0.9
+    gap = lambda m: np.mean([abs(plain_score(m, f"{w} muslims") - plain_score(m, w)) for w in plain])
+    assert gap(bound) < 0.1 * gap(free)
+
+
+def test_names_are_put_into_texts_without_one():
+    assert toxicity.mentions("") == [] and toxicity.mentions("1 2 3") == [] and toxicity.mentions("The women here.") == []
+    versions = toxicity.mentions("Some words. Others, too.")
+    assert len(versions) == 2 and versions == toxicity.mentions("Some words. Others, too.")
+    for name, version in versions:
+        assert version.replace(f"{name} ", "") == "some words. others, too." and name in toxicity.features(version)
+    assert toxicity.features("the women said the end") == ["the", "women", "said", "end", "the women", "women said"]
+
+
 def test_language(spark, docs):
     model = language.fit(docs.filter(crc_mod("doc_id", 3) != 1))
     rows = language.predict(docs.filter(crc_mod("doc_id", 3) == 1), model).collect()
