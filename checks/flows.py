@@ -240,6 +240,28 @@ CHECKS["tel_06_daily_timings"] = (
 )
 
 
+def sketched_months(spark, sf):
+    """Daily sketches merged to months; the quantiles are judged by their rank among the rows of the month."""
+    rows = runs(spark, sf).withColumn("month", F.date_trunc("month", "ts").cast("date").cast("string"))
+    months = E.merged_sketches(E.timing_sketches(rows), [F.date_trunc("month", "day").cast("date").cast("string").alias("month"), "operation"])
+    got = E.sketched_quantiles(months, {"least": 0.0, "median": 0.5, "p95": 0.95, "most": 1.0})
+    both = rows.join(got, ["month", "operation"])
+
+    def near(name, q):
+        below, upto = F.count_if(F.col("seconds") < F.col(name)), F.count_if(F.col("seconds") <= F.col(name))
+        n = F.count("*")
+        return ((below <= (q + 0.02) * n + 1) & (upto >= (q - 0.02) * n - 1)).alias(f"{name}_near")
+
+    return both.groupBy("month", "operation").agg(F.max("runs").alias("runs"), F.max("least").alias("least"), F.max("most").alias("most"), near("median", 0.5), near("p95", 0.95))
+
+
+CHECKS["tel_06_sketched_quantiles"] = (
+    sketched_months,
+    """SELECT date_trunc('month', ts)::DATE::VARCHAR AS month, event_type AS operation, count(value) AS runs, min(value) AS least, max(value) AS most, true AS median_near, true AS p95_near
+    FROM events WHERE value IS NOT NULL GROUP BY ALL""",
+)
+
+
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)

@@ -1,33 +1,38 @@
 """Word lists, scales and rules that decide results. Kept as plain data."""
 
 # Lexicon of the sentiment measure.
-POSITIVE_WORDS = (
-    "great excellent amazing fantastic wonderful awesome love perfect brilliant outstanding superb "
-    "magnificent good better best strong powerful effective success successful win winning achieve "
-    "achievement"
-).split()
-NEGATIVE_WORDS = (
-    "bad terrible awful horrible worst hate fail failure wrong problem issue difficult hard struggle "
-    "pain hurt damage broken weak poor worse lose losing"
-).split()
+POSITIVE_WORDS = [
+    "great", "excellent", "amazing", "fantastic", "wonderful", "awesome", "love", "perfect", "brilliant",
+    "outstanding", "superb", "magnificent", "good", "better", "best", "strong", "powerful", "effective",
+    "success", "successful", "win", "winning", "achieve", "achievement",
+]
+NEGATIVE_WORDS = [
+    "bad", "terrible", "awful", "horrible", "worst", "hate", "fail", "failure", "wrong", "problem", "issue",
+    "difficult", "hard", "struggle", "pain", "hurt", "damage", "broken", "weak", "poor", "worse", "lose",
+    "losing",
+]
 
 # Function words dropped from record keywords.
-KEYWORD_STOP_WORDS = (
-    "the a an and or but in on at to for of with by this that these those is are was were be been "
-    "being have has had do does did will would could should may might can must shall it he she they "
-    "we you i"
-).split()
+KEYWORD_STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "this", "that",
+    "these", "those", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "will", "would", "could", "should", "may", "might", "can", "must", "shall", "it", "he", "she",
+    "they", "we", "you", "i",
+]
 
 # Common English function words; default stop list of the corpus statistics (an argument everywhere).
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she "
-    "her hers herself it its itself they them their theirs themselves what which who whom this that "
-    "these those am is are was were be been being have has had having do does did doing a an the and "
-    "but if or because as until while of at by for with about against between into through during "
-    "before after above below to from up down in out on off over under again further then once here "
-    "there when where why how all any both each few more most other some such no nor not only own "
-    "same so than too very s t can will just don should now"
-).split()
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these",
+    "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do",
+    "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while",
+    "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before",
+    "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+]
 
 # Entity labels that are not counted.
 SKIPPED_ENTITY_LABELS = ["CARDINAL", "ORDINAL", "QUANTITY", "PERCENT", "TIME", "DATE"]

@@ -65,11 +65,11 @@ def _closed(reply: str, quoted: bool) -> list[tuple[int, int]]:
 
 def bracketed(reply: str) -> list[str]:
     """Bracket blocks, largest first; blocks found without regard to strings come last."""
-    out: list[str] = []
+    out: dict[str, None] = {}
     for quoted in (True, False):
         found = [reply[a:b] for a, b in _closed(reply, quoted)]
-        out += [x for x in sorted(found, key=len, reverse=True) if x not in out]
-    return out
+        out.update(dict.fromkeys(sorted(found, key=len, reverse=True)))
+    return list(out)
 
 
 def candidates(reply: str | None) -> dict[str, list[str]]:

@@ -1,7 +1,8 @@
 """Order-dependent work over scopes of any size: running totals, text windows, message trimming, batching.
 
-Rows are cut into slices of the order column; slices are summed in parallel, their prefix sums are tiny,
-and rows are finished inside their slice. No scope is ever sorted by one task.
+Rows are cut into ranges that hold about as many rows each (Spark samples the bounds); ranges are summed in
+parallel, their prefix sums are tiny, and rows are finished inside their range. No scope is ever sorted by one
+task, however dense or sparse the order column is.
 """
 
 from __future__ import annotations
@@ -14,14 +15,23 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
 
-SLICE = 100_000
+
+def ranged(df: DataFrame, scope: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """`df` with `_slice`: the number of the range of (scope, order) that a row lies in, rising with the order.
+
+    Ranges hold about `rows` rows, or as many as a shuffle partition of the session. Rows are written once after they
+    are dealt, so a task that is run again finds the same rows in its range.
+    """
+    parts = [max(1, -(-df.count() // rows))] if rows else []
+    return cut_lineage(df.repartitionByRange(*parts, *scope, *order)).withColumn("_slice", F.spark_partition_id())
 
 
 def running_total(
-    df: DataFrame, scope: Sequence[str], order: Sequence[str], values: dict[str, Column], *, slice_width: int = SLICE
+    df: DataFrame, scope: Sequence[str], order: Sequence[str], values: dict[str, Column], *, slice_width: int | None = None
 ) -> DataFrame:
-    """Add exclusive running totals `out -> value` per scope. `order[0]` is numeric; the rest break ties."""
-    rows = df.withColumn("_slice", F.floor(F.col(order[0]) / slice_width)).withColumns({f"_v_{k}": v for k, v in values.items()})
+    """Add exclusive running totals `out -> value` per scope, in the order of the columns `order` (any type), by ranges
+    of about `slice_width` rows."""
+    rows = ranged(df.withColumns({f"_v_{k}": v for k, v in values.items()}), scope, order, slice_width)
     keys = [*scope, "_slice"]
     sums = rows.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values])
     before = Window.partitionBy(*scope).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.arrays import let, posexplode_rows
 from ..functions.keys import short_sha
 from . import ranking
+from .assembly import ranged
 
 LABELS = {"mental_models": "Mental model", "core_beliefs": "Core belief"}
 REQUIRED = {"mental_models": ["name", "description", "steps"], "core_beliefs": ["statement", "category"]}
@@ -225,10 +226,10 @@ def unique_keys(records: DataFrame, key: Column, order: Sequence[str], scope: Se
     """Key with a running suffix for repeats: `x`, `x_1`, `x_2`, ...
 
     Numbered in two levels so that one name held by very many rows is not sorted by one task: rows are
-    counted per hash slice of the name, slices are offset by a prefix sum, then numbered inside the slice.
+    counted per range of (name, order), ranges are offset by a prefix sum, then numbered inside the range.
     """
-    rows = records.withColumn("_key", key).withColumn("_slice", F.floor(F.col(order[0]) / SLICE))
     keys = [*scope, "_key"]
+    rows = ranged(records.withColumn("_key", key), keys, order, SLICE)
     sizes = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -239,7 +240,7 @@ def unique_keys(records: DataFrame, key: Column, order: Sequence[str], scope: Se
     return out.drop("_key", "_slice", "_in", "_before")
 
 
-SLICE = 100_000  # order values per slice of `unique_keys`
+SLICE: int | None = None  # rows per range of `unique_keys`; None: those of a shuffle partition
 
 
 def consolidation_key(name: Column) -> Column:

@@ -98,16 +98,38 @@ def daily_timings(rows: DataFrame, *, ts: str = "ts", operation: str = "operatio
     )
 
 
+def timing_sketches(rows: DataFrame, *, ts: str = "ts", operation: str = "operation", seconds: str = "seconds", k: int = 400) -> DataFrame:
+    """(day, operation, runs, sketch): a KLL sketch of the times, a binary column of bounded size.
+
+    Tables of sketches are kept instead of rows: `merged_sketches` adds them up to weeks, months or tenants, and
+    days that arrive later are appended. Null times count nowhere. A larger `k` gives closer quantiles.
+    """
+    known = rows.where(F.col(seconds).isNotNull())
+    return known.groupBy(F.to_date(ts).alias("day"), operation).agg(
+        F.count("*").alias("runs"), F.kll_sketch_agg_double(F.col(seconds).cast("double"), F.lit(k)).alias("sketch")
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str | Column], k: int = 400) -> DataFrame:
+    """One sketch per group of stored sketches: (by, runs, sketch)."""
+    return sketches.groupBy(*by).agg(F.sum("runs").alias("runs"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """`sketches` without the sketch and with one column per named quantile (0 and 1 are exact)."""
+    return sketches.withColumns({name: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))) for name, q in quantiles.items()}).drop("sketch")
+
+
 def recent_mean(runs: DataFrame, keys: Sequence[str], stages: Sequence[str], n: int = 100, ts: str = "ts", tie: str = "run_id") -> DataFrame:
     """Mean stage times over the newest `n` runs; a missing stage counts as 0."""
     last = ranking.top_k(runs, list(keys), [F.desc(ts), F.desc(tie)], n, "_n")
     return last.groupBy(*keys).agg(F.count("*").alias("runs"), *[F.avg(F.coalesce(F.col(s), F.lit(0.0))).alias(f"{s}_mean") for s in stages])
 
 
-def running_latency(queries: DataFrame, scope: Sequence[str], order: Sequence[str], *, latency: str = "latency_ms", hit: str = "cache_hit", slice_width: int = 3_600_000_000) -> DataFrame:
-    """Mean latency and hit rate up to and including each query; `order[0]` is in microseconds, sliced by the hour."""
+def running_latency(queries: DataFrame, scope: Sequence[str], order: Sequence[str], *, latency: str = "latency_ms", hit: str = "cache_hit") -> DataFrame:
+    """Mean latency and hit rate up to and including each query."""
     values = {"_n0": F.lit(1), "_l0": F.col(latency), "_h0": F.col(hit).cast("int")}
-    rows = running_total(queries, scope, order, values, slice_width=slice_width)
+    rows = running_total(queries, scope, order, values)
     n = F.col("_n0") + 1
     return rows.withColumns({
         "queries": n, "mean_latency": (F.col("_l0") + F.col(latency)) / n,

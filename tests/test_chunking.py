@@ -123,3 +123,18 @@ def test_recent_messages(spark):
 def test_sentences(spark):
     got = docs(spark, "One. Two!  Three?\nFour").select(T.sentences(F.col("content"))).first()[0]
     assert got == ["One.", "Two!", "Three?", "Four"]
+
+
+@pytest.mark.parametrize("place", [lambda i: i // 1_000, lambda i: i * 10_000_000], ids=["dense", "sparse"])
+def test_ranges_hold_equal_shares(spark, place):
+    """One scope holds nearly all rows; whether its order values crowd or spread, ranges are of like size."""
+    rows = [("hot" if i % 50 else f"k{i}", place(i), i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k STRING, at BIGINT, id BIGINT")
+    sizes = [r["count"] for r in assembly.ranged(df, ["k"], ["at", "id"], 2_000).groupBy("_slice").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * min(sizes)
+    got = {r.id: r.t for r in assembly.running_total(df, ["k"], ["at", "id"], {"t": F.col("id")}, slice_width=2_000).collect()}
+    total, want = {}, {}
+    for k, _, i in rows:
+        want[i] = total.get(k, 0)
+        total[k] = want[i] + i
+    assert got == want

@@ -225,3 +225,18 @@ def test_whole_texts_and_starts_as_fingerprints(spark):
     df = spark.createDataFrame([(1, start + "a"), (2, start + "b"), (3, start + "A")], "doc_id BIGINT, content STRING")
     kept = lambda **kw: sorted(r.doc_id for r in dedup.first_per_fingerprint(df, order=["doc_id"], **kw).collect())
     assert kept() == [1, 2] and kept(chars=200) == [1]
+
+
+def test_merged_sketches_stay_near_exact_quantiles(spark):
+    """Days merged to one sketch, also with days added later, against exact ranks; null times count nowhere."""
+    rng = random.Random(3)
+    rows = [(f"2024-01-{d + 1:02d} 10:00:00", op, None if i % 97 == 0 else rng.expovariate(1 / (d + 1)))
+            for d in range(20) for op in ("load", "save") for i in range(1_000)]
+    df = spark.createDataFrame(rows, "ts STRING, operation STRING, seconds DOUBLE").withColumn("ts", F.to_timestamp("ts"))
+    early, late = (E.timing_sketches(df.where(c)) for c in (F.col("ts") < "2024-01-08", F.col("ts") >= "2024-01-08"))
+    merged = E.sketched_quantiles(E.merged_sketches(early.unionByName(late), ["operation"]), {"q00": 0.0, "q50": 0.5, "q99": 0.99, "q100": 1.0})
+    for r in merged.collect():
+        exact = sorted(s for _, op, s in rows if op == r.operation and s is not None)
+        assert r.runs == len(exact) and r.q00 == exact[0] and r.q100 == exact[-1]
+        for q, got in ((0.5, r.q50), (0.99, r.q99)):
+            assert abs(sum(s <= got for s in exact) / len(exact) - q) < 0.015
