@@ -75,6 +75,32 @@ CHECKS["agg_07_entities"] = (
     lambda spark, sf: L.entity_counts(L.dictionary_entities(corpus(spark, sf), dictionary(spark, sf))),
     f"WITH {_ENT} SELECT * FROM entities",
 )
+
+
+def names(spark, sf):
+    """Runs of one to four words of the benchmark, labelled by their number of words."""
+    w = table(spark, sf, "benchmark").select(T.alpha_words(F.lower("text")).alias("w")).where(F.size("w") > 3)
+    starts = F.sequence(F.lit(1), F.size("w") - 3)
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.array_join(F.slice("w", i, n), " "))))
+    rows = w.select(F.explode(runs).alias("entity")).distinct()
+    return rows.withColumn("label", F.element_at(F.array(F.lit("PERSON"), F.lit("ORG"), F.lit("DATE"), F.lit("WORK")), F.size(F.split("entity", " "))))
+
+
+CHECKS["agg_07_names_of_several_words"] = (
+    lambda spark, sf: L.top_names(L.name_counts(corpus(spark, sf), names(spark, sf))),
+    rf"""WITH {SQL_CORPUS}, bw AS (SELECT {sql_alpha('lower(text)')} AS w FROM benchmark),
+  dict AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS entity, n, ['PERSON', 'ORG', 'DATE', 'WORK'][n] AS label
+    FROM (SELECT w, unnest(generate_series(1, len(w) - 3)) AS i FROM bw), (SELECT unnest([1, 2, 3, 4]) AS n)),
+  dw AS (SELECT doc_id, persona_id, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, persona_id, {sql_alpha('lower(content)')} AS w FROM corpus)),
+  pos AS (SELECT *, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  runs AS (SELECT doc_id, persona_id, i, unnest([w1, w1 || ' ' || w2, w1 || ' ' || w2 || ' ' || w3, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4]) AS entity FROM pos),
+  hits AS (SELECT doc_id, any_value(persona_id) AS persona_id, i, max(n) AS n, arg_max(entity, n) AS entity, arg_max(label, n) AS label FROM runs JOIN dict USING (entity) GROUP BY doc_id, i),
+  walks AS (SELECT doc_id, list_reduce(list({{'free': i + n, 'i': i, 'kept': [i]}} ORDER BY i),
+    lambda x, y: CASE WHEN y.i >= x.free THEN {{'free': y.free, 'i': y.i, 'kept': list_concat(x.kept, y.kept)}} ELSE x END).kept AS kept FROM hits GROUP BY doc_id),
+  counted AS (SELECT persona_id, entity || ' (' || label || ')' AS entity, count(*) AS mentions FROM (SELECT doc_id, unnest(kept) AS i FROM walks) JOIN hits USING (doc_id, i)
+    WHERE label <> 'DATE' AND length(entity) > 2 GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY mentions DESC, entity) AS rank FROM counted) WHERE rank <= 50""",
+)
 _CELL = "coalesce(({o} - {e}) * ({o} - {e}) / nullif({e}, 0), 0)"
 
 

@@ -3,10 +3,13 @@ a count per word, or a ranking that is cut on both sides of the shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import fixed
 from ..functions import text as T
@@ -55,6 +58,89 @@ def dictionary_entities(docs: DataFrame, dictionary: DataFrame, scope: Sequence[
     return rows.join(broadcast_if_small(dictionary), "entity")
 
 
+def name_counts(
+    docs: DataFrame, dictionary: DataFrame, scope: Sequence[str] = SCOPE, *, content: str = "content", max_names: int = 500_000, max_bytes: int = 32 << 20,
+) -> DataFrame:
+    """(scope, entity, label, mentions): names of any number of words, given as (entity, label) with single blanks.
+
+    At each word of a text the longest name that starts there is taken and the search goes on behind it. Names with
+    several labels count under each; null and empty names or texts match nothing. A dictionary within both bounds becomes a
+    trie of words in the tasks, which count before anything is shuffled; a larger one is joined with the word runs.
+    """
+    scope = list(scope)
+    names = dictionary.select("entity", "label").where(F.length("entity") > 0).distinct()
+    rows = docs.select(*scope, lower_words(F.col(content)).alias("_w")).where(F.size("_w") > 0)
+    size = F.coalesce(F.octet_length("entity") + F.octet_length("label"), F.lit(0)) + 64
+    held = names.select(size.alias("b")).limit(max_names + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    found = _names_by_trie(rows, names, scope) if held.n <= max_names and held.b <= max_bytes else _names_by_join(rows, names, scope)
+    return found.groupBy(*scope, "entity", "label").agg(F.sum("mentions").alias("mentions"))
+
+
+def _names_by_trie(rows: DataFrame, names: DataFrame, scope: list[str]) -> DataFrame:
+    trie: dict = {}
+    for r in names.collect():  # bounded by the caller
+        node = trie
+        for word in r.entity.split(" "):
+            node = node.setdefault(word, {})
+        node.setdefault(None, []).append((r.entity, r.label))
+    held = rows.sparkSession.sparkContext.broadcast(trie)
+    fields = [*rows.select(*scope).schema.fields, *names.schema.fields, ST.StructField("mentions", ST.LongType())]
+    schema = ST.StructType(fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = held.value
+        for batch in batches:
+            seen: Counter = Counter()
+            keys = zip(*(batch.column(c).to_pylist() for c in scope)) if scope else ((),) * batch.num_rows
+            for key, words in zip(keys, batch.column("_w").to_pylist(), strict=True):
+                at = 0
+                while at < len(words):
+                    node, end, labels, stop = top, at, (), at + 1
+                    while end < len(words) and (node := node.get(words[end])) is not None:
+                        end += 1
+                        if None in node:
+                            labels, stop = node[None], end
+                    for name in labels:
+                        seen[(*key, *name)] += 1
+                    at = stop
+            columns = list(zip(*seen)) or [()] * (len(fields) - 1)
+            types = [*(batch.schema.field(c).type for c in scope), pa.string(), pa.string()]
+            arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(seen.values()), pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(count, schema)
+
+
+def _names_by_join(rows: DataFrame, names: DataFrame, scope: list[str]) -> DataFrame:
+    """The same by a shuffle on the word runs; the names found in one text meet again by its row number."""
+    rows = cut_lineage(rows).withColumn("_row", F.monotonically_increasing_id())
+    names = cut_lineage(names.withColumn("_n", F.size(F.split("entity", " "))))
+    sizes = sorted(r[0] for r in names.select("_n").distinct().collect())  # word counts of names: a few numbers
+
+    def cuts(n: int) -> Column:
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("_w", i, F.lit(n)), " ").alias("entity")))
+
+    runs = F.concat(*[cuts(n) for n in sizes]) if sizes else F.array().cast("array<struct<at int, entity string>>")
+    hits = rows.select(*scope, "_row", runs.alias("_r")).select(*scope, "_row", F.explode("_r").alias("r")).select(*scope, "_row", "r.at", "r.entity")
+    labels = names.groupBy("entity", "_n").agg(F.collect_list("label").alias("labels"))
+    hits = hits.join(labels, "entity").select(*scope, "_row", F.struct("at", (-F.col("_n")).alias("longest"), "entity", "labels").alias("h"))
+    per_text = hits.groupBy(*scope, "_row").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    kind = dict(per_text.dtypes)["hs"]
+    start = F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("kept"))
+    taken = F.aggregate("hs", start, lambda s, h: F.when(
+        h["at"] >= s["free"], F.struct((h["at"] - h["longest"]).alias("free"), F.concat(s["kept"], F.array(h)).alias("kept"))).otherwise(s))
+    kept = per_text.select(*scope, F.explode(taken["kept"]).alias("h"))
+    return kept.select(*scope, "h.entity", F.explode("h.labels").alias("label"), F.lit(1).cast("bigint").alias("mentions"))
+
+
+def top_names(counts: DataFrame, scope: Sequence[str] = SCOPE, top: int = 50) -> DataFrame:
+    """Most frequent names as `text (LABEL)`; numbers and times are not counted."""
+    rows = counts.where(~F.col("label").isin(fixed.SKIPPED_ENTITY_LABELS) & (F.length("entity") > 2))
+    named = rows.select(*scope, F.concat("entity", F.lit(" ("), "label", F.lit(")")).alias("entity"), "mentions")
+    return ranking.top_k(named, list(scope), [F.desc("mentions"), F.asc("entity")], top)
+
+
 def model_entities(docs: DataFrame, find: Callable[[Column], Column], scope: Sequence[str] = SCOPE, *, content: str = "content") -> DataFrame:
     """Entities of a plugged-in finder returning array<struct<entity,label>>."""
     rows = docs.select(*scope, F.explode_outer(find(F.col(content))).alias("e"))

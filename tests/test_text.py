@@ -102,3 +102,18 @@ def test_extract_json(spark, reply, method, json):
 @pytest.mark.parametrize("reply,want", [('{"result": "r", "answer": "a"}', "a"), (" plain ", "plain"), ('{"rag_query": "q"}', "q")])
 def test_final_answer(spark, reply, want):
     assert one(spark, replies.final_answer(F.col("t")), t=reply) == want
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_names": 2}, {"max_bytes": 100}], ids=["trie", "joined by rows", "joined by bytes"])
+def test_names_of_several_words(spark, bounds):
+    """Longest name first, no overlaps, several labels, repeats, empty and null texts and names, an empty dictionary."""
+    from marginalia.operators import linguistics as L
+
+    names = [("new york", "CITY"), ("new york times", "PAPER"), ("york", "CITY"), ("york", "PERSON"), ("times square", "PLACE"), ("times square", "PLACE"), ("", "X"), (None, "X")]
+    texts = [("a", "New York Times square. York new york!"), ("a", "new new york"), ("b", "times square times"), ("b", ""), ("b", None), ("b", "nothing")]
+    docs = spark.createDataFrame(texts, "persona_id STRING, content STRING")
+    table = spark.createDataFrame(names, "entity STRING, label STRING")
+    got = {tuple(r) for r in L.name_counts(docs, table, **bounds).collect()}
+    assert got == {("a", "new york times", "PAPER", 1), ("a", "york", "CITY", 1), ("a", "york", "PERSON", 1), ("a", "new york", "CITY", 2), ("b", "times square", "PLACE", 1)}
+    assert L.name_counts(docs, table.limit(0), **bounds).count() == 0
+    assert {tuple(r) for r in L.top_names(L.name_counts(docs, table, **bounds), top=1).collect()} == {("a", "new york (CITY)", 2, 1), ("b", "times square (PLACE)", 1, 1)}
