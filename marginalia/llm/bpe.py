@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ _LATIN = re.compile(
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
 _FLUSH = 100_000
 _BYTES = 1_000_000  # of text looked up together
+_LONG = 256  # bytes from which a pre-token is merged by the heap, whose time does not grow with the square
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -111,13 +113,18 @@ def _counts(held: Counter) -> pa.RecordBatch:
 
 
 def encode_words(words: DataFrame, ranks) -> DataFrame:
-    """`words` with ids as little-endian unsigned 32-bit integers, and the 64-bit hash of the word."""
+    """`words` with ids as little-endian unsigned 32-bit integers, and the 64-bit hash of the word.
+
+    The public library merges words of usual length, each as one piece; `merge_word` merges the long ones.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
+        library = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=table, special_tokens={})
         for batch in batches:
             found = batch.column("word").to_pylist()
-            ids = [np.array(merge_word(w, table), "<u4").tobytes() for w in found]
+            merged = (library.encode_ordinary(w.decode()) if len(w) < _LONG else merge_word(w, table) for w in found)
+            ids = [np.array(x, "<u4").tobytes() for x in merged]
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(hashes)], names=["word", "n", "ids", "hash"])
 
@@ -144,15 +151,31 @@ class Packed:
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def get(self, words: list[str]) -> list[bytes | None]:
-        """Ids of each word as little-endian unsigned 32-bit integers; None for a word that is not here."""
+    def _find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word's hash, and whether it is here."""
         if not len(self.hashes):
-            return [None] * len(words)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         at = np.minimum(self.hashes.searchsorted(hashes), len(self.hashes) - 1)
-        known = self.hashes[at] == hashes
-        starts, lengths = self.starts[at].tolist(), self.lengths[at].tolist()
-        return [self.ids[s : s + n].astype("<u4").tobytes() if k else None for k, s, n in zip(known.tolist(), starts, lengths, strict=True)]
+        return at, self.hashes[at] == hashes
+
+    def lacks(self, words: list[str]) -> set[str]:
+        """The words that are not here."""
+        return {words[i] for i in np.flatnonzero(~self._find(words)[1]).tolist()}
+
+    def get(self, words: list[str]) -> list[bytes | None]:
+        """Ids of each word as little-endian unsigned 32-bit integers; None for a word that is not here."""
+        out: list[bytes | None] = [None] * len(words)
+        at, known = self._find(words)
+        places = np.flatnonzero(known)
+        lengths = self.lengths[at[places]].astype(np.int64) if len(places) else np.zeros(0, np.int64)
+        ends = np.cumsum(lengths)
+        first = np.repeat(self.starts[at[places]] - (ends - lengths), lengths) if len(places) else np.zeros(0, np.int64)
+        ids = self.ids[first + np.arange(len(first))].astype("<u4").tobytes()
+        stop = (4 * ends).tolist()
+        for i, low, high in zip(places.tolist(), [0, *stop], stop):
+            out[i] = ids[low:high]
+        return out
 
 
 def encode(
@@ -181,10 +204,12 @@ def encode(
         for batch in batches:
             for part in slices(batch, "text", _BYTES):
                 rows: list[tuple[int, int, int, bytes]] = []
-                split, known = _split(part.column("text"), splitter, packed.value)
-                if None in known.values():
+                split = [splitter(t or "") for t in part.column("text").to_pylist()]
+                unknown = packed.value.lacks(list(set().union(*split)))
+                if unknown:
                     for one, two, words in zip(part.column("_bpe_one").to_pylist(), part.column("_bpe_two").to_pylist(), split, strict=True):
-                        rows += [(one, two, i, w.encode()) for i, w in enumerate(words) if known[w] is None]
+                        if not unknown.isdisjoint(words):
+                            rows += [(one, two, i, w.encode()) for i, w in enumerate(words) if w in unknown]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["_bpe_one", "_bpe_two", "at", "word"])
 
