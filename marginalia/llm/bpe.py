@@ -112,19 +112,24 @@ def _counts(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
 
+def _kind(ranks: dict[bytes, int]) -> str:
+    """Integers of 16 bits where all ids fit, else of 32."""
+    return "<u2" if max(ranks.values(), default=0) < 65536 else "<u4"
+
+
 def encode_words(words: DataFrame, ranks) -> DataFrame:
-    """`words` with ids as little-endian unsigned 32-bit integers, and the 64-bit hash of the word.
+    """`words` with ids as little-endian integers of `_kind`, and the 64-bit hash of the word.
 
     The public library merges words of usual length, each as one piece; `merge_word` merges the long ones.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
+        table, kind = ranks.value, _kind(ranks.value)
         library = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=table, special_tokens={})
         for batch in batches:
             found = batch.column("word").to_pylist()
             merged = (library.encode_ordinary(w.decode()) if len(w) < _LONG else merge_word(w, table) for w in found)
-            ids = [np.array(x, "<u4").tobytes() for x in merged]
+            ids = [np.array(x, kind).tobytes() for x in merged]
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(hashes)], names=["word", "n", "ids", "hash"])
 
@@ -195,7 +200,7 @@ def encode(
     table = spark.sparkContext.broadcast(ranks)
     vocabulary = stored(encode_words(distinct_words(docs, splitter, text_col), table), "bpe-words")
     frequent = vocabulary.filter(F.col("n") >= _threshold(vocabulary, coverage, max_bytes))
-    packed = spark.sparkContext.broadcast(_pack(frequent.select("hash", "ids"), max(ranks.values(), default=0)))
+    packed = spark.sparkContext.broadcast(_pack(frequent.select("hash", "ids"), _kind(ranks)))
 
     # the rest: (text, position, word) by word, then (text, positions and ids) by text
     key = [F.xxhash64(F.col(text_col)).alias("_bpe_one"), F.xxhash64(F.col(text_col), F.lit(1)).alias("_bpe_two")]
@@ -216,13 +221,14 @@ def encode(
     exploded = docs.select(*key, F.col(text_col).alias("text")).mapInArrow(missing, "_bpe_one long, _bpe_two long, at int, word binary").distinct()
     found = exploded.join(vocabulary.select("word", "ids"), "word")
     rest = found.groupBy("_bpe_one", "_bpe_two").agg(F.collect_list(F.struct("at", "ids")).alias("rest"))
+    joined = lambda part: F.unhex(F.array_join(F.transform("rest", part), ""))
     placed = stored(rest.select(
-        "_bpe_one", "_bpe_two", F.transform("rest", lambda x: x["at"]).alias("_bpe_at"), F.transform("rest", lambda x: F.octet_length(x["ids"])).alias("_bpe_size"),
-        F.unhex(F.array_join(F.transform("rest", lambda x: F.hex(x["ids"])), "")).alias("_bpe_ids")), "bpe-rest")
+        "_bpe_one", "_bpe_two", joined(lambda x: F.lpad(F.hex(x["at"]), 8, "0")).alias("_bpe_at"),
+        joined(lambda x: F.lpad(F.hex(F.octet_length(x["ids"])), 8, "0")).alias("_bpe_size"), joined(lambda x: F.hex(x["ids"])).alias("_bpe_ids")), "bpe-rest")
     # texts move only where what is joined to them is too large to be sent to where they lie
     small = broadcast_if_small(placed, max_rows=2_000_000, max_bytes=96 << 20)
-    joined = docs.select("*", *key).join(small, ["_bpe_one", "_bpe_two"], "left").drop("_bpe_one", "_bpe_two")
-    return _assemble(joined, splitter, packed, text_col)
+    whole = docs.select("*", *key).join(small, ["_bpe_one", "_bpe_two"], "left").drop("_bpe_one", "_bpe_two")
+    return _assemble(whole, splitter, packed, text_col, _kind(ranks))
 
 
 def _split(texts: pa.Array, splitter: Splitter, packed: Packed) -> tuple[list[list[str]], dict[str, bytes | None]]:
@@ -236,7 +242,7 @@ def _threshold(vocabulary: DataFrame, coverage: float, max_bytes: int) -> int:
     """The largest power of two for which words of that count or more make up `coverage` of all occurrences; a larger one
     where they would take more than `max_bytes`, and never 1: words that occur once are joined. One aggregation, one row."""
     powers = [1 << i for i in range(60)]
-    taken = F.octet_length("ids") + 20  # hash, place, number of ids, ids; short ids take half
+    taken = F.octet_length("ids") + 20  # hash, place, number of ids, ids
     sums = [F.sum(F.when(F.col("n") >= p, F.col("n"))).alias(f"n{p}") for p in powers]
     sizes = [F.sum(F.when(F.col("n") >= p, taken.cast("bigint"))).alias(f"b{p}") for p in powers]
     row = vocabulary.agg(*sums, *sizes).first()
@@ -246,16 +252,16 @@ def _threshold(vocabulary: DataFrame, coverage: float, max_bytes: int) -> int:
     return max(2, max(enough, default=1), min(fits, default=1 << 60))
 
 
-def _pack(words: DataFrame, largest: int) -> Packed:
+def _pack(words: DataFrame, kind: str) -> Packed:
     """Tasks pack their words, so the driver receives a few byte strings and never a row per word."""
-    kind = np.uint16 if largest < 65536 else np.uint32
+    width = np.dtype(kind).itemsize
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             if ids:
-                lengths = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
-                columns = [batch.column("hash").to_numpy().tobytes(), lengths.tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()]
+                lengths = np.fromiter((len(x) // width for x in ids), np.int32, len(ids))
+                columns = [batch.column("hash").to_numpy().tobytes(), lengths.tobytes(), b"".join(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["hashes", "lengths", "ids"])
 
     rows = words.mapInArrow(block, "hashes binary, lengths binary, ids binary").collect()
@@ -263,10 +269,11 @@ def _pack(words: DataFrame, largest: int) -> Packed:
     return Packed(joined("hashes", np.uint64), joined("lengths", np.int32), joined("ids", kind))
 
 
-def _assemble(docs: DataFrame, splitter: Splitter, packed, text_col: str) -> DataFrame:
-    """Put the ids of each text's pre-tokens in order; the columns `_bpe_at`, `_bpe_size` and `_bpe_ids` hold places, bytes and
-    ids of those that `packed` lacks."""
+def _assemble(docs: DataFrame, splitter: Splitter, packed, text_col: str, kind: str) -> DataFrame:
+    """Put the ids of each text's pre-tokens in order; the columns `_bpe_at`, `_bpe_size` and `_bpe_ids` hold places and sizes
+    (big-endian, 32 bits) and ids (of `kind`) of those that `packed` lacks."""
     rest = ["_bpe_at", "_bpe_size", "_bpe_ids"]
+    wider = 4 // np.dtype(kind).itemsize
     names = [c for c in docs.columns if c not in rest]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +283,11 @@ def _assemble(docs: DataFrame, splitter: Splitter, packed, text_col: str) -> Dat
                 split, known = _split(part.column(text_col), splitter, packed.value)
                 for words, places, sizes, ids in zip(split, *(part.column(c).to_pylist() for c in rest), strict=True):
                     parts, first = list(map(known.__getitem__, words)), 0
-                    for at, size in zip(places or (), sizes or (), strict=True):
-                        parts[at] = ids[first : first + size]
-                        first += size
+                    if places:
+                        ids = np.frombuffer(ids, kind).astype("<u4").tobytes()
+                        for at, size in zip(np.frombuffer(places, ">u4").tolist(), (np.frombuffer(sizes, ">u4") * wider).tolist(), strict=True):
+                            parts[at] = ids[first : first + size]
+                            first += size
                     out.append(b"".join(parts))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())],
