@@ -102,6 +102,15 @@ CHECKS["ret_01_bm25_documents"] = (
 )
 
 
+def _pruned_search(spark, sf):
+    path = scratch_path(spark, "index")
+    _full_index(spark, sf).write(path)
+    return hits(K.search_pruned(K.KeywordIndex.read(spark, path), queries_table(spark, sf), 20), "doc_id")
+
+
+CHECKS["ret_01_bm25_pruned"] = (_pruned_search, CHECKS["ret_01_bm25_documents"][1])
+
+
 def _grown_index(spark, sf):
     docs = corpus(spark, sf)
     return K.add_documents(K.build_index(docs.where(F.col("language") == "en")), K.build_index(docs.where(F.col("language") != "en")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -168,6 +168,91 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = K1,
     return ranking.best(hits, [*scope, "query_id"], k, index.id_col)
 
 
+_LEVELS = 64  # steps in which a term's parts of the score are counted
+_SLACK = 2 / 10**ranking.SCORE_DIGITS  # more than rounding can move a score
+
+
+def _impacts(index: KeywordIndex, vocabulary: DataFrame, k1: float, b: float) -> DataFrame:
+    """(scope, id, term, impact) of the asked terms: the part of a score that does not depend on the query, at most 1."""
+    scope = list(index.scope)
+    rows = index.postings.join(vocabulary, [*scope, "term"], "left_semi")
+    if scope:
+        rows = rows.join(broadcast_if_small(index.stats.select(*scope, "avg_len")), scope)
+    else:
+        rows = rows.withColumn("avg_len", index.stats.select("avg_len").scalar())
+    tf = F.col("tf")
+    return rows.select(*scope, index.id_col, "term", (tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))).alias("impact"))
+
+
+def term_bounds(index: KeywordIndex, asked: DataFrame, impacts: DataFrame, k: int) -> DataFrame:
+    """(scope, query_id, term, weight, most, floor, free, spare) for the asked terms that the index holds.
+
+    `most` is the largest part the term can add to a score. `floor` is a score that k documents reach by one of the
+    query's terms alone. Terms are `free` while their largest parts together stay below that floor: a document that holds no
+    other term of the query cannot be among its best k. `spare` is the sum of the query's free parts.
+
+    Impacts are counted per term in 64 steps before anything is shuffled, so a frequent term is 64 rows a task.
+    """
+    scope = list(index.scope)
+    level = F.floor(F.col("impact") * _LEVELS)
+    counts = impacts.groupBy(*scope, "term", level.alias("level")).agg(F.count("*").alias("n"), F.max("impact").alias("top"))
+    reach = F.sum("n").over(Window.partitionBy(*scope, "term").orderBy(F.desc("level")))
+    steps = counts.withColumn("reach", reach).groupBy(*scope, "term").agg(
+        F.max("top").alias("top"), (F.coalesce(F.max(F.when(F.col("reach") >= k, F.col("level"))), F.lit(0)) / _LEVELS).alias("kth"))
+    rows = asked.join(index.terms, [*scope, "term"]).join(steps, [*scope, "term"])
+    rows = rows.join(index.stats, scope) if scope else rows.withColumn("n_docs", index.stats.select("n_docs").scalar())
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rows = rows.withColumn("weight", F.col("qtf") * idf).withColumn("most", F.col("weight") * F.col("top"))
+    of_query = Window.partitionBy(*scope, "query_id")
+    rows = rows.withColumns({
+        "floor": F.max(F.col("weight") * F.col("kth")).over(of_query),
+        "upto": F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    }).withColumn("free", F.col("upto") < F.col("floor") - _SLACK)
+    spare = F.coalesce(F.max(F.when(F.col("free"), F.col("upto"))).over(of_query), F.lit(0.0))
+    return rows.withColumn("spare", spare).select(*scope, "query_id", "term", "weight", "most", "floor", "free", "spare")
+
+
+def candidates(index: KeywordIndex, impacts: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+    """(scope, query_id, id, part, spare): documents that may be among the best k, with their scores by the terms that are
+    not free. A document goes where even all free terms could not lift it to the k-th best of these scores."""
+    scope, query = list(index.scope), [*index.scope, "query_id"]
+    needed = bounds.where(~F.col("free")).drop("free", "most")
+    small, keys = broadcast_if_small(needed), [*scope, "term"]
+    if small is needed:  # beyond the bound a frequent term is spread over tasks
+        impacts = impacts.withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.lit(SALTS)))
+        small = needed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        keys = [*keys, "_salt"]
+    parts = impacts.join(small, keys).groupBy(*query, index.id_col).agg(
+        F.sum(F.col("weight") * F.col("impact")).alias("part"), F.first("spare").alias("spare"), F.first("floor").alias("floor"))
+    parts = cut_lineage(parts.where(F.col("part") + F.col("spare") >= F.col("floor") - _SLACK))
+    best = ranking.top_k(parts, query, [F.desc("part")], k)
+    kth = best.where(F.col("rank") == k).select(*query, F.col("part").alias("kth"))
+    rows = parts.join(broadcast_if_small(kth), query, "left")
+    reached = F.col("part") + F.col("spare") >= F.coalesce(F.col("kth"), F.col("floor")) - _SLACK
+    return rows.where(reached).select(*query, index.id_col, "part", "spare")
+
+
+def search_pruned(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B, query: str = "query") -> DataFrame:
+    """The rows of `search`, without joining every posting of frequent terms to every query that asks for them.
+
+    Rows of terms that are not free give candidates; postings of free terms meet these candidates only, on (id, term), which no
+    two postings share. Give a stored index: the postings of asked terms are read three times. Needs k1 >= 0 and 0 <= b <= 1.
+    Queries without a known term have no rows; ties at rank k go to the smaller id, as all of them are candidates.
+    """
+    scope, id_col = list(index.scope), index.id_col
+    asked = cut_lineage(query_terms(queries, query=query, scope=scope, tokens=index.tokens, stop_words=index.stop_words))
+    impacts = _impacts(index, broadcast_if_small(asked.select(*scope, "term").distinct()), k1, b)
+    bounds = cut_lineage(term_bounds(index, asked, impacts, k))
+    found = cut_lineage(candidates(index, impacts, bounds, k))
+    free = bounds.where("free").select(*scope, "query_id", "term", "weight")
+    open_terms = found.where("spare > 0").select(*scope, "query_id", id_col).join(broadcast_if_small(free), [*scope, "query_id"])
+    rest = impacts.join(broadcast_if_small(open_terms, 1_000_000), [*scope, id_col, "term"])
+    parts = found.select(*scope, "query_id", id_col, "part").unionByName(
+        rest.select(*scope, "query_id", id_col, (F.col("weight") * F.col("impact")).alias("part")))
+    hits = parts.groupBy(*scope, "query_id", id_col).agg(ranking.rounded(F.sum("part")).alias("score")).where(F.col("score") > 0)
+    return ranking.best(hits, [*scope, "query_id"], k, id_col)
+
+
 def bm25_search(
     docs: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "doc_id", text: str = "content", scope: Sequence[str] = (),
     tokens=T.search_tokens, stop_words: Sequence[str] = (), **kw,

@@ -53,6 +53,55 @@ def test_bm25_equals_brute_force_on_both_join_paths(spark, corpus, queries, smal
         assert mine == pytest.approx(brute_bm25(q.query), abs=1e-6)
 
 
+@pytest.fixture(scope="module")
+def frequent_terms(spark, tmp_path_factory):
+    """Documents that nearly all hold "the" and "and", beside words of falling frequency and many equal texts; stored, by tenant."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    chance = 1 / np.arange(1, 301)
+    rows = []
+    for i in range(3000):
+        own = rng.choice(words, rng.integers(1, 25), p=chance / chance.sum()).tolist()
+        rows.append((i, f"t{i % 3 % 2}", " ".join([*["the"] * int(rng.integers(1, 4)), *(["and"] if i % 50 else []), *own])))
+    rows += [(i, "t0", "the and w250 w7") for i in range(3000, 3400)] + [(3400, "t1", ""), (3401, "t1", None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, persona_id STRING, content STRING")
+    asked = [(0, "the and w40 w41"), (1, "the the w250"), (2, "and the"), (3, "w1 w2 w3 the"), (4, "unknown"), (5, ""), (6, None), (7, "w299 and")]
+    asked = spark.createDataFrame([(q, t, x) for q, x in asked for t in ("t0", "t1", "t2")], "query_id BIGINT, persona_id STRING, query STRING")
+    out = {}
+    for scope in ((), ("persona_id",)):
+        path = str(tmp_path_factory.mktemp("index"))
+        K.build_index(docs, scope=scope).write(path)
+        out[scope] = K.KeywordIndex.read(spark, path, scope=scope)
+    return out, asked
+
+
+@pytest.mark.parametrize("scope", [(), ("persona_id",)])
+@pytest.mark.parametrize("small", [True, False])
+def test_pruned_search_gives_the_rows_of_search(frequent_terms, scope, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(K, "broadcast_if_small", lambda df, *a: df)
+    index, asked = frequent_terms[0][scope], frequent_terms[1]
+    asked = asked if scope else asked.where("persona_id = 't0'").drop("persona_id")
+    key = lambda df: sorted((*[r[c] for c in scope], r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in df.collect())
+    for k in (1, 10):
+        assert key(K.search_pruned(index, asked, k)) == key(K.search(index, asked, k))
+
+
+def test_pruned_search_reads_few_rows_of_frequent_terms(frequent_terms):
+    index = frequent_terms[0][()]
+    asked = K.query_terms(frequent_terms[1].where("persona_id = 't0' AND query_id IN (0, 1)"))
+    impacts = K._impacts(index, asked.select("term").distinct(), K.K1, K.B)
+    bounds = K.term_bounds(index, asked, impacts, 10)
+    assert {(r.query_id, r.term) for r in bounds.where("free").collect()} == {(0, "and"), (0, "the"), (1, "the")}
+    met = K.candidates(index, impacts, bounds, 10).where("query_id = 0").count()
+    assert 10 <= met <= index.terms.where("term = 'the'").first().df / 10
+
+
+def test_pruned_search_of_nothing(spark, corpus, queries):
+    assert K.search_pruned(K.build_index(corpus.limit(0)), queries).count() == 0
+    assert K.search_pruned(K.build_index(corpus), queries.limit(0)).count() == 0
+
+
 def test_index_survives_a_round_trip_and_grows(spark, corpus, queries, tmp_path):
     first, rest = K.build_index(corpus.where("doc_id < 3")), K.build_index(corpus.where("doc_id >= 3"))
     K.add_documents(first, rest).write(str(tmp_path / "ix"))
