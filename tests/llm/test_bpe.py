@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe
@@ -70,3 +71,22 @@ def test_rare_words_take_the_shuffle(spark, docs):
     least = bpe._threshold(words, 0.98, 48 << 20)
     kept, total = words.filter(F.col("n") >= least).agg(F.sum("n")).first()[0], words.agg(F.sum("n")).first()[0]
     assert (0.98 <= kept / total < 1 or least == 2) and words.filter(F.col("n") < least).count() > 0
+
+
+def test_packed_words_are_found_and_others_are_not():
+    words = ["a", " the", "é", "x" * 300]
+    ids = [np.array(bpe.merge_word(w.encode(), RANKS), "<u2") for w in words]
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64)
+    packed = bpe.Packed(hashes, np.array([len(x) for x in ids], np.int32), np.concatenate(ids))
+    asked = ["b", *words, "é "]
+    assert packed.get(asked) == [None, *[x.astype("<u4").tobytes() for x in ids], None]
+    assert packed.lacks(asked) == {"b", "é "}
+    empty = bpe.Packed(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint16))
+    assert empty.get(["a"]) == [None] and empty.lacks(["a"]) == {"a"} and packed.get([]) == []
+
+
+def test_words_around_the_length_at_which_the_merge_changes(spark):
+    words = [("ab1é漢 \n"[i % 7] * 3 + "the")[: 1 + i % 5] * (n // 3) for i, n in enumerate(range(240, 800, 9))] + ["\n", "\r\n", " ", "<|endoftext|>"]
+    rows = spark.createDataFrame([(bytearray(w.encode()), 1) for w in words], "word binary, n long")
+    for r in bpe.encode_words(rows, spark.sparkContext.broadcast(RANKS)).collect():
+        assert np.frombuffer(r.ids, bpe._kind(RANKS)).tolist() == bpe.merge_word(bytes(r.word), RANKS)
