@@ -261,6 +261,17 @@ def test_score_ranges_count_every_vector(spark, monkeypatch):
             assert got[i] == (299, pytest.approx(s.max(), abs=1e-6), pytest.approx(s.min(), abs=1e-6))
 
 
+def test_salted_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    """The salted path copies every query block for each salt, which the planner's estimates do not count."""
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "doc_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "query_id bigint, query_vec array<double>")
+    monkeypatch.setattr(V, "MAX_BROADCAST_QUERIES", 0)
+    for out in (V.nearest(queries, vectors, 3), V.score_ranges(queries, vectors)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def tenants(spark, rows, extra=""):
     return spark.createDataFrame(rows, f"persona_id STRING, query_id BIGINT, {extra}")
 
