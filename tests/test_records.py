@@ -103,6 +103,34 @@ def test_persona_issues_and_scores(spark):
     assert (r.score_style, r.score_models, r.score_beliefs, r.score_statistics) == pytest.approx((0.25, 0.375, 0.3, 0.25))
 
 
+def test_persona_checks_over_rows_equal_those_of_nested_records(spark):
+    nested = persona(spark)
+    people = nested.drop("mental_models", "core_beliefs")
+    models = nested.select("persona_id", F.posexplode("mental_models").alias("rank", "x")).select("persona_id", "rank", "x.*")
+    beliefs = nested.select("persona_id", F.posexplode("core_beliefs").alias("rank", "x")).select("persona_id", "rank", "x.*")
+    stray = models.withColumn("persona_id", F.lit("unknown"))
+    rows = people, models.unionByName(stray), beliefs
+    got = sorted(r.issue for r in Q.persona_issue_rows(*rows).collect())
+    assert got == sorted(Q.persona_issues(nested).first().issues)
+    flat = Q.with_measures(*rows)
+    assert Q.persona_summary(flat).collect() == Q.persona_summary(nested).collect()
+    scores = ["score_style", "score_models", "score_beliefs", "score_statistics", "score_overall"]
+    assert Q.quality_scores(flat).select(scores).first() == pytest.approx(Q.quality_scores(nested).select(scores).first())
+    fixed, want = Q.fix_rows(*rows), Q.fix_personas(nested).first()
+    assert fixed[0].first().style == want.style
+    assert [r.description for r in fixed[1].where("persona_id = 'p'").collect()] == [m.description for m in want.mental_models]
+    assert [r.category for r in fixed[2].collect()] == [b.category for b in want.core_beliefs]
+    assert [(r.name, r.pos) for r in Q.most_confident(models, 1).collect()] == [("thin", 0)]
+
+
+@pytest.mark.parametrize("name", ["agg_21_persona_summary", "val_02_persona_issues", "val_03_quality_scores", "val_04_fix_personas", "top_02_by_confidence"])
+def test_persona_queries_gather_no_tenant(spark, name):
+    from checks.records import CHECKS
+
+    plan = CHECKS[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_records_sort_by_confidence(spark):
     got = persona(spark).select(Q.by_confidence(F.col("mental_models")).alias("m")).first().m
     assert [x.name for x in got] == ["thin", "m"]
