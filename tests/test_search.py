@@ -53,6 +53,21 @@ def test_bm25_equals_brute_force_on_both_join_paths(spark, corpus, queries, smal
         assert mine == pytest.approx(brute_bm25(q.query), abs=1e-6)
 
 
+@pytest.mark.parametrize("scope", [[], ["persona_id"]])
+def test_one_off_search_shuffles_no_pairs(spark, scope, monkeypatch):
+    """Every document shares a word with every query: the rows are those of an index, yet pairs of both are never gathered."""
+    words = ["the", "and", "cat", "dog", "spark"]
+    docs = spark.createDataFrame([(f"d{i}", f"t{i % 3}", " ".join(["the"] + [words[(i * j) % 5] for j in range(i % 7)])) for i in range(200)],
+                                 "doc_id STRING, persona_id STRING, content STRING").repartition(3)
+    queries = spark.createDataFrame([(1, "t0", "the cat the"), (2, "t1", "and the"), (3, "t5", "spark the"), (4, "t2", "no such")],
+                                    "query_id INT, persona_id STRING, query STRING")
+    want = K.search(K.build_index(docs, scope=scope), queries, 5).collect()
+    monkeypatch.setattr(K, "_CELLS", 50)  # several pieces of a batch
+    got = K.bm25_search(docs, queries, 5, scope=scope)
+    assert len(want) >= 10 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert "Aggregate(keys=[query_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def frequent_terms(spark, tmp_path_factory):
     """Documents that nearly all hold "the" and "and", beside words of falling frequency and many equal texts; stored, by tenant."""
