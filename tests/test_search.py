@@ -327,3 +327,11 @@ def test_list_functions_keep_tenants_apart(spark):
     wanted = tenants(spark, [("a", 1, [0.0, 1.0]), ("b", 1, [1.0, 0.0])], "query_vec ARRAY<DOUBLE>")
     again = V.rerank_by_vector(a, wanted, vectors, 1, scope=["persona_id"]).collect()
     assert sorted((r.persona_id, r.doc_id, r.score) for r in again) == [("a", 11, 1.0), ("b", 10, 1.0)]
+
+
+def test_advanced_search_drops_copies_once(spark):
+    """Keyword search, vectors and the lookup of texts read the kept documents, not the shuffle that finds their copies."""
+    from checks.search import CHECKS
+
+    plan = CHECKS["ret_12_advanced_search"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_fp" not in plan
