@@ -68,6 +68,13 @@ def test_one_off_search_shuffles_no_pairs(spark, scope, monkeypatch):
     assert "Aggregate(keys=[query_id" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_one_off_search_of_nothing(spark, corpus, queries):
+    assert K.bm25_search(corpus, queries.limit(0), 5).count() == 0
+    assert K.bm25_search(corpus.limit(0), queries, 5).count() == 0
+    blank = corpus.withColumn("content", F.lit(None).cast("string"))
+    assert K.bm25_search(blank, queries, 5).count() == 0
+
+
 @pytest.fixture(scope="module")
 def frequent_terms(spark, tmp_path_factory):
     """Documents that nearly all hold "the" and "and", beside words of falling frequency and many equal texts; stored, by tenant."""
