@@ -194,6 +194,14 @@ def test_similar_clusters_equal_brute_force(spark, block):
     assert consolidation.similar_clusters(df.limit(0)).count() == 0
 
 
+def test_components_of_a_chain_keep_small_estimates(spark):
+    """Many rounds of joins: the planner's estimate of the labels must not be multiplied in each."""
+    edges = spark.createDataFrame([(p, "t") for i in range(300) for p in ((i, i + 1), (i + 1, i))], "p struct<a:long,b:long>, persona_id string")
+    labels = consolidation.connected(edges.select("persona_id", "p.a", "p.b"), ["persona_id"])
+    assert labels.count() == 301 and labels.where("label <> 0").count() == 0
+    assert len(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 9
+
+
 def test_artifact_files(spark, tmp_path):
     import gzip
 
