@@ -75,6 +75,24 @@ def test_one_off_search_of_nothing(spark, corpus, queries):
     assert K.bm25_search(blank, queries, 5).count() == 0
 
 
+def test_search_of_an_index_makes_no_row_per_query_and_posting(spark, corpus, queries, tmp_path):
+    K.build_index(corpus).write(str(tmp_path / "ix"))
+    got = K.search(K.KeywordIndex.read(spark, str(tmp_path / "ix")), queries, 10)
+    for q in queries.collect():
+        assert {r.doc_id: r.score for r in got.where(F.col("query_id") == q.query_id).collect()} == pytest.approx(brute_bm25(q.query), abs=1e-6)
+    assert "Aggregate(keys=[query_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_adds_up_an_id_that_merged_indexes_hold_twice(spark, queries, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a dog and a cat"), (3, "nothing here")], "doc_id long, content string")
+    more = spark.createDataFrame([(1, "cat and dog and dog again"), (4, "spark spark")], "doc_id long, content string")
+    asked = spark.createDataFrame([(1, "cat dog"), (2, "spark again")], "query_id long, query string")
+    index = K.add_documents(K.build_index(docs), K.build_index(more))
+    got = sorted(map(tuple, K.search(index, asked, 5).collect()))
+    monkeypatch.setattr(K, "broadcast_if_small", lambda df, *a: df)
+    assert got and got == sorted(map(tuple, K.search(index, asked, 5).collect()))
+
+
 @pytest.fixture(scope="module")
 def frequent_terms(spark, tmp_path_factory):
     """Documents that nearly all hold "the" and "and", beside words of falling frequency and many equal texts; stored, by tenant."""
