@@ -360,3 +360,38 @@ def test_advanced_search_drops_copies_once(spark):
 
     plan = CHECKS["ret_12_advanced_search"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "_fp" not in plan
+
+
+def test_embedding_makes_strings_of_different_terms_only():
+    """Counts by hand, over runs that are cut inside the batch, with null, empty and repeated terms."""
+    import hashlib
+
+    import pyarrow as pa
+
+    rows = [["a", "b", "a"], None, [], ["ä"] * 7, ["c"], *[["d", "e"]] * 9]
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8
+    want = [[float(sum(place(t) == i for t in r or [])) for i in range(8)] for r in rows]
+    terms, cells = M._EMBED_TERMS, M._EMBED_CELLS
+    try:
+        M._EMBED_TERMS, M._EMBED_CELLS = 5, 24
+        batch = pa.array(rows, pa.list_(pa.string()))
+        assert M.bucket_counts(batch, 8).to_pylist() == want
+        assert M.bucket_counts(batch.slice(3, 5), 8).to_pylist() == want[3:8]
+        assert M.bucket_counts(batch.slice(0, 0), 8).to_pylist() == []
+    finally:
+        M._EMBED_TERMS, M._EMBED_CELLS = terms, cells
+
+
+def test_few_queries_meet_vectors_where_they_lie(spark):
+    """One Python stage reads and scores the vectors: no block of them is handed on to be joined; same rows as the join."""
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame(
+        [(i, f"t{i % 3}" if i % 7 else None, [float(x) for x in rng.integers(-2, 3, 4)] if i % 11 else None) for i in range(600)], "doc_id LONG, t STRING, embedding ARRAY<FLOAT>")
+    queries = spark.createDataFrame([(i, f"t{i % 4}", [0.0] * 4 if i == 5 else [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(20)], "query_id LONG, t STRING, query_vec ARRAY<FLOAT>")
+    for scope in ([], ["t"]):
+        found = V.nearest(queries, vectors, 3, scope=scope)
+        assert "_matrix" not in found._jdf.queryExecution().optimizedPlan().toString()
+        joined = V.ranking.best(
+            V._scored(V._block_pairs(queries, vectors, scope, "doc_id", "embedding", "query_vec"), scope, queries.schema["query_id"], vectors.schema["doc_id"], 3),
+            [*scope, "query_id"], 3)
+        assert sorted(found.collect(), key=str) == sorted(joined.select(found.columns).collect(), key=str) and found.count()
