@@ -20,18 +20,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from marginalia.llm.common import slices
-
-_CACHE_BYTES = 80_000_000
+_CACHE_BYTES = 160_000_000
+_TEXT_BYTES = 4_000_000  # of texts that are encoded at once
 _SHARD_BITS, _SEQUENCE_BITS = 16, 24  # of a sequence id, below the number of the partition
 
-# White space parts words in every tokenizer of this kind, and so does the end of a word of Latin-1 letters at one of `.,;:!?)`.
-_PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[ \t-\r.,;:!?)]|\Z)|[^ \t-\r]+")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# White space parts words in every tokenizer of this kind, and so does the end of a word of Latin-1 letters at an ASCII sign; an
+# apostrophe may belong to what follows and to what goes before, so it is left alone. A line is (such a word, the rest).
+_PIECES = re.compile(r"((?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\n!-&(-/:-@\[-`{-~]))?)([^\n]*)\n")
 _END = "\x01"  # the end of a word; not a letter, so no word holds it
 
 
@@ -106,9 +107,12 @@ _words = lru_cache(maxsize=2)(Words.of)
 
 
 class Encoder:
-    """Ids of whole texts, piece by piece: each piece's ids are kept until about `_CACHE_BYTES` are held.
+    """Ids of whole texts: texts are parted at white space, each different part is looked up or encoded once, and the ids are
+    gathered by the parts' numbers.
 
-    The tokenizer must drop white space and never join across it, so a text's ids are those of its pieces in order.
+    The tokenizer must drop white space and never join across it, so a text's ids are those of its parts in order. Ids are kept
+    in two generations of half of `_CACHE_BYTES`: when the younger is full it replaces the older, and parts met again return
+    from that, so frequent ones stay whatever comes between.
     """
 
     def __init__(self, config: str):
@@ -116,65 +120,110 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _encode(self, pieces: set[str]) -> dict[str, bytes]:
-        words = [p for p in pieces if _LETTERS.fullmatch(p)] if self.words else []
+    def _encode(self, words: set[str], others: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces; `words` are of Latin-1 letters."""
+        if self.words is None:
+            words, others = set(), words | others
+        words, others = list(words), list(others)
         out = dict(zip(words, self.words(words, self.kind), strict=True)) if words else {}
-        others = [p for p in pieces if p not in out]
-        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else []
         out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(others, encoded, strict=True))
         return out
 
-    def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        split = [_PIECES.findall(t) for t in texts]
-        known, last = self.known, np.array([end], self.kind).tobytes()
-        used = set().union(*split)
-        late = {p for p in used if p not in known}
-        if late:
-            new = self._encode(late)
-            size = sum(map(len, new)) + sum(map(len, new.values())) + 160 * len(new)
-            if self.held + size > _CACHE_BYTES:
-                # the pieces of these texts alone, so what is held never exceeds the bound by more than they need
-                new.update((p, known[p]) for p in used if p in known)
-                self.known = known = {}
-                self.held, size = 0, sum(map(len, new)) + sum(map(len, new.values())) + 160 * len(new)
-            known.update(new)
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts, from what is known or encoded now."""
+        known, older = self.known, self.older
+        out = list(map(known.get, parts))
+        late = [p for p, ids in zip(parts, out) if ids is None]
+        if not late:
+            return out
+        new = {p: older[p] for p in late if p in older}
+        fresh = [p for p in late if p not in new]
+        split = _PIECES.findall("\n".join([*fresh, ""]))
+        words, others = {w for w, _ in split if w}, {r for w, r in split if r or not w}
+        pieces = words | others
+        have = {p: known[p] for p in pieces & known.keys()}
+        again = {p: older[p] for p in pieces & older.keys() - have.keys()}
+        new.update(again)
+        new.update(self._encode(words - have.keys() - again.keys(), others - have.keys() - again.keys()))
+        have.update(new)
+        new.update((w + r, have[w] + have[r]) for w, r in split if w and r)
+        out = [new[p] if ids is None else ids for p, ids in zip(parts, out)]
+        size = sum(map(len, new)) + sum(map(len, new.values())) + 160 * len(new)
+        if self.held + size > _CACHE_BYTES // 2:
+            self.older, self.known, self.held = known, {}, 0
+        if size <= _CACHE_BYTES // 2:
+            self.known.update(new)
             self.held += size
-        return [np.frombuffer(b"".join([*map(known.__getitem__, pieces), last]), self.kind) for pieces in split]
+        return out
+
+    def __call__(self, texts: list[str] | pa.Array, end: int) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
+        parts = split.flatten().dictionary_encode()
+        ids = self._ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        number = parts.indices.to_numpy()
+        n = size[number]
+        stops = np.cumsum(n)
+        at = np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[number] - stops + n, n)
+        # a text's ids start where its first part does, behind the ends of the texts before
+        bounds = np.concatenate([[0], stops])[split.offsets.to_numpy()]
+        out = np.full(len(at) + len(texts), end, self.kind)
+        out[np.arange(len(at)) + np.repeat(np.arange(len(texts)), np.diff(bounds))] = np.frombuffer(b"".join(ids), self.kind)[at]
+        bounds += np.arange(len(bounds))
+        return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(config: str) -> Encoder:
+    """What is known serves the next task of the process."""
+    return Encoder(config)
 
 
 class Index:
     """BM25 inverted index over the distinct token ids of a shard's documents."""
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-        counted = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in counted]
-        place = np.repeat(np.arange(len(docs)), [len(t) for t, _ in counted])
-        term = np.concatenate([t for t, _ in counted]).astype(np.int64)
-        tf = np.concatenate([n for _, n in counted]).astype(float)
+        length = np.array([len(d) for d in docs], np.int64)
+        tokens = np.concatenate(docs)
+        size = int(tokens.max()) + 1
+        key = np.repeat(np.arange(len(docs)), length) * size + tokens
+        key = np.sort(key.astype(np.uint32) if len(docs) * size < 1 << 32 else key)  # shorter numbers sort faster
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf = np.diff(np.append(first, len(key)))
+        place, term = np.divmod(key[first], key.dtype.type(size))
+        place, term = place.astype(np.int64), term.astype(tokens.dtype)
+        each = np.cumsum(np.bincount(place, minlength=len(docs)))
+        self.terms = np.split(term, each[:-1])
         df = np.bincount(term)
         # terms of over half the documents tell nothing apart and weigh 0
         idf = np.log(np.maximum((len(docs) - df + 0.5) / (df + 0.5), 1.0))
-        length = np.array([len(d) for d in docs], float)
-        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[place] / length.mean()))
-        order = np.argsort(term, kind="stable")
-        order = order[idf[term[order]] > 0]
-        self.place, self.score = place[order], (idf[term] * part)[order]
+        kept = np.flatnonzero(idf[term] > 0)
+        order = kept[np.argsort(term[kept], kind="stable")]
+        place, term, tf = place[order], term[order], tf[order].astype(float)
+        self.place = place
+        self.score = idf[term] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[place] / length.mean())))
         df = np.where(idf > 0, df, 0)
-        self.starts, self.df = np.cumsum(df) - df, df
+        stops = np.cumsum(df)
+        self.starts, self.stops = stops - df, stops
         self.docs = len(docs)
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a telling term with `doc`, best first; equal scores in order."""
         terms = self.terms[doc]
-        size = self.df[terms]
-        before = np.cumsum(size) - size
-        at = np.arange(size.sum()) + np.repeat(self.starts[terms] - before, size)
-        scores = np.bincount(self.place[at], weights=self.score[at], minlength=self.docs)
+        spans = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.stops[terms].tolist()) if b > a]
+        if not spans:
+            return np.zeros(0, np.int64)
+        place, score = np.concatenate([self.place[x] for x in spans]), np.concatenate([self.score[x] for x in spans])
+        scores = np.bincount(place, weights=score, minlength=self.docs)
         scores[used] = 0
-        order = np.argsort(-scores, kind="stable")
-        return order[: int((scores > 0).sum())]
+        found = np.flatnonzero(scores > 0)
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 def _powers(size: int) -> list[int]:
@@ -235,11 +284,29 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     return out
 
 
-def _encoded(batch: pa.RecordBatch, encoder: Encoder, end_id: int) -> Iterator[tuple]:
-    """(id, tokens) of a batch, a few texts at a time."""
-    for part in slices(batch, "text", 1_000_000):
-        texts = [t or "" for t in part.column("text").to_pylist()]
-        yield from zip(part.column("id").to_pylist(), encoder(texts, end_id), strict=True)
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, end_id: int) -> Iterator[tuple]:
+    """(id, tokens) of all documents; texts of about `_TEXT_BYTES` are encoded at once, however batches are cut."""
+    held, size = [], 0
+
+    def flush() -> Iterator[tuple]:
+        ids = [x for part in held for x in part.column("id").to_pylist()]
+        texts = pa.concat_arrays([part.column("text") for part in held])
+        yield from zip(ids, encoder(texts, end_id), strict=True)
+
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(upto[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + _TEXT_BYTES - size, "right")))
+            held.append(batch.slice(start, stop - start))
+            size += int(upto[stop - 1]) - before
+            start = stop
+            if size >= _TEXT_BYTES or start < batch.num_rows:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
 
 
 def pack(
@@ -258,11 +325,12 @@ def pack(
     spark = docs.sparkSession
     config = spark.sparkContext.broadcast(tokenizer)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows_id = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(config.value)
+        encoder = _encoder(config.value)
         partition, shard = TaskContext.get().partitionId(), 0
-        ids, held, size, kind = [], [], 0, None
+        ids, held, size, kind = [], [], 0, to_arrow_type(rows_id)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal ids, held, size, shard
@@ -279,17 +347,14 @@ def pack(
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             ids, held, size, shard = [], [], 0, shard + 1
 
-        for batch in batches:
-            kind = batch.schema.field("id").type
-            for doc, tokens in _encoded(batch, encoder, end_id):
-                if held and (len(held) >= shard_docs or size + len(tokens) > shard_tokens):
-                    yield from flush()
-                ids.append(doc)
-                held.append(tokens)
-                size += len(tokens)
+        for doc, tokens in _encoded(batches, encoder, end_id):
+            if held and (len(held) >= shard_docs or size + len(tokens) > shard_tokens):
+                yield from flush()
+            ids.append(doc)
+            held.append(tokens)
+            size += len(tokens)
         if held:
             yield from flush()
 
-    kind = rows.schema["id"].dataType.simpleString()
-    packed = rows.mapInArrow(run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    packed = rows.mapInArrow(run, f"id {rows_id.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)

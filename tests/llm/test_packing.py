@@ -124,3 +124,30 @@ def test_odd_rows(spark, odd):
     check_pieces([(r.doc_id, r.start, r.length, r.sequence_id, r.offset, r.doc_tokens) for r in rows], 64)
     assert sum(r.length for r in rows) == sum(len(plain_ids(r.text)) for r in odd.collect())
     assert packing.pack(odd.filter(F.lit(False)), CONFIG).count() == 0
+
+
+SIGNS = ["word$$$ a-b x_y abc123 l'été-d'or it's% (see)", "x≠y a≮b c≯", "a|b <|endoftext|>word <|endoftext|", "naïve\\path ÿ~ ß` Ä[1]{2}",
+         "don't-we'll's O'Neil,'s 'tis' x' 'x", "  a\x0bb\x0cc \r\n ", None]
+
+
+def test_words_end_at_ascii_signs():
+    encoder, tokenizer = packing.Encoder(CONFIG), Tokenizer.from_file(PATH)
+    odd = [f"wörd{chr(i)}{chr(j)}x" for i in range(33, 127) for j in (33, 39, 44, 0x301, 0x338)]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in [*SIGNS, *odd]]
+    assert [x.tolist() for x in encoder([*SIGNS, *odd], 2)] == want
+    assert [x.tolist() for x in encoder([*SIGNS, *odd], 2)] == want  # from what is known
+    assert encoder([], 2) == []
+
+
+def test_frequent_parts_are_encoded_once(monkeypatch):
+    """Parts met again and again stay known, also where rare ones fill the cache in between, and for the next task."""
+    monkeypatch.setattr(packing, "_CACHE_BYTES", 8_000)
+    encoder, seen = packing.Encoder(CONFIG), []
+    whole = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda words, others: seen.extend(words | others) or whole(words, others))
+    for i in range(60):
+        texts = ["common often"] if i % 2 else [f"rare{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}{c}" for c in "uvwxyz"]
+        encoder(texts, 2)
+        assert len(encoder.known) + len(encoder.older) < 80
+    assert seen.count("common") == seen.count("often") == 1
+    assert packing._encoder(CONFIG) is packing._encoder(CONFIG)
