@@ -137,6 +137,25 @@ def test_pruned_search_reads_few_rows_of_frequent_terms(frequent_terms):
     assert 10 <= met <= index.terms.where("term = 'the'").first().df / 10
 
 
+def test_pruned_search_makes_no_row_for_a_query_and_a_posting(frequent_terms, monkeypatch):
+    """Few query terms are scored where an index's postings of one document lie."""
+    monkeypatch.setattr(K, "candidates", lambda *a: pytest.fail("postings joined with queries"))
+    for cells in (K._CELLS, 40):
+        monkeypatch.setattr(K, "_CELLS", cells)
+        index, asked = frequent_terms[0][("persona_id",)], frequent_terms[1]
+        found = {(r.persona_id, r.query_id, r.rank, r.doc_id, r.score) for r in K.search_pruned(index, asked, 7).collect()}
+        assert found == {(r.persona_id, r.query_id, r.rank, r.doc_id, r.score) for r in K.search(index, asked, 7).collect()} and len(found) == 70
+
+
+def test_stored_terms_are_counted_from_stored_postings(spark, corpus, tmp_path):
+    """Texts are not split again for the terms."""
+    index = K.build_index(corpus)
+    want = sorted((r.term, r.df) for r in index.terms.collect())
+    index.terms = None
+    index.write(str(tmp_path / "ix"))
+    assert want and sorted((r.term, r.df) for r in K.KeywordIndex.read(spark, str(tmp_path / "ix")).terms.collect()) == want
+
+
 def test_pruned_search_of_nothing(spark, corpus, queries):
     assert K.search_pruned(K.build_index(corpus.limit(0)), queries).count() == 0
     assert K.search_pruned(K.build_index(corpus), queries.limit(0)).count() == 0
