@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,3 +415,15 @@ def test_few_queries_meet_vectors_where_they_lie(spark):
             V._scored(V._block_pairs(queries, vectors, scope, "doc_id", "embedding", "query_vec"), scope, queries.schema["query_id"], vectors.schema["doc_id"], 3),
             [*scope, "query_id"], 3)
         assert sorted(found.collect(), key=str) == sorted(joined.select(found.columns).collect(), key=str) and found.count()
+
+
+def test_python_gets_small_batches(spark, tmp_path):
+    """A split of 40 MB of text reaches Python in parts, whatever the session's own setting."""
+    from checks.base import table
+
+    spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit("x" * 4_000)).alias("text")).coalesce(1).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    rows = table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(lambda it: (pa.record_batch({"n": [b.nbytes], "rows": [b.num_rows]}) for b in it), "n BIGINT, rows BIGINT")
+    sizes = [(r.n, r.rows) for r in rows.collect()]
+    assert sum(r for _, r in sizes) == 10_000 and max(n for n, _ in sizes) < 9 << 20
