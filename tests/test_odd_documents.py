@@ -35,7 +35,7 @@ def odd(tmp_path_factory):
 
 
 @pytest.mark.parametrize("kind", sorted(ODD))
-@pytest.mark.parametrize("name", ["kno_09_belief_type", "kno_12_index_records"])
+@pytest.mark.parametrize("name", ["kno_09_belief_type", "kno_12_index_records", "val_02_persona_issues"])
 def test_query_on_odd_documents(spark, odd, kind, name):
     folder, con = odd[kind]
     found = QUERIES[name](spark, folder)
