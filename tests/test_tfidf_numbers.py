@@ -74,3 +74,12 @@ def test_no_row_per_occurrence(spark):
 
     plan = CHECKS["ret_14_tfidf_search"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_excerpts_make_rows_of_query_terms_only(spark, monkeypatch):
+    from checks.search import CHECKS
+
+    seen, counts = [], tfidf.term_counts
+    monkeypatch.setattr(tfidf, "term_counts", lambda docs, id_col, *a: seen.append(id_col) or counts(docs, id_col, *a))
+    assert CHECKS["ret_15_excerpt_context"][0](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == ["query_id"]
